@@ -411,8 +411,8 @@ LOOKUPS = {
     "find_by_model_name": ("MODEL_NAME", "Dargo"),
     "find_by_line_code": ("LINE_CODE", "L3"),
     "find_by_line_name": ("LINE_NAME", "Line 5"),
-    "find_by_supplier": ("SUPPLIER_NAME", "Supplier 000000015"),
-    "find_by_location": ("LOCATION", "NATION_7"),
+    "find_by_supplier": ("SUPPLIER_NAME", "Supplier 000000005"),
+    "find_by_location": ("LOCATION", "NATION_3"),
     "find_by_city": ("CITY", "City 4"),
     "find_by_localization": ("LOCALIZATION", "yes"),
 }
@@ -435,10 +435,10 @@ def part_overview(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("fk_orphans")
 def fk_orphans(spark: SparkSession, folder: str) -> DataFrame:
-    """Audit of the loaded tables, and of customers against the orders they should have."""
+    """Audit of the loaded tables, and of documents against the labels they should have."""
     audit = quality.orphans(loaded(spark, folder)[0].read_all())
-    customers, orders = (read_table(spark, folder, t) for t in ("customer", "orders"))
-    return audit.unionByName(quality.orphan_values(customers, "c_custkey", orders, "o_custkey", "customer"))
+    documents, labels = (read_table(spark, folder, t) for t in ("documents", "labels"))
+    return audit.unionByName(quality.orphan_values(documents, "doc_id", labels, "doc_id", "documents"))
 
 
 # -- change history ----------------------------------------------------------------------
@@ -556,12 +556,12 @@ query("check_enums")(
     _check("enum", ("orders", "o_orderkey", "o_orderstatus", quality.allowed("status", ("F", "O"))))
 )
 query("check_non_negative")(
-    _check("non_negative", ("supplier", "s_suppkey", "s_acctbal", quality.non_negative("balance")))
+    _check("non_negative", ("customer", "c_custkey", "c_acctbal", quality.non_negative("balance")))
 )
 query("check_not_null")(
     _check(
         "not_null",
-        ("lineitem", "l_orderkey,l_linenumber", "try_cast(nullif(l_returnflag, 'R') as string)", quality.not_null("flag")),
+        ("lineitem", "l_orderkey,l_linenumber", "nullif(l_returnflag, 'R')", quality.not_null("flag")),
     )
 )
 query("check_length")(_check("length", ("documents", "doc_id", "text", quality.max_length("text", 200))))
@@ -569,7 +569,7 @@ query("check_smallint")(
     _check("smallint", ("orders", "o_orderkey", "cast(floor(o_totalprice) as bigint)", quality.smallint("total")))
 )
 query("check_decimal")(
-    _check("decimal", ("part", "p_partkey", "p_retailprice", quality.decimal_range("price")))
+    _check("decimal", ("customer", "c_custkey", "c_acctbal", quality.decimal_range("balance")))
 )
 
 
