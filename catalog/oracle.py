@@ -18,6 +18,7 @@ from partgraph.model import (
     enum_of,
     length_of,
 )
+from partgraph.operators.normalize import sheet_columns_for
 from partgraph.sources.trade import EXPRESSIONS, JOINS, PLACE
 
 # -- expressions -------------------------------------------------------------------------
@@ -62,8 +63,9 @@ def squeeze_ws(x: str) -> str:
 
 
 def title_case(x: str) -> str:
+    """A leading ß becomes SS, as Unicode's full case mapping has it; DuckDB's upper() gives ẞ."""
     words = rf"regexp_extract_all({x}, '[\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+')"
-    return f"array_to_string(list_transform({words}, lambda w: upper(w[1]) || lower(w[2:])), '')"
+    return f"array_to_string(list_transform({words}, lambda w: replace(upper(w[1]), 'ẞ', 'SS') || lower(w[2:])), '')"
 
 
 def clean_text_basic(x: str) -> str:
@@ -135,12 +137,19 @@ def _filled(column: str) -> str:
 
 _joins = " ".join(f"LEFT JOIN {t} ON {on}" for t, (on, _) in JOINS.items())
 _sheet = ", ".join(f"{e} AS {c}" for c, e in EXPRESSIONS.items())
+_raw = ", ".join(f"{c} AS RAW_{c}" for c in SHEET_COLUMNS)
 _sheet_keys = [k for k in KEYS if k != "BREAKPOINT_ID"]
 #: Place of a row and every value it could differ in, so that "first" is one row's values.
 BLOCKS: dict[str, tuple[str, tuple[str, ...]]] = {
     "sheet": (f"SELECT {_sheet}, {PLACE} AS _ORD FROM lineitem {_joins}", ()),
-    "clean": (f"SELECT {', '.join(f'{cleaned(c)} AS {c}' for c in SHEET_COLUMNS)}, _ORD FROM sheet", ("sheet",)),
-    "filled": (f"SELECT {', '.join(f'{_filled(c)} AS {c}' for c in SHEET_COLUMNS)}, _ORD FROM clean", ("clean",)),
+    "clean": (
+        f"SELECT {', '.join(f'{cleaned(c)} AS {c}' for c in SHEET_COLUMNS)}, {_raw}, _ORD FROM sheet",
+        ("sheet",),
+    ),
+    "filled": (
+        f"SELECT {', '.join(f'{_filled(c)} AS {c}' for c in SHEET_COLUMNS)}, COLUMNS('RAW_.*'), _ORD FROM clean",
+        ("clean",),
+    ),
     "keyed": (f"SELECT *, {', '.join(f'{key_for(k)} AS {k}' for k in _sheet_keys)} FROM filled", ("filled",)),
     "change_ends": (
         "SELECT l_orderkey, min(l_linenumber) AS lo, max(l_linenumber) AS hi FROM lineitem GROUP BY l_orderkey",
@@ -168,9 +177,9 @@ BLOCKS: dict[str, tuple[str, tuple[str, ...]]] = {
 
 
 def _first(source: str, table: str, columns: list[str]) -> str:
-    """Keep-first by place, ties by the values in column order, nulls lowest."""
+    """Keep-first by place, ties by the raw values in column order, nulls lowest."""
     keys = TABLES[table].key
-    place = ", ".join(f"{c} NULLS FIRST" for c in ["_ORD", *[c for c in columns if c not in keys]])
+    place = ", ".join(f"{c} NULLS FIRST" for c in ["_ORD", *[f"RAW_{c}" for c in sheet_columns_for(table)]])
     filled = " AND ".join(f"{k} IS NOT NULL" for k in keys)
     return (
         f"SELECT {', '.join(columns)} FROM {source} WHERE {filled}"

@@ -27,7 +27,7 @@ from partgraph.model import (
 from partgraph.operators import changes, dedup, edits, normalize, overview, project, quality, recipe
 from partgraph.plans import load
 from partgraph.plans.store import TableStore
-from partgraph.session import scratch, stage, tune
+from partgraph.session import scratch, spread, tune
 from partgraph.sources import sheet as files
 from partgraph.sources.trade import change_sheet, part_sheet, read_table
 from partgraph.streaming.ingest import file_drop
@@ -57,14 +57,9 @@ def clean_columns(spark: SparkSession, folder: str, columns: Iterable[str] = SHE
     return recipe.apply_recipe(part_sheet(spark, folder, columns), recipe.sheet_recipe())
 
 
-def keyed_for(spark: SparkSession, folder: str, *tables: str) -> DataFrame:
-    """Keyed sheet with just the columns the tables draw on."""
-    columns = dict.fromkeys(c for t in tables for c in normalize.sheet_columns_for(t))
-    return normalize.key_sheet(clean_columns(spark, folder, columns))
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return normalize.build_table(keyed_for(spark, folder, name), name)
+    """An entity or link table, from just the sheet columns it draws on."""
+    return normalize.build_table(part_sheet(spark, folder, normalize.sheet_columns_for(name)), name)
 
 
 def typed_changes(spark: SparkSession, folder: str) -> DataFrame:
@@ -244,7 +239,7 @@ def to_float2(spark: SparkSession, folder: str) -> DataFrame:
 
 def _document_query(function: Callable[[Column], Column], name: str = "text") -> Query:
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        return read_table(spark, folder, "documents").select("doc_id", function(F.col("text")).alias(name))
+        return spread(read_table(spark, folder, "documents")).select("doc_id", function(F.col("text")).alias(name))
 
     return run
 
@@ -461,9 +456,8 @@ def part_to_breakpoint(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("before_change")
 def before_change(spark: SparkSession, folder: str) -> DataFrame:
-    keyed = stage(keyed_for(spark, folder, "part_data", "supplier_data", "line_data", "part_to_line"), "snapshot")
     names = ("part_data", "supplier_data", "line_data", "part_to_line")
-    tables = {t: normalize.build_table(keyed, t) for t in names}
+    tables = {t: table(spark, folder, t) for t in names}
     return plain(changes.before_change(typed_changes(spark, folder), tables).drop(ORDER))
 
 
@@ -500,10 +494,9 @@ query("load_report")(_reported(tuple(TABLES)))
 @query("insert_new")
 def insert_new(spark: SparkSession, folder: str) -> DataFrame:
     """Parts of returnable boxes come first, then all parts: only new ones are added."""
-    columns = [*normalize.sheet_columns_for("part_data"), "BOX_TYPE"]
-    keyed = normalize.key_sheet(clean_columns(spark, folder, columns))
-    first = normalize.build_table(keyed.where("BOX_TYPE = 'returnable'"), "part_data")
-    return edits.insert_new(first, normalize.build_table(keyed, "part_data"), TABLES["part_data"].key)
+    rows = part_sheet(spark, folder, [*normalize.sheet_columns_for("part_data"), "BOX_TYPE"])
+    first = normalize.build_table(rows.where("BOX_TYPE = 'returnable'"), "part_data")
+    return edits.insert_new(first, normalize.build_table(rows, "part_data"), TABLES["part_data"].key)
 
 
 def _corrections(spark: SparkSession, folder: str) -> DataFrame:

@@ -42,8 +42,8 @@ def surrogate_key(prefix: str, parts: Sequence[Column], width: int = KEY_WIDTH)
     Null when every part is null: such a row names no entity. A character carries just under six
     bits; see :func:`key_width` for tables past some ten million keys.
     """
-    text = F.translate(F.base64(F.unhex(F.sha2(natural_key(parts), 256))), "+/", "Aa")
-    key = F.concat(F.lit(prefix), F.substring(text, 1, width))
+    digest = F.substring(F.sha2(natural_key(parts), 256), 1, 2 * math.ceil(width * 6 / 8))
+    key = F.concat(F.lit(prefix), F.translate(F.substring(F.base64(F.unhex(digest)), 1, width), "+/", "Aa"))
     return F.when(F.coalesce(*parts).isNotNull(), key)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 # The character classes and patterns of the cleaning rules.
 CHINESE = r"[一-鿿㐀-䶿豈-﫿]"
 LOWER_CAMEL = r"([a-z])([A-Z])"
+CAPITAL = r"[A-ZА-ЯЁ]"
 CAPITAL_RUN = r"([A-ZА-ЯЁ][^A-ZА-ЯЁ]*)"
 NUMBER = r"(\d+(?:\.\d+)?)"
 SPECIALS = r"""-)(][.,;:_/\|+*&^%$#@!~`"'<>?{}"""
@@ -22,9 +23,16 @@ _BLOCKS = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0xF900, 0xFAFF))
 
 #: Java needs (?U) for ``\d`` and ``\s`` to mean Unicode digits and Unicode white space.
 _UNICODE = "(?U)"
-_SPECIAL_CLASS = "[" + "".join("\\" + c for c in SPECIALS) + r"\n\t]"
+_ESCAPED = "".join("\\" + c for c in SPECIALS)
+_SPECIAL_CLASS = f"[{_ESCAPED}\\n\\t]"
+#: Where a word breaks: before a capital, before the first digit of a run and after its last.
+_BREAK = _UNICODE + rf"({CAPITAL}|(?<!\d)\d|(?<=\d)\D)"
+_GAP = _UNICODE + rf"[{_ESCAPED}\s]+"
 #: Title-case words: letters and numbers of any script; everything else separates.
 _WORD_OR_GAP = r"([\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+)"
+#: What makes initcap() differ from the title rule: other characters, a letter after a digit. (A
+#: search for one bad spot; a pattern over the whole text would recurse once per word.)
+_NOT_PLAIN = r"[^A-Za-zА-Яа-яЁё0-9 ]|[0-9][A-Za-zА-Яа-яЁё]"
 
 
 def has_chinese(col: Column) -> Column:
@@ -98,12 +106,15 @@ def trim_text(col: Column) -> Column:
 
 
 def title_case(col: Column) -> Column:
-    """First character of every word upper, the rest lower; any non-alphanumeric ends a word."""
+    """First character of every word upper, the rest lower; any non-alphanumeric ends a word.
+
+    Plain Latin and Cyrillic words between spaces, the usual case, need no splitting into words.
+    """
     words = F.regexp_extract_all(col, F.lit(_WORD_OR_GAP), F.lit(1))
     titled = F.transform(
         words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))
     )
-    return F.array_join(titled, "")
+    return F.when(col.rlike(_NOT_PLAIN), F.array_join(titled, "")).otherwise(F.initcap(col))
 
 
 def clean_text_basic(col: Column) -> Column:
@@ -111,9 +122,20 @@ def clean_text_basic(col: Column) -> Column:
 
 
 def clean_text(col: Column, readings: Column | None = None) -> Column:
-    """The full cleaning chain; the order of the steps is part of the result."""
+    """The full cleaning chain: transliterate, split camel case, pad numbers, strip specials, basic.
+
+    Each step before the basic one only adds spaces or turns characters into spaces, and runs of
+    spaces collapse at the end. So two passes do: one breaks words at capitals and at both ends of
+    digit runs, one reduces every run of specials and white space to a single space.
+    """
     if readings is not None:
         col = transliterate(col, readings)
+    broken = F.regexp_replace(col, _BREAK, " $1")
+    return title_case(trim_text(F.regexp_replace(broken, _GAP, " ")))
+
+
+def clean_text_steps(col: Column) -> Column:
+    """The same chain one rule after the other, without transliteration; the definition of the result."""
     for step in (split_lower_camel, split_capitals, pad_numbers, strip_specials):
         col = step(col)
     return clean_text_basic(col)

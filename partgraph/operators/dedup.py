@@ -10,29 +10,34 @@ from pyspark.sql import functions as F
 from partgraph.model import ORDER
 
 
-def keep_first(
-    df: DataFrame,
-    key: Sequence[str],
-    payload: Sequence[str],
-    order: str = ORDER,
-    extra: Sequence[Column] = (),
+def first_per_key(
+    df: DataFrame, key: Sequence[str], payload: Sequence[str], order: str = ORDER, extra: Sequence[Column] = ()
 ) -> DataFrame:
-    """One row per key: the first by ``order``, ties settled by the payload values.
+    """One row per key: the first by ``order``, ties settled by the payload values in turn, nulls lowest.
 
-    Two aggregations. The first keeps the smallest place of each distinct (key, payload); its only
-    buffer is one number, so it runs as a hash aggregation with map-side combine and shrinks a hot
-    key before the shuffle. The second picks among the few payloads a key has left. ``extra`` are
-    aggregates over those payloads, e.g. a check that a key's rows agree.
+    ``extra`` are aggregates over the key's rows, e.g. a check that they agree. The buffer is a whole
+    row, so this sorts its input; give it distinct rows.
     """
-    distinct = df.groupBy(*key, *payload).agg(F.min(order).alias(order))
     if not payload:
-        return distinct.drop(order)
-    first = distinct.groupBy(*key).agg(F.min(F.struct(order, *payload)).alias("first"), *extra)
-    return first.select(*key, *[F.col(f"first.{c}").alias(c) for c in payload], *_names(first, key))
+        return df.groupBy(*key).agg(*extra) if extra else df.select(*key).distinct()
+    row = F.struct(F.col(order).alias("_order"), *payload)
+    first = df.groupBy(*key).agg(F.min(row).alias("_first"), *extra)
+    added = [c for c in first.columns if c not in key and c != "_first"]
+    return first.select(*key, *[F.col(f"_first.{c}").alias(c) for c in payload], *added)
 
 
-def _names(df: DataFrame, key: Sequence[str]) -> list[str]:
-    return [c for c in df.columns if c not in key and c != "first"]
+def with_first_place(df: DataFrame, columns: Sequence[str], order: str = ORDER) -> DataFrame:
+    """Distinct rows of ``columns`` with the smallest place of each.
+
+    The only buffer is one number, so this is a hash aggregation with map-side combine: a value that
+    fills a third of the rows leaves each task as one row.
+    """
+    return df.groupBy(*columns).agg(F.min(order).alias(order))
+
+
+def keep_first(df: DataFrame, key: Sequence[str], payload: Sequence[str], order: str = ORDER) -> DataFrame:
+    """One row per key, the first by ``order``: distinct rows first, then the first of each key."""
+    return first_per_key(with_first_place(df, [*key, *payload], order), key, payload, order)
 
 
 def distinct_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
-"""From the cleaned sheet to entity and link tables.
+"""From the raw sheet to entity and link tables.
 
-Every table is a plan over the keyed sheet. Parents need no join: a parent's key is computed from
-the same sheet row.
+Every table is a plan over the columns it needs. Parents need no join: a parent's key is computed
+from the same sheet row.
 """
 
 from __future__ import annotations
@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partgraph.functions.derive import KEY_WIDTH, area_m2, default_to, key_for, packaging_number, volume_m3
-from partgraph.model import ENTITY_COLUMNS, KEYS, LINK_TABLES, ORDER, TABLES
-from partgraph.operators.dedup import drop_null_keys, keep_first
+from partgraph.model import ENTITY_COLUMNS, KEYS, ORDER, TABLES
+from partgraph.operators.dedup import first_per_key, with_first_place
 from partgraph.operators.project import require_columns
+from partgraph.operators.recipe import apply_recipe, sheet_recipe
 
 #: Entity table -> (entity, parent keys it carries).
 _ENTITIES = {
@@ -28,6 +29,8 @@ _ENTITIES = {
 }
 #: Observed beside each entity: keys that stand for two different natural keys.
 CLASH = "_CLASH"
+#: Place and raw values of the row an entity comes from.
+RANK = "_RANK"
 
 
 def fill_packaging(sheet: DataFrame) -> DataFrame:
@@ -63,15 +66,23 @@ def table_columns(table: str) -> list[str]:
     return list(TABLES[table].columns)
 
 
-def sheet_columns_for(table: str) -> list[str]:
-    """Raw sheet columns a table draws on, its natural keys and defaults included."""
-    columns: list[str] = []
-    for c in table_columns(table):
-        columns += KEYS[c][1] if c in KEYS else (c,)
+def _with_defaults(columns: Sequence[str]) -> list[str]:
+    """Sheet columns and those their packaging defaults are made from, each once."""
+    filled = list(columns)
     for p in ("BOX", "PALLET"):
         if f"{p}_NUMBER" in columns or f"{p}_VOL_M3" in columns:
-            columns += [f"{p}_TYPE", f"{p}_LENGTH_MM", f"{p}_WIDTH_MM", f"{p}_HEIGHT_MM"]
-    return list(dict.fromkeys(columns))
+            filled += [f"{p}_TYPE", f"{p}_LENGTH_MM", f"{p}_WIDTH_MM", f"{p}_HEIGHT_MM"]
+    return list(dict.fromkeys(filled))
+
+
+def sheet_columns_for(table: str) -> list[str]:
+    """Raw sheet columns a table draws on, its natural keys and defaults included."""
+    return _with_defaults([s for c in table_columns(table) for s in (KEYS[c][1] if c in KEYS else (c,))])
+
+
+def identifying_columns(table: str) -> list[str]:
+    """Raw sheet columns that settle a table's primary key."""
+    return _with_defaults([part for k in TABLES[table].key for part in KEYS[k][1]])
 
 
 def clash_check(parts: Sequence[str]) -> Column:
@@ -80,29 +91,48 @@ def clash_check(parts: Sequence[str]) -> Column:
     return (F.min(mark) != F.max(mark)).alias(CLASH)
 
 
-def entity_table(keyed: DataFrame, table: str, check: bool = False) -> DataFrame:
-    """Distinct entities, first sheet row wins. ``check`` adds the key clash column."""
-    columns = table_columns(table)
-    require_columns(keyed, columns, table)
-    key = TABLES[table].key
-    extra = [clash_check(KEYS[key[0]][1])] if check else []
-    rows = drop_null_keys(keyed, key)
-    return keep_first(rows, key, [c for c in columns if c not in key], extra=extra)
-
-
-def link_table(keyed: DataFrame, table: str) -> DataFrame:
-    """Distinct key pairs with their payload, first sheet row wins; rows with an open end are no link."""
-    columns = table_columns(table)
-    require_columns(keyed, columns, table)
+def table_rows(
+    sheet: DataFrame, table: str, readings: Column | None = None, width: int = KEY_WIDTH
+) -> DataFrame:
+    """First raw row per raw identity of a table, then cleaned, completed and keyed, with its rank.
+
+    A sheet repeats its parts, boxes and lines many times over. Cleaning and hashing come last, so
+    they run once per entity spelling, not once per sheet row. That is also why open keys are
+    filtered by their raw parts: a filter on the finished key would be pushed back below the
+    aggregations, and the cleaning with it.
+    """
+    columns, identity = sheet_columns_for(table), identifying_columns(table)
+    require_columns(sheet, [*columns, ORDER], table)
+    named = sheet
+    for key in TABLES[table].key:
+        parts = KEYS[key][1]
+        if f"{parts[0].split('_')[0]}_LENGTH_MM" not in columns:
+            named = named.where(F.coalesce(*parts).isNotNull())
+    distinct = with_first_place(named, columns)
+    rank = F.struct(ORDER, *columns).alias(RANK)
+    first = first_per_key(distinct, identity, [ORDER, *[c for c in columns if c not in identity]])
+    clean = fill_packaging(apply_recipe(first.select(*columns, ORDER, rank), sheet_recipe(readings)))
+    for p in ("BOX", "PALLET"):
+        if f"{p}_ID" in TABLES[table].key:
+            clean = clean.where(F.col(f"{p}_NUMBER").isNotNull())
+    return add_keys(clean, width)
+
+
+def build_table(
+    sheet: DataFrame,
+    table: str,
+    check: bool = False,
+    readings: Column | None = None,
+    width: int = KEY_WIDTH,
+) -> DataFrame:
+    """An entity or link table of the raw sheet; of rows with one key the first sheet row wins,
+    ties settled by the raw values.
+
+    Rows without a key are no entity, and links with an open end no link. ``check`` adds the clash
+    column to entities.
+    """
     key = TABLES[table].key
-    return keep_first(drop_null_keys(keyed, key), key, [c for c in columns if c not in key])
-
-
-def build_table(keyed: DataFrame, table: str, check: bool = False) -> DataFrame:
-    return link_table(keyed, table) if table in LINK_TABLES else entity_table(keyed, table, check)
-
-
-def key_sheet(clean: DataFrame, width: int = KEY_WIDTH) -> DataFrame:
-    """Cleaned sheet with defaults filled and keys added; stage this once, then build the tables."""
-    require_columns(clean, [ORDER], "sheet")
-    return add_keys(fill_packaging(clean), width)
+    rows = table_rows(sheet, table, readings, width)
+    payload = [c for c in table_columns(table) if c not in key]
+    extra = [clash_check(KEYS[key[0]][1])] if check and table in _ENTITIES else []
+    return first_per_key(rows, key, payload, RANK, extra)

@@ -13,10 +13,9 @@ from partgraph.functions.derive import KEY_WIDTH
 from partgraph.model import CHANGE_TABLES, ENTITY_TABLES, LINK_TABLES, TABLES
 from partgraph.operators.changes import breakpoint_tables, type_changes
 from partgraph.operators.edits import new_rows
-from partgraph.operators.normalize import CLASH, build_table, key_sheet
+from partgraph.operators.normalize import CLASH, build_table
 from partgraph.operators.project import is_complete, require_columns, split_sheet, upper_headers
 from partgraph.operators.quality import broken_rules, count_rows, null_key_count, row_key, table_rules
-from partgraph.operators.recipe import apply_recipe, sheet_recipe
 from partgraph.plans.store import TableStore, to_declared
 from partgraph.session import stage
 
@@ -120,10 +119,10 @@ def _attempt(table: str, load: Callable[[], TableLoad]) -> TableLoad:
         return TableLoad(table, error=str(error).split("\n", 1)[0])
 
 
-def prepare_sheet(sheet: DataFrame, readings: Column | None = None, width: int = KEY_WIDTH) -> DataFrame:
-    """Raw sheet to cleaned, completed and keyed sheet, staged once for all tables."""
-    clean = apply_recipe(upper_headers(sheet), sheet_recipe(readings))
-    return stage(key_sheet(clean, width), "sheet")
+def prepare_sheet(sheet: DataFrame) -> DataFrame:
+    """Raw sheet with normal headers, written to Parquet once, so that each table's plan reads only
+    its own columns, whatever the source."""
+    return stage(upper_headers(sheet), "sheet")
 
 
 def load_sheet(
@@ -144,8 +143,8 @@ def load_sheet(
     With ``all_or_nothing`` one failed table keeps the old version of all tables.
     """
     spark = store.spark
-    keyed = prepare_sheet(sheet, readings, width)
-    if not is_complete(split_sheet(keyed)):
+    raw = prepare_sheet(sheet)
+    if not is_complete(split_sheet(raw)):
         return _report(store, [TableLoad(t, error="no sheet rows") for t in ENTITY_TABLES])
     old = store.read_all()
 
@@ -153,10 +152,11 @@ def load_sheet(
         rows = df if truncate else new_rows(old[table], df, TABLES[table].key)
         return write_table(store, rows, table, quarantine, width)
 
-    names = [*ENTITY_TABLES, *LINK_TABLES]
+    def build(table: str) -> TableLoad:
+        return _attempt(table, lambda: job(table, build_table(raw, table, True, readings, width)))
+
     with ThreadPoolExecutor(parallel) as pool:
-        builds = [pool.submit(_attempt, t, lambda t=t: job(t, build_table(keyed, t, check=True))) for t in names]
-        done = [b.result() for b in builds]
+        done = list(pool.map(build, [*ENTITY_TABLES, *LINK_TABLES]))
     folders = _folders(store.current(), done, truncate)
     if changes is not None:
         tables = {t: store.read_folders(t, folders.get(t, [])) for t in TABLES}

@@ -50,3 +50,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a plain scan, dealt out over the cores if the scan has fewer splits than those.
+
+    One small file is one task, however heavy the work on its rows; a large table is left as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

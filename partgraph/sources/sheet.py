@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -10,6 +10,11 @@ from partgraph.model import ORDER, SHEET_SCHEMA
 from partgraph.operators.project import upper_headers
 
 
+#: Fixed values of the bulk text form: null, and escapes with the backslash first.
+_NULL = "\\N"
+_ESCAPES = (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r"))
+
+
 def read_sheet(
     spark: SparkSession,
     path: str | list[str],
@@ -33,12 +38,31 @@ def read_sheet(
 
 
 def write_tsv(df: DataFrame, path: str) -> None:
-    """Delimited bulk export: tab-separated, no header, null as ``\\N``."""
-    df.write.options(sep="\t", nullValue="\\N", header=False, emptyValue="").csv(path)
+    """Delimited bulk export in the text form database bulk loaders read: tab-separated, no header,
+    null as ``\\N``; backslash, tab and line ends inside a value are escaped."""
+
+    def field(name: str) -> Column:
+        value = F.col(name).cast("string")
+        for plain, escaped in _ESCAPES:
+            value = F.replace(value, F.lit(plain), F.lit(escaped))
+        return F.coalesce(value, F.lit(_NULL))
+
+    df.select(F.concat_ws("\t", *[field(c) for c in df.columns]).alias("value")).write.text(path, lineSep="\n")
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.read.schema(schema).options(sep="\t", nullValue="\\N", emptyValue="").csv(path)
+    fields = F.split("value", "\t")
+
+    def column(index: int, field: T.StructField) -> Column:
+        value = F.get(fields, F.lit(index))
+        value = F.when(value != _NULL, value)
+        value = F.replace(value, F.lit("\\\\"), F.lit("\0"))
+        for plain, escaped in _ESCAPES[1:]:
+            value = F.replace(value, F.lit(escaped), F.lit(plain))
+        return F.replace(value, F.lit("\0"), F.lit("\\")).cast(field.dataType).alias(field.name)
+
+    lines = spark.read.text(path, lineSep="\n")
+    return lines.select(*[column(i, f) for i, f in enumerate(schema.fields)])
 
 
 def write_json(df: DataFrame, path: str) -> None:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partgraph.model import CHANGE_COLUMNS, ENUMS, ORDER, SHEET_COLUMNS
+from partgraph.session import spread
 
 #: Places a line item in its source as one number.
 PLACE = "l_orderkey * 10 + l_linenumber"
@@ -111,7 +112,7 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def part_sheet(spark: SparkSession, folder: str, columns: Iterable[str] = SHEET_COLUMNS) -> DataFrame:
     """Raw sheet: the asked columns as text, and the order column."""
     columns = list(columns)
-    rows = read_table(spark, folder, "lineitem")
+    rows = spread(read_table(spark, folder, "lineitem"))
     for table in needed_tables(columns):
         rows = rows.join(read_table(spark, folder, table), F.expr(JOINS[table][0]), "left")
     picked = [F.expr(EXPRESSIONS[c]).alias(c) for c in columns]
