@@ -531,39 +531,38 @@ def load_changes(spark: SparkSession, folder: str) -> DataFrame:
 # -- integrity rules ---------------------------------------------------------------------
 
 
-def _check(rule: str, *also: tuple[str, str, str, quality.Rule]) -> Query:
-    """A declared rule over all tables built from the sheet, and over given columns that break it."""
+def _check(rule: str, name: str, key: str, source: str, broken: Callable[[], quality.Rule]) -> Query:
+    """A declared rule over all loaded tables, and one like it over a given table that breaks it."""
 
     def run(spark: SparkSession, folder: str) -> DataFrame:
-        found = [quality.check_tables(loaded(spark, folder)[0].read_all(), rule)]
-        for name, key, source, broken in also:
-            rows = read_table(spark, folder, name).withColumn(broken.column, F.expr(source))
-            found.append(quality.violations(rows, name, key.split(","), [broken]))
-        return reduce(DataFrame.unionByName, found)
+        declared = quality.check_tables(loaded(spark, folder)[0].read_all(), rule)
+        own = broken()
+        rows = read_table(spark, folder, name).withColumn(own.column, F.expr(source))
+        return declared.unionByName(quality.violations(rows, name, key.split(","), [own]))
 
+    query(f"check_{_CHECKS[rule]}")(run)
     return run
 
 
-#: Column checks beside the declared ones: table, key, expression, rule.
-query("check_enums")(
-    _check("enum", ("orders", "o_orderkey", "o_orderstatus", quality.allowed("status", ("F", "O"))))
-)
-query("check_non_negative")(
-    _check("non_negative", ("customer", "c_custkey", "c_acctbal", quality.non_negative("balance")))
-)
-query("check_not_null")(
-    _check(
-        "not_null",
-        ("lineitem", "l_orderkey,l_linenumber", "nullif(l_returnflag, 'R')", quality.not_null("flag")),
-    )
-)
-query("check_length")(_check("length", ("documents", "doc_id", "text", quality.max_length("text", 200))))
-query("check_smallint")(
-    _check("smallint", ("orders", "o_orderkey", "cast(floor(o_totalprice) as bigint)", quality.smallint("total")))
+#: Rule -> name of its query.
+_CHECKS = {
+    "enum": "enums",
+    "non_negative": "non_negative",
+    "not_null": "not_null",
+    "length": "length",
+    "smallint": "smallint",
+    "decimal": "decimal",
+}
+_check("enum", "orders", "o_orderkey", "o_orderstatus", lambda: quality.allowed("status", ("F", "O")))
+_check("non_negative", "customer", "c_custkey", "c_acctbal", lambda: quality.non_negative("balance"))
+_check(
+    "not_null", "lineitem", "l_orderkey,l_linenumber", "nullif(l_returnflag, 'R')", lambda: quality.not_null("flag")
 )
-query("check_decimal")(
-    _check("decimal", ("customer", "c_custkey", "c_acctbal", quality.decimal_range("balance")))
+_check("length", "documents", "doc_id", "text", lambda: quality.max_length("text", 200))
+_check(
+    "smallint", "orders", "o_orderkey", "cast(floor(o_totalprice) as bigint)", lambda: quality.smallint("total")
 )
+_check("decimal", "customer", "c_custkey", "c_acctbal", lambda: quality.decimal_range("balance"))
 
 
 @query("check_pk_unique")

@@ -28,6 +28,8 @@ _SPECIAL_CLASS = f"[{_ESCAPED}\\n\\t]"
 #: Where a word breaks: before a capital, before the first digit of a run and after its last.
 _BREAK = _UNICODE + rf"({CAPITAL}|(?<!\d)\d|(?<=\d)\D)"
 _GAP = _UNICODE + rf"[{_ESCAPED}\s]+"
+#: One Chinese character, or a run of anything else.
+_CHINESE_OR_RUN = f"({CHINESE}|[^{CHINESE[1:]}+)"
 #: Title-case words: letters and numbers of any script; everything else separates.
 _WORD_OR_GAP = r"([\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+)"
 #: What makes initcap() differ from the title rule: other characters, a letter after a digit. (A
@@ -66,17 +68,18 @@ def transliterate(col: Column, readings: Column) -> Column:
     regex test; a character's reading is an array access by code point, not a map scan.
     """
 
-    def read(char: Column) -> Column:
-        point = F.ascii(char)
+    def read(piece: Column) -> Column:
+        point = F.ascii(piece)
         index = F.lit(None).cast("int")
         start = 0
         for low, high in _BLOCKS:
             index = F.when(point.between(low, high), point - (low - start - 1)).otherwise(index)
             start += high - low + 1
         reading = F.get(readings, index - 1)
-        return F.when(F.length(reading) > 0, reading).otherwise(char)
+        return F.when(F.length(reading) > 0, reading).otherwise(piece)
 
-    latin = F.array_join(F.transform(F.split(col, ""), read), "")
+    pieces = F.regexp_extract_all(col, F.lit(_CHINESE_OR_RUN), F.lit(1))
+    latin = F.array_join(F.transform(pieces, read), "")
     return F.when(has_chinese(col), latin).otherwise(col)
 
 

@@ -110,8 +110,9 @@ def table_rows(
             named = named.where(F.coalesce(*parts).isNotNull())
     distinct = with_first_place(named, columns)
     rank = F.struct(ORDER, *columns).alias(RANK)
-    first = first_per_key(distinct, identity, [ORDER, *[c for c in columns if c not in identity]])
-    clean = fill_packaging(apply_recipe(first.select(*columns, ORDER, rank), sheet_recipe(readings)))
+    if table in _ENTITIES:  # a link's distinct rows are as good as its links
+        distinct = first_per_key(distinct, identity, [ORDER, *[c for c in columns if c not in identity]])
+    clean = fill_packaging(apply_recipe(distinct.select(*columns, ORDER, rank), sheet_recipe(readings)))
     for p in ("BOX", "PALLET"):
         if f"{p}_ID" in TABLES[table].key:
             clean = clean.where(F.col(f"{p}_NUMBER").isNotNull())
@@ -132,7 +133,10 @@ def build_table(
     column to entities.
     """
     key = TABLES[table].key
-    rows = table_rows(sheet, table, readings, width)
+    # no row without a key is left; saying so keeps joins on the key from adding a null filter,
+    # which would be pushed below the aggregations
+    named = {k: F.coalesce(k, F.lit("")) for k in key}
+    rows = table_rows(sheet, table, readings, width).withColumns(named)
     payload = [c for c in table_columns(table) if c not in key]
     extra = [clash_check(KEYS[key[0]][1])] if check and table in _ENTITIES else []
     return first_per_key(rows, key, payload, RANK, extra)

@@ -8,12 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime settings the plans rely on. Partition counts are left to the cluster: AQE coalesces
-#: small ones and splits skewed ones, also where the split costs one more shuffle.
+#: small ones and splits skewed ones, also where the split costs one more shuffle. A sheet row has 37
+#: expressions; generated methods past 8000 bytes are never compiled by the JVM, so such stages use
+#: generated projections, which are split into small methods.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
