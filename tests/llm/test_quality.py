@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from partgraph.llm import classifier, rules
 from partgraph.llm.common import read
@@ -84,7 +85,7 @@ def test_trees_are_monotone():
 
 def test_classifier_holds_out(llm):
     docs, labels = read(llm, FOLDER, "documents"), read(llm, FOLDER, "labels")
-    scored = classifier.with_score(docs, classifier.fit(docs, labels)).withColumn("held", classifier.is_held_out(docs.doc_id))
+    scored = classifier.with_score(docs, classifier.fit(docs, labels)).withColumn("held", classifier.is_held_out(F.col("doc_id")))
     rows = scored.join(labels, "doc_id").toPandas()
     assert rows.held.equals(rows.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 4 == 2))
     held = rows[rows.held]
