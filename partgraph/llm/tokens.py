@@ -47,7 +47,9 @@ class Pieces:
 
     def places(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         pieces = self.model.encode(text, return_type="proto").pieces
-        return np.array([p.begin for p in pieces], int), np.array([p.end for p in pieces], int)
+        codes = np.frombuffer(text.encode(), np.uint8)
+        chars = np.append(0, np.cumsum((codes & 0xC0) != 0x80))  # places come in bytes
+        return chars[np.array([p.begin for p in pieces], int)], chars[np.array([p.end for p in pieces], int)]
 
 
 class Merges:
@@ -146,7 +148,7 @@ def _splice(encoded: DataFrame) -> DataFrame:
     chunks = Window.partitionBy("row").orderBy("chunk")
     shared = lambda a, b: F.filter(a, lambda p: F.exists(b, lambda q: q["at"] == p["at"]))
     pairs = encoded.withColumn("next_head", F.lead("head").over(chunks)).withColumn("before_tail", F.lag("tail").over(chunks))
-    middle = lambda points: points[F.floor(F.size(points) / 2).cast("int")]["before"]
+    middle = lambda points: F.get(points, F.floor(F.size(points) / 2).cast("int"))["before"]
     until = F.when(F.col("last"), F.col("tokens")).otherwise(middle(shared(F.col("tail"), F.col("next_head"))))
     since = F.when(F.col("chunk") == 0, F.lit(0)).otherwise(middle(shared(F.col("head"), F.col("before_tail"))))
     own = pairs.select("row", (until - since).alias("own"))
