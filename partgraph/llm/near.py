@@ -14,7 +14,8 @@ start. No bucket is ever paired out:
    that still are in another component.
 3. Classes of buckets that still hold several components are compared by prefix filter: shingles are ordered from
    rare to common, and a linked pair must share one among the first 15 % of each. Only pairs of different
-   components are made, and one side never is the component that has most of a shingle's rows.
+   components are made, one side never is the component that has most of a shingle's rows, and bounds on sizes,
+   on shingles that others have too, and on the parities of hashed places leave few pairs that aren't links.
 
 So every pair with a common key and enough similarity ends in one component, while the pairs made follow
 the number of classes, not its square. Minhash agreement only sorts out pairs that lie five standard deviations
@@ -42,6 +43,7 @@ SHINGLE = 5
 #: Sketches and minhashes per sketch of each collection.
 A, B = (8, 2), (10, 3)
 HASHES = A[0] * A[1] + B[0] * B[1]
+BITS = 1024  # places of a set's parities
 _RANDOM = np.random.default_rng(20260102)
 TIMES = _RANDOM.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 PLUS = _RANDOM.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -95,10 +97,18 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def parities(found: np.ndarray) -> np.ndarray:
+    """Whether an odd number of shingles falls to each of BITS places. Two sets differ in at least as many shingles as places."""
+    odd = np.bincount((mix(found) >> np.uint64(40)).astype(np.int64) % BITS, minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = [shingles(v.as_buffer().to_pybytes()).view(np.int64) for v in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.list_(pa.int64()))], ["rep", "shingles"])
+        found = [shingles(v.as_buffer().to_pybytes()) for v in batch.column(1)]
+        columns = [[f.view(np.int64) for f in found], [parities(f) for f in found]]
+        arrays = [batch.column(0), *(pa.array(c, pa.list_(pa.int64())) for c in columns)]
+        yield pa.RecordBatch.from_arrays(arrays, ["rep", "shingles", "bits"])
 
 
 def texts_of(docs: DataFrame) -> DataFrame:
@@ -177,12 +187,22 @@ class NearDuplicates:
     def sizes_fit(self, x: str, y: str) -> Column:
         return 100 * F.least(x, y) >= self.percent * F.greatest(x, y)
 
+    def may_link(self, a: str, b: str) -> Column:
+        """False only for pairs whose sets differ in too many shingles: by sizes, shared shingles, and parities."""
+        total = F.col(f"n_{a}") + F.col(f"n_{b}")
+        least = F.ceil(total * self.percent / (100 + self.percent))
+        differ = sum(
+            (F.bit_count(F.col(f"bits_{a}")[i].bitwiseXOR(F.col(f"bits_{b}")[i])) for i in range(BITS // 64)), F.lit(0)
+        )
+        fits = F.least(f"shared_{a}", f"shared_{b}") >= least
+        return self.sizes_fit(f"n_{a}", f"n_{b}") & fits & (differ <= total - 2 * least)
+
     def sets_of(self, pool: DataFrame) -> DataFrame:
         """Full sets of the classes in buckets with more than one."""
         members = self.keys.join(self.pivots.select("key"), "key", "left_semi").select("rep").distinct()
         members = self.scratch.save(members, "members")
         texts = texts_of(self.docs).join(members, F.col("doc_id") == F.col("rep"), "left_semi")
-        return self.scratch.save(map_batches(texts, _sets, "rep long, shingles array<long>"), "sets")
+        return self.scratch.save(map_batches(texts, _sets, "rep long, shingles array<long>, bits array<long>"), "sets")
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets are similar enough."""
@@ -205,24 +225,28 @@ class NearDuplicates:
         named = named.select("key", "rep", F.coalesce("label", "rep").alias("label"))
         mixed = save(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "mixed")
         open_reps = save(named.join(mixed, "key", "left_semi").select("rep", "label").distinct(), "open")
-        sets = self.sets.join(open_reps, "rep").select("rep", "label", F.size("shingles").alias("n"), "shingles")
-        items = save(sets.select("rep", "label", "n", F.explode("shingles").alias("item")), "items")
+        sets = self.sets.join(open_reps, "rep").select("rep", F.size("shingles").alias("n"), "shingles")
+        items = save(sets.select("rep", "n", F.explode("shingles").alias("item")), "items")
         common = save(items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common")
         shared = items.join(common, "item")
         place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "item"))
         alone = F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("rep"))
         first = F.col("n") - F.ceil(F.col("n") * self.percent / 100) + 1
         ranked = shared.withColumn("place", place).withColumn("alone", alone)
-        prefix = save(ranked.where(F.col("alone") + F.col("place") <= first).select("item", "rep", "label", "n"), "prefix")
+        leading = ranked.where(F.col("alone") + F.col("place") <= first)
+        leading = save(leading.select("item", "rep", "n", (F.col("n") - F.col("alone")).alias("shared")), "leading")
+        prefix = save(leading.join(open_reps, "rep").join(self.sets.select("rep", "bits"), "rep"), "prefix")
         most = prefix.groupBy("item", "label").agg(F.count(F.lit(1)).alias("rows")).groupBy("item").agg(
             F.max_by("label", F.struct("rows", "label")).alias("most"), F.count(F.lit(1)).alias("labels")
         )
         most = save(most.where("labels > 1").select("item", "most"), "most")
-        few = prefix.join(most, "item").where("label <> most")
-        few = save(few.select("item", F.col("rep").alias("a"), F.col("label").alias("l_a"), F.col("n").alias("n_a")), "few")
-        many = prefix.select("item", F.col("rep").alias("b"), F.col("label").alias("l_b"), F.col("n").alias("n_b"))
-        fits = (few["item"] == many["item"]) & (F.col("l_a") != F.col("l_b")) & self.sizes_fit("n_a", "n_b")
-        pairs = few.join(many, fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        side = lambda rows, x: rows.select(
+            "item", F.col("rep").alias(x), F.col("label").alias(f"l_{x}"), *(F.col(c).alias(f"{c}_{x}") for c in ("n", "shared", "bits"))
+        )
+        few = save(side(prefix.join(most, "item").where("label <> most"), "a"), "few")
+        many = side(prefix.join(most.select("item"), "item", "left_semi"), "b")
+        found = (few["item"] == many["item"]) & (F.col("l_a") != F.col("l_b")) & self.may_link("a", "b")
+        pairs = few.join(many, found).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return save(pairs, "prefix-pairs")
 
 
