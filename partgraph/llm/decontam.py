@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partgraph.llm.common import text_or_empty
+from partgraph.llm.common import Scratch, text_or_empty
 
 BLOCK = 5
 #: Share of an item's words that must match in place, and share of those that must be no placeholders.
@@ -88,19 +88,18 @@ def one_to_one(pairs: Column) -> Column:
     return (both == distinct("item")) & (both == distinct("doc"))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def bounded(rows: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, broadcast only if it is proven small."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, coverage: float = COVERAGE) -> DataFrame:
     """Documents that hold an item, with the best place of each: doc_id, tie, item_id, place, words matched and counted, slots."""
-    found = candidates(docs, benchmark)
+    found = bounded(scratch.save(candidates(docs, benchmark), "candidates"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(text_or_empty(), True).alias("item_words"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_tie"), text_or_empty().alias("text"))
-    of_docs = found.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("item_id", "place")).alias("places"))
-    worded = (
-        texts.join(of_docs, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie")))
-        .select("doc_id", "tie", "places", words(F.col("text"), True).alias("doc_words"))
-        .dropDuplicates(["doc_id", "tie"])
-    )
-    # only the item's stretch of each document goes on
-    cut = worded.select("doc_id", "tie", "doc_words", F.explode("places").alias("p")).select("doc_id", "tie", "doc_words", "p.item_id", "p.place")
+    cut = texts.join(found, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie")))
+    cut = cut.select("doc_id", "tie", "item_id", "place", words(F.col("text"), True).alias("doc_words"))
     known = items.dropDuplicates(["item_id", "item_words"])
     few = benchmark.limit(BROADCAST_ROWS // 50 + 1).count() <= BROADCAST_ROWS // 50
     joined = cut.join(F.broadcast(known) if few else known, "item_id")
@@ -124,7 +123,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE) ->
     return compared.where(enough & F.col("consistent")).groupBy("doc_id", "tie", "item_id").agg(best).select("doc_id", "tie", "item_id", "b.*")
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """``docs`` without the rows that hold an item."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
+    bad = leaks(docs, benchmark, scratch).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
+    bad = bounded(scratch.save(bad, "leaks"))
     return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tie")), "left_anti")

@@ -42,7 +42,7 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_decontamination")
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that hold a benchmark item."""
-    return decontam.leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark")).drop("tie")
+    return decontam.leaks(read(spark, folder, "documents"), read(spark, folder, "benchmark"), Scratch(spark, "op3")).drop("tie")
 
 
 @query("op4_pii")

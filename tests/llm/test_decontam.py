@@ -3,6 +3,7 @@
 import random
 
 from partgraph.llm import decontam
+from partgraph.llm.common import Scratch
 
 ITEMS = "item_id long, text string, doc_id int, place string"
 QUESTION = "A train with Alice leaves the station at 9 and covers 120 km in 3 hours. How far does the train of Alice go in 5 hours at that speed?"
@@ -14,7 +15,7 @@ def items(llm, rows):
 
 
 def found(llm, documents, docs, bench=((1, QUESTION), (2, PLAIN), (3, None), (4, "too short"), (2, PLAIN))):
-    return {(r.doc_id, r.item_id) for r in decontam.leaks(documents(docs), items(llm, bench)).collect()}
+    return {(r.doc_id, r.item_id) for r in decontam.leaks(documents(docs), items(llm, bench), Scratch(llm, "test")).collect()}
 
 
 def test_planted(llm, documents):
@@ -38,7 +39,7 @@ def test_planted(llm, documents):
     docs += [(100 + i, filler(i) + " " + PLAIN + " " + filler(50)) for i in range(12)] + [(1, docs[0][1])]
     expected = {(1, 1), (2, 1), (5, 2), (6, 2), (None, 2), (11, 2)} | {(100 + i, 2) for i in range(12)}
     assert found(llm, documents, docs) == expected
-    kept = decontam.without_leaks(documents(docs), items(llm, [(1, QUESTION), (2, PLAIN)]))
+    kept = decontam.without_leaks(documents(docs), items(llm, [(1, QUESTION), (2, PLAIN)]), Scratch(llm, "test"))
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", "4", "7", "8", "9"]
     assert kept.columns == documents([]).columns
 
