@@ -25,7 +25,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    return decontam.without_leaks(docs, read(tune(spark), sf_dir, "benchmark"))
+    return decontam.without_leaks(docs, read(tune(spark), sf_dir, "benchmark"), Scratch(spark, "pipeline-leaks"))
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
