@@ -54,6 +54,8 @@ ENTITY_COLUMNS: dict[str, tuple[str, ...]] = {
 
 #: Bigint column with a row's place in its source; "first row" always means smallest value.
 ORDER = "_ORD"
+#: Observed beside each entity: keys that stand for two different natural keys.
+CLASH = "_CLASH"
 
 #: Surrogate key column -> (prefix, natural key columns on the sheet).
 KEYS: dict[str, tuple[str, tuple[str, ...]]] = {

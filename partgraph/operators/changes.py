@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partgraph.functions.derive import KEY_WIDTH, change_label, key_for, surrogate_key
-from partgraph.model import CHANGE_COLUMNS, KEYS, ORDER
+from partgraph.model import CHANGE_COLUMNS, CLASH, KEYS, ORDER
 from partgraph.operators.dedup import keep_first
 from partgraph.operators.ordered import next_value, number_rows
 from partgraph.operators.project import require_columns
@@ -80,8 +80,9 @@ def before_change(changes: DataFrame, tables: Mapping[str, DataFrame], width: in
     A part on several lines shows the one with the smallest code. Only parts that occur in the
     changes are looked up; each is one row on the lookup side.
     """
-    old = key_for("PART_ID", width, PART_NUMBER="PART_NUMBER_BEFORE_CHANGE").alias("OLD_PART_ID")
-    keyed = changes.select("*", old)
+    number = F.coalesce("PART_NUMBER_BEFORE_CHANGE", "PART_NUMBER")  # left blank, the part itself changes
+    old = key_for("PART_ID", width, PART_NUMBER="_OLD_NUMBER").alias("OLD_PART_ID")
+    keyed = changes.withColumn("_OLD_NUMBER", number).select(*changes.columns, old)
     wanted = keyed.select(F.col("OLD_PART_ID").alias("PART_ID")).dropna().distinct()
     parts = tables["part_data"].join(wanted, "PART_ID", "left_semi").select("PART_ID", "SUPPLIER_ID")
     suppliers = tables["supplier_data"].select("SUPPLIER_ID", "SUPPLIER_NAME", "LOCALIZATION")
@@ -118,8 +119,12 @@ def breakpoint_tables(
     )
     label = change_label(F.col("PART_NUMBER_BEFORE_CHANGE"), F.col("PART_NUMBER"))
     numbered = changes.withColumns({"BREAKPOINT_ID": key_for("BREAKPOINT_ID", width), "DESCRIPTION": label})
+    mark = F.xxhash64("BREAKPOINT_NUMBER")
     breakpoints = keep_first(
-        numbered, ["BREAKPOINT_ID"], ["BREAKPOINT_NUMBER", "BREAKPOINT_DATE", "DESCRIPTION"]
+        numbered,
+        ["BREAKPOINT_ID"],
+        ["BREAKPOINT_NUMBER", "BREAKPOINT_DATE", "DESCRIPTION"],
+        extra=[(F.min(mark) != F.max(mark)).alias(CLASH)],
     ).withColumn("INPUT_DATE", entered)
     given = [c for c in CHANGE_COLUMNS if c.endswith("_BEFORE_CHANGE")]
     old = F.coalesce(F.col("OLD_PART_ID"), F.col("NEW_PART_ID"))

@@ -35,9 +35,11 @@ def with_first_place(df: DataFrame, columns: Sequence[str], order: str = ORDER)
     return df.groupBy(*columns).agg(F.min(order).alias(order))
 
 
-def keep_first(df: DataFrame, key: Sequence[str], payload: Sequence[str], order: str = ORDER) -> DataFrame:
+def keep_first(
+    df: DataFrame, key: Sequence[str], payload: Sequence[str], order: str = ORDER, extra: Sequence[Column] = ()
+) -> DataFrame:
     """One row per key, the first by ``order``: distinct rows first, then the first of each key."""
-    return first_per_key(with_first_place(df, [*key, *payload], order), key, payload, order)
+    return first_per_key(with_first_place(df, [*key, *payload], order), key, payload, order, extra)
 
 
 def distinct_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -7,12 +7,28 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partgraph.model import ORDER
+
 
 def new_rows(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
     """Incoming rows whose key the table does not have yet; both sides hold a key once."""
     return incoming.join(existing.select(*key), list(key), "left_anti")
 
 
+def new_entities(existing: DataFrame, incoming: DataFrame, key: Sequence[str], parts: Sequence[str], clash: str) -> DataFrame:
+    """Incoming rows with new keys, and those whose key the table has for another natural key.
+
+    The latter are marked in column ``clash``, beside what it marks already, so a load can refuse them
+    instead of taking two entities for one.
+    """
+    mark = F.xxhash64(*[F.col(p).cast("string") for p in parts])
+    known = existing.select(*key, mark.alias("_STORED"))
+    other = F.col("_STORED").isNotNull() & (F.col("_STORED") != mark)
+    before = F.col(clash) if clash in incoming.columns else F.lit(False)
+    marked = incoming.join(known, list(key), "left").withColumn(clash, F.coalesce(before, F.lit(False)) | other)
+    return marked.where(F.col("_STORED").isNull() | other).drop("_STORED")
+
+
 def insert_new(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
     """The table with the new rows added; rows already there stay as they are."""
     return existing.unionByName(new_rows(existing, incoming, key), allowMissingColumns=True)
@@ -22,11 +38,14 @@ def correct_rows(existing: DataFrame, corrections: DataFrame, key: Sequence[str]
     """Corrected table: a filled correction replaces the value, an open one keeps it.
 
     The key picks the row and never changes, nor does any surrogate key column: identity is given
-    at first insert. Corrections for unknown keys change nothing. ``corrections`` holds a key once.
+    at first insert. Corrections for unknown keys change nothing. Of several corrections of a key the first
+    counts, by the order column if there is one, then by their values.
     """
     fields = [
         c for c in corrections.columns if c in existing.columns and c not in key and not c.endswith("_ID")
     ]
-    new = corrections.select(*key, *[F.col(c).alias(f"_NEW_{c}") for c in fields])
+    order = [ORDER] if ORDER in corrections.columns else []
+    once = corrections.groupBy(*key).agg(F.min(F.struct(*order, *fields)).alias("_first"))
+    new = once.select(*key, *[F.col(f"_first.{c}").alias(f"_NEW_{c}") for c in fields])
     values = {c: F.coalesce(F.col(f"_NEW_{c}").try_cast(existing.schema[c].dataType), F.col(c)) for c in fields}
     return existing.join(new, list(key), "left").withColumns(values).select(*existing.columns)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partgraph.functions.derive import KEY_WIDTH, area_m2, default_to, key_for, packaging_number, volume_m3
-from partgraph.model import ENTITY_COLUMNS, KEYS, ORDER, TABLES
+from partgraph.model import CLASH, ENTITY_COLUMNS, KEYS, ORDER, TABLES
 from partgraph.operators.dedup import first_per_key, with_first_place
 from partgraph.operators.project import require_columns
 from partgraph.operators.recipe import apply_recipe, sheet_recipe
@@ -27,8 +27,6 @@ _ENTITIES = {
     "workshop_data": ("workshop", ()),
     "line_data": ("line", ("WORKSHOP_ID",)),
 }
-#: Observed beside each entity: keys that stand for two different natural keys.
-CLASH = "_CLASH"
 #: Place and raw values of the row an entity comes from.
 RANK = "_RANK"
 

@@ -42,6 +42,10 @@ def smallint(column: str) -> Rule:
     return Rule("smallint", column, ~F.col(column).between(-32768, 32767))
 
 
+def int_range(column: str) -> Rule:
+    return Rule("int", column, ~F.col(column).between(-(2**31), 2**31 - 1))
+
+
 def decimal_range(column: str, kind: str = "decimal(5,2)") -> Rule:
     return Rule("decimal", column, F.col(column).isNotNull() & F.col(column).try_cast(kind).isNull())
 
@@ -58,6 +62,8 @@ def table_rules(table: str, width: int = KEY_WIDTH) -> list[Rule]:
             rules.append(max_length(column, len(KEYS[column][0]) + width if column in KEYS else limit))
         if kind == "smallint":
             rules.append(smallint(column))
+        if kind == "int":
+            rules.append(int_range(column))
         if kind.startswith("decimal"):
             rules.append(decimal_range(column, kind))
     return rules

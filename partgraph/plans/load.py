@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partgraph.functions.derive import KEY_WIDTH
-from partgraph.model import CHANGE_TABLES, ENTITY_TABLES, LINK_TABLES, TABLES
+from partgraph.model import CHANGE_TABLES, CLASH, ENTITY_TABLES, KEYS, LINK_TABLES, TABLES, dependants
 from partgraph.operators.changes import breakpoint_tables, type_changes
-from partgraph.operators.edits import new_rows
-from partgraph.operators.normalize import CLASH, build_table
+from partgraph.operators.edits import correct_rows, new_entities, new_rows
+from partgraph.operators.normalize import build_table
 from partgraph.operators.project import is_complete, require_columns, split_sheet, upper_headers
-from partgraph.operators.quality import broken_rules, count_rows, null_key_count, row_key, table_rules
+from partgraph.operators.quality import Rule, broken_rules, count_rows, null_key_count, row_key, table_rules
 from partgraph.plans.store import TableStore, to_declared
-from partgraph.session import stage
+from partgraph.session import delete, scratch
 
 REPORT_SCHEMA = "table_name string, stage string, rows bigint, status string, error string"
 
@@ -35,21 +36,26 @@ class TableLoad:
     folders: tuple[str, ...] = ()
     rejected: int = 0
     error: str | None = None
+    published: bool = True
 
     @property
     def status(self) -> str:
-        return "failed" if self.error else "loaded" if self.rows else "empty"
+        if self.error:
+            return "failed"
+        return ("loaded" if self.rows else "empty") if self.published else "not published"
 
 
 def write_table(
-    store: TableStore, df: DataFrame, table: str, quarantine: bool = False, width: int = KEY_WIDTH
-) -> TableLoad:
+    store: TableStore, df: DataFrame, table: str, quarantine: bool = False, width: int = KEY_WIDTH,
+    parents: Mapping[str, DataFrame] = MappingProxyType({}),
+) -> TableLoad:
     """Check and write one table in a single pass; the result is not visible yet.
 
     Row count, open keys, broken rules and key clashes are counted while the rows are written. A
     table with an open key or a clash is refused, one with broken rules too, unless ``quarantine``
-    is set: then those rows go to a folder of their own, with the rules they break and their raw
-    values, and the rest is loaded.
+    is set: then those rows go to a folder of their own, with the rules they break and their cleaned
+    values, and the rest is loaded. ``parents`` are tables by the column that refers to them: a row
+    whose parent is not there breaks rule ``fk``.
     """
     declared = TABLES[table]
     require_columns(df, declared.key, table)
@@ -60,7 +66,12 @@ def write_table(
     open_key = F.lit(False)
     for c in declared.key:
         open_key = open_key | F.col(c).isNull()
+    for column, parent in parents.items():
+        known = parent.select(F.col(parent.columns[0]).alias(column)).distinct().withColumn(f"_HAS_{column}", F.lit(True))
+        df = df.join(known, column, "left")
+        rules.append(Rule("fk", column, F.col(column).isNotNull() & F.col(f"_HAS_{column}").isNull()))
     marked = df.withColumns({"_RULES": broken_rules(rules), "_OPEN": open_key})
+    marked = marked.drop(*(f"_HAS_{column}" for column in parents))
     broken = F.size("_RULES") > 0
     metrics: dict[str, Column] = {
         "rows": F.count(F.lit(1)),
@@ -72,6 +83,8 @@ def write_table(
         raw = F.when(broken, F.to_json(F.struct(*[c for c in df.columns if not c.startswith("_")])))
         marked = marked.withColumns({"_RAW": raw, "_OK": ~broken})
     folder, seen = store.write(to_declared(marked, table), table, metrics, "_OK" if quarantine else None)
+    if seen["open_keys"] or seen["clashes"] or (seen["broken"] and not quarantine):
+        store.discard([folder])
     if seen["open_keys"]:
         raise LoadError(f"{table}: {seen['open_keys']} rows without primary key {declared.key}")
     if seen["clashes"]:
@@ -100,15 +113,33 @@ def load_table(
     With ``truncate`` the old rows go, and the tables that reference this one are emptied; without
     it only rows with new keys are added.
     """
+    version, current = store.version(), store.current()
     if not truncate:
-        df = new_rows(store.read(table), df, TABLES[table].key)
+        df = only_new(store.read_folders(table, current.get(table, [])), df, table)
     done = write_table(store, df, table, quarantine)
     if not done.rows:
         return 0
-    if truncate:
-        store.truncate(table)
-    current = store.current()
-    store.publish({**current, table: [*([] if truncate else current.get(table, [])), *done.folders]})
+    kept = {t: [] if truncate and t in dependants(table) else folders for t, folders in current.items()}
+    old = [] if truncate else current.get(table, [])
+    store.publish({**kept, table: [*old, *done.folders]}, version)
+    return done.rows
+
+
+def only_new(existing: DataFrame, incoming: DataFrame, table: str) -> DataFrame:
+    """Rows with new keys; keys the table has for another natural key are marked as clashes."""
+    key = TABLES[table].key
+    parts = KEYS[key[0]][1] if len(key) == 1 and key[0] in KEYS else ()
+    if not parts or any(p not in incoming.columns or p not in existing.columns for p in parts):
+        return new_rows(existing, incoming, key)
+    return new_entities(existing, incoming, key, parts, CLASH)
+
+
+def correct_table(store: TableStore, corrections: DataFrame, table: str, key: Sequence[str], width: int = KEY_WIDTH) -> int:
+    """Store corrections of a table's rows: rules are checked, tables that refer to it stay. Returns its rows."""
+    version, current = store.version(), store.current()
+    corrected = correct_rows(store.read_folders(table, current.get(table, [])), corrections, key)
+    done = write_table(store, corrected, table, width=width)
+    store.publish({**current, table: list(done.folders)}, version)
     return done.rows
 
 
@@ -119,10 +150,19 @@ def _attempt(table: str, load: Callable[[], TableLoad]) -> TableLoad:
         return TableLoad(table, error=str(error).split("\n", 1)[0])
 
 
-def prepare_sheet(sheet: DataFrame) -> DataFrame:
+def prepare_sheet(sheet: DataFrame, path: str) -> DataFrame:
     """Raw sheet with normal headers, written to Parquet once, so that each table's plan reads only
     its own columns, whatever the source."""
-    return stage(upper_headers(sheet), "sheet")
+    rows = upper_headers(sheet)
+    rows.write.parquet(path)
+    return sheet.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+#: Tables in the order of their references: those of one level don't refer to each other.
+LEVELS = tuple(
+    tuple(t for t in (*ENTITY_TABLES, *LINK_TABLES) if (t in LINK_TABLES, bool(TABLES[t].references)) in level)
+    for level in ({(False, False)}, {(False, True)}, {(True, True), (True, False)})
+)
 
 
 def load_sheet(
@@ -140,24 +180,48 @@ def load_sheet(
     """Full load of a raw sheet and, if given, a raw change sheet; returns the report.
 
     The tables are independent jobs over the staged sheet, so up to ``parallel`` run side by side.
-    With ``all_or_nothing`` one failed table keeps the old version of all tables.
+    With ``all_or_nothing`` one failed table keeps the old version of all tables. Keys of parents and
+    children come from the same rows, so a child can only lack a parent that was refused or set aside:
+    then its rows are checked against what the parent's table will hold. Without a change sheet the
+    change tables stay as they are. Another load published in between makes this one fail.
     """
-    spark = store.spark
-    raw = prepare_sheet(sheet)
+    spark, path = store.spark, scratch(store.spark, "sheet")
+    raw = prepare_sheet(sheet, path)
+    try:
+        return _load_raw(store, raw, changes, truncate, quarantine, all_or_nothing, readings, width, parallel, stamp)
+    finally:
+        delete(spark, path)
+
+
+def _load_raw(
+    store: TableStore, raw: DataFrame, changes: DataFrame | None, truncate: bool, quarantine: bool, all_or_nothing: bool,
+    readings: Column | None, width: int, parallel: int, stamp: str | None,
+) -> DataFrame:
     if not is_complete(split_sheet(raw)):
         return _report(store, [TableLoad(t, error="no sheet rows") for t in ENTITY_TABLES])
-    old = store.read_all()
+    version, current = store.version(), store.current()
+    old = {t: store.read_folders(t, current.get(t, [])) for t in TABLES}
+    done: list[TableLoad] = []
 
     def job(table: str, df: DataFrame) -> TableLoad:
-        rows = df if truncate else new_rows(old[table], df, TABLES[table].key)
-        return write_table(store, rows, table, quarantine, width)
+        rows = df if truncate else only_new(old[table], df, table)
+        # of a load that will not be published, each table reports its own faults only
+        lacking = {d.table for d in done if d.rejected or (d.error and not all_or_nothing)}
+        folders = _folders(current, done, truncate)
+        parents = {
+            column: store.read_folders(parent, folders[parent]).select(TABLES[parent].key[0])
+            for column, parent in TABLES[table].references.items()
+            if parent in lacking
+        }
+        return write_table(store, rows, table, quarantine, width, parents)
 
     def build(table: str) -> TableLoad:
         return _attempt(table, lambda: job(table, build_table(raw, table, True, readings, width)))
 
     with ThreadPoolExecutor(parallel) as pool:
-        done = list(pool.map(build, [*ENTITY_TABLES, *LINK_TABLES]))
-    folders = _folders(store.current(), done, truncate)
+        for level in LEVELS:
+            done += list(pool.map(build, level))
+    folders = _folders(current, done, truncate)
     if changes is not None:
         tables = {t: store.read_folders(t, folders.get(t, [])) for t in TABLES}
         parts = breakpoint_tables(type_changes(changes), tables, width, stamp)
@@ -165,9 +229,15 @@ def load_sheet(
             done.append(_attempt(table, lambda t=table: job(t, parts[t])))
         if any(d.error for d in done[-2:]):
             done[-2:] = [TableLoad(d.table, error=d.error or "other change table failed") for d in done[-2:]]
-        folders = _folders(store.current(), done, truncate)
-    if not (all_or_nothing and any(d.error for d in done)):
-        store.publish(folders)
+        folders = _folders(current, done, truncate)
+    else:
+        folders |= {t: current.get(t, []) for t in CHANGE_TABLES}
+    if all_or_nothing and any(d.error for d in done):
+        for d in done:
+            d.published = False
+            store.discard(d.folders)
+    else:
+        store.publish(folders, version)
     return _report(store, done)
 
 

@@ -39,12 +39,25 @@ class TableStore:
         numbers = self._pointers()
         if not numbers:
             return {}
-        rows = self.spark.read.text(f"{self.root}/_pointer/{numbers[-1]:012d}.json", wholetext=True)
-        return json.loads(rows.first()[0])
+        file = self._fs.open(self._path(f"{self.root}/_pointer/{numbers[-1]:012d}.json"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8"))
+        finally:
+            file.close()
+
+    def version(self) -> int:
+        """Number of the current pointer; 0 before the first."""
+        return max(self._pointers(), default=0)
+
+    def publish(self, folders: Mapping[str, list[str]], expected: int | None = None) -> None:
+        """Make ``folders`` the current tables.
 
-    def publish(self, folders: Mapping[str, list[str]]) -> None:
-        """Make ``folders`` the current tables. Fails if another load published meanwhile."""
+        Fails if another load published meanwhile: since ``expected``, the version the caller read, or
+        while this one is being named.
+        """
         numbers = self._pointers()
+        if expected is not None and max(numbers, default=0) != expected:
+            raise RuntimeError("another load published first; repeat this one")
         target = self._path(f"{self.root}/_pointer/{(numbers[-1] if numbers else 0) + 1:012d}.json")
         draft = self._path(f"{self.root}/_pointer/draft-{uuid.uuid4().hex}")
         out = self._fs.create(draft, False)
@@ -86,10 +99,10 @@ class TableStore:
 
     def append(self, df: DataFrame, table: str) -> int:
         """Append rows as they are and return their number; nothing is written for an empty frame."""
+        version, current = self.version(), self.current()
         folder, seen = self.write(to_declared(df, table), table, {"rows": F.count(F.lit(1))})
         if seen["rows"]:
-            current = self.current()
-            self.publish({**current, table: [*current.get(table, []), folder]})
+            self.publish({**current, table: [*current.get(table, []), folder]}, version)
         return seen["rows"]
 
     def truncate(self, table: str, cascade: bool = True) -> list[str]:
@@ -97,12 +110,17 @@ class TableStore:
 
         Returns the emptied tables; a table the store does not have is left out, without error.
         """
-        current = self.current()
+        version, current = self.version(), self.current()
         emptied = [t for t in [table, *(dependants(table) if cascade else [])] if t in current]
         if emptied:
-            self.publish({t: [] if t in emptied else folders for t, folders in current.items()})
+            self.publish({t: [] if t in emptied else folders for t, folders in current.items()}, version)
         return emptied
 
+    def discard(self, folders: Iterable[str]) -> None:
+        """Delete folders of a load that no pointer ever named."""
+        for folder in folders:
+            self._fs.delete(self._path(folder), True)
+
 
 def to_declared(df: DataFrame, table: str) -> DataFrame:
     """The table's columns in their declared types; columns the frame lacks are null."""

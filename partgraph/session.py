@@ -47,6 +47,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{workspace(spark)}/partgraph/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the working folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -102,7 +102,7 @@ def test_refused_table(spark, store):
     report = {r["table_name"]: r for r in load.load_sheet(store, sheet(spark, *bad)).collect()}
     assert report["part_data"]["status"] == report["supplier_data"]["status"] == "failed"
     assert "1 rows break" in report["part_data"]["error"]
-    assert report["box_data"]["status"] == "loaded"
+    assert report["box_data"]["status"] == "not published"
     assert counts(store) == {}  # all or nothing
     load.load_sheet(store, sheet(spark, *bad), all_or_nothing=False)
     assert "part_data" not in counts(store) and counts(store)["box_data"] == 2
@@ -112,10 +112,11 @@ def test_quarantine_keeps_every_row(spark, store):
     bad = (*ROWS, row(PART_NUMBER="P8", PART_WEIGHT_KG="1000"), row(PART_NUMBER="P9", LOCALIZATION="maybe", CITY="X"))
     report = load.load_sheet(store, sheet(spark, *bad), quarantine=True).collect()
     assert {r["status"] for r in report} == {"loaded"}
-    assert counts(store)["part_data"] == 4 and counts(store)["supplier_data"] == 2
+    assert counts(store)["part_data"] == 3 and counts(store)["supplier_data"] == 2
     (folder,) = store.current()["part_data"]
-    (aside,) = load.read_quarantine(store, "part_data", folder).collect()
-    assert aside["rules"] == ["decimal:PART_WEIGHT_KG"] and '"PART_WEIGHT_KG":1000.0' in aside["raw"]
+    aside = {tuple(r["rules"]): r["raw"] for r in load.read_quarantine(store, "part_data", folder).collect()}
+    assert set(aside) == {("decimal:PART_WEIGHT_KG",), ("fk:SUPPLIER_ID",)}  # P9's supplier was set aside as well
+    assert '"PART_WEIGHT_KG":1000.0' in aside[("decimal:PART_WEIGHT_KG",)]
 
 
 def test_key_clash_refuses_the_table(spark, store):
@@ -158,6 +159,50 @@ def test_two_publishers(spark, store):
         store.publish({"part_data": ["x"]})
 
 
+def test_writer_between_read_and_publish(spark, store):
+    version = store.version()
+    store.publish({"box_data": ["other"]})
+    with pytest.raises(RuntimeError, match="published first"):
+        store.publish({"part_data": ["x"]}, version)
+    assert store.current() == {"box_data": ["other"]}
+
+
+def test_append_refuses_a_key_that_stands_for_another_part(spark, store):
+    load.load_sheet(store, sheet(spark, *[row(PART_NUMBER=f"P{i}") for i in range(3)]), width=1)
+    before = counts(store)
+    report = {r["table_name"]: r for r in load.load_sheet(store, sheet(spark, *[row(PART_NUMBER=f"Q{i}") for i in range(60)]), truncate=False, width=1).collect()}
+    assert "wider keys" in report["part_data"]["error"] and report["part_to_box"]["status"] == "not published"
+    assert counts(store) == before
+
+
+def test_quarantined_parent_takes_its_links_along(spark, store):
+    load.load_sheet(store, sheet(spark, *ROWS, row(PART_NUMBER="P8", PART_WEIGHT_KG="1000")), quarantine=True)
+    assert quality.orphans(store.read_all()).isEmpty()
+    assert counts(store)["part_data"] == 3 and counts(store)["part_to_line"] == EXPECTED["part_to_line"]
+
+
+def test_reload_without_changes_keeps_history(spark, store):
+    given = changes_of(spark, ("BP1", "2026-02-01", "P2", "P1", None), ("BP2", "2026-02-02", "P2", None, None))
+    load.load_sheet(store, sheet(spark, *ROWS), given)
+    load.load_sheet(store, sheet(spark, *ROWS))
+    assert counts(store)["breakpoint_data"] == 2
+    same = store.read("part_to_breakpoint").join(store.read("breakpoint_data"), "BREAKPOINT_ID").where("BREAKPOINT_NUMBER = 'BP2'")
+    assert same.first()["SUPPLIER_NAME_BEFORE_CHANGE"] == "Bolt Factory"  # a blank old number is the part itself
+
+
+def test_amounts_past_int_are_refused(spark, store):
+    report = {r["table_name"]: r for r in load.load_sheet(store, sheet(spark, row(PART_PER_BOX="3000000000"))).collect()}
+    assert "break integrity rules" in report["part_to_box"]["error"]
+
+
+def test_corrections_are_stored_without_cascade(spark, store):
+    load.load_sheet(store, sheet(spark, *ROWS))
+    given = spark.createDataFrame([("P1", "New Name"), ("P1", "Other"), ("P9", "x")], "PART_NUMBER string, PART_NAME string")
+    assert load.correct_table(store, given, "part_data", ["PART_NUMBER"]) == 3
+    assert counts(store) == EXPECTED
+    assert store.read("part_data").where("PART_NUMBER = 'P1'").first()["PART_NAME"] == "New Name"
+
+
 def test_append_returns_rows(spark, store):
     part = spark.createDataFrame([("WSP_1", "AS", "Assembly")], "WORKSHOP_ID string, WORKSHOP_CODE string, WORKSHOP_NAME string")
     assert store.append(part, "workshop_data") == 1
