@@ -18,11 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partgraph.llm.common import Scratch, map_batches, text_or_empty
-from partgraph.llm.words import mix, windows, word_hashes
+from partgraph.llm.words import mix, windows
 
 SPAN, MIN_WORDS = 2, 8
 SCHEMA = "doc_id long, tie long, place long, start long, end long, hash long"
@@ -42,9 +43,9 @@ def runs(text: str, span: int, min_words: int) -> Iterator[tuple[int, int, int,
         return
     hashes, counts = np.zeros(len(places), np.uint64), np.zeros(len(places), int)
     for i, (start, end) in enumerate(places):
-        words = word_hashes(text[start:end].lower().encode())
+        words = text[start:end].lower().split()
         counts[i] = len(words)
-        hashes[i] = windows(words, len(words))[0] + np.uint64(len(words))
+        hashes[i] = xxhash.xxh64_intdigest(" ".join(words))
     joined = mix(windows(hashes, span)).view(np.int64).tolist()
     totals = np.convolve(counts, np.ones(span, int), "valid").tolist()
     for i, (h, words) in enumerate(zip(joined, totals)):
