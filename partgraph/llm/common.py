@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows of an Arrow batch: long texts must not add up to more than a worker's memory.
 BATCH_ROWS = 500
+#: Rows of a few numbers up to which a table is broadcast; beyond, Spark chooses the join.
+BROADCAST_ROWS = 500_000
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -66,6 +68,11 @@ class Scratch:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """A written table of a few numbers a row, broadcast only if a count proves that it is small."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` under a name of its own: one place to see where rows go through Python."""
     return df.mapInArrow(run, schema)

@@ -17,13 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partgraph.llm.common import Scratch, text_or_empty
+from partgraph.llm.common import BROADCAST_ROWS, Scratch, bounded, text_or_empty
 
 BLOCK = 5
 #: Share of an item's words that must match in place, and share of those that must be no placeholders.
 COVERAGE, PLAIN = 0.6, 0.5
-#: Windows of all items up to which they are broadcast; beyond, Spark chooses the join. 16 bytes a row.
-BROADCAST_ROWS = 500_000
 # Units that may follow a number.
 UNITS = (
     "percent|kilometers|kilometres|kilograms|centimeters|meters|metres|miles|feet|inches|grams|pounds|ounces|liters|litres|"
@@ -75,9 +73,7 @@ def document_blocks(docs: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Places in documents at which an item may begin; negative where the document has only its end."""
-    windows = item_windows(benchmark)
-    few = windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = document_blocks(docs).join(F.broadcast(windows) if few else windows, "hash")
+    joined = document_blocks(docs).join(bounded(item_windows(benchmark)), "hash")
     return joined.select("doc_id", "tie", "item_id", (F.col("doc_place") - F.col("item_place")).alias("place")).distinct()
 
 
@@ -88,11 +84,6 @@ def one_to_one(pairs: Column) -> Column:
     return (both == distinct("item")) & (both == distinct("doc"))
 
 
-def bounded(rows: DataFrame) -> DataFrame:
-    """A written table of a few numbers a row, broadcast only if it is proven small."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, coverage: float = COVERAGE) -> DataFrame:
     """Documents that hold an item, with the best place of each: doc_id, tie, item_id, place, words matched and counted, slots."""
     found = bounded(scratch.save(candidates(docs, benchmark), "candidates"))

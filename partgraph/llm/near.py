@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from partgraph.llm.common import Scratch, map_batches, text_or_empty
+from partgraph.llm.common import Scratch, bounded, map_batches, text_or_empty
 from partgraph.llm.links import components
 from partgraph.llm.words import mix, windows, word_hashes
 
@@ -260,10 +260,11 @@ def one_of_each(docs: DataFrame, scratch: Scratch, percent: int = 85) -> DataFra
     """The rows of ``docs`` that are kept; rows equal in id and text stay once."""
     found = near_duplicates(docs, scratch, percent).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("kept").alias("kept"))
     marked = scratch.save(found, "marked")
-    out = marked.where("not kept").select(F.col("doc_id").alias("_id"))
+    out = bounded(marked.where("not kept").select(F.col("doc_id").alias("_id")))
     twice = marked.where("kept and rows > 1 and doc_id is not null").select(F.col("doc_id").alias("_id"))
     kept = docs.join(out, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
     if twice.isEmpty():
         return kept
+    twice = bounded(twice)
     again = kept.join(twice, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(twice, F.col("doc_id").cast("long") == F.col("_id"), "left_anti").unionByName(again)
