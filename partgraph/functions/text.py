@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -34,7 +34,13 @@ _CHINESE_OR_RUN = f"({CHINESE}|[^{CHINESE[1:]}+)"
 _WORD_OR_GAP = r"([\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+)"
 #: What makes initcap() differ from the title rule: other characters, a letter after a digit. (A
 #: search for one bad spot; a pattern over the whole text would recurse once per word.)
-_NOT_PLAIN = r"[^A-Za-zА-Яа-яЁё0-9 ]|[0-9][A-Za-zА-Яа-яЁё]"
+_OTHER = r"[^A-Za-zА-Яа-яЁё0-9 ]"
+_NOT_PLAIN = _OTHER + r"|[0-9][A-Za-zА-Яа-яЁё]"
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which stands in the plan and is evaluated once, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def has_chinese(col: Column) -> Column:
@@ -75,8 +81,7 @@ def transliterate(col: Column, readings: Column) -> Column:
         for low, high in _BLOCKS:
             index = F.when(point.between(low, high), point - (low - start - 1)).otherwise(index)
             start += high - low + 1
-        reading = F.get(readings, index - 1)
-        return F.when(F.length(reading) > 0, reading).otherwise(piece)
+        return bind(F.get(readings, index - 1), lambda reading: F.when(F.length(reading) > 0, reading).otherwise(piece))
 
     pieces = F.regexp_extract_all(col, F.lit(_CHINESE_OR_RUN), F.lit(1))
     latin = F.array_join(F.transform(pieces, read), "")
@@ -108,16 +113,19 @@ def trim_text(col: Column) -> Column:
     return F.trim(col)
 
 
-def title_case(col: Column) -> Column:
+def title_case(col: Column, special: str = _NOT_PLAIN) -> Column:
     """First character of every word upper, the rest lower; any non-alphanumeric ends a word.
 
-    Plain Latin and Cyrillic words between spaces, the usual case, need no splitting into words.
+    Plain Latin and Cyrillic words between spaces, the usual case, need no splitting into words;
+    ``special`` finds the texts that do.
     """
-    words = F.regexp_extract_all(col, F.lit(_WORD_OR_GAP), F.lit(1))
-    titled = F.transform(
-        words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))
-    )
-    return F.when(col.rlike(_NOT_PLAIN), F.array_join(titled, "")).otherwise(F.initcap(col))
+
+    def titled(text: Column) -> Column:
+        words = F.regexp_extract_all(text, F.lit(_WORD_OR_GAP), F.lit(1))
+        upper = F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
+        return F.when(text.rlike(special), F.array_join(upper, "")).otherwise(F.initcap(text))
+
+    return bind(col, titled)
 
 
 def clean_text_basic(col: Column) -> Column:
@@ -134,7 +142,8 @@ def clean_text(col: Column, readings: Column | None = None) -> Column:
     if readings is not None:
         col = transliterate(col, readings)
     broken = F.regexp_replace(col, _BREAK, " $1")
-    return title_case(trim_text(F.regexp_replace(broken, _GAP, " ")))
+    # no letter stands behind a digit any more
+    return title_case(trim_text(F.regexp_replace(broken, _GAP, " ")), _OTHER)
 
 
 def clean_text_steps(col: Column) -> Column:
