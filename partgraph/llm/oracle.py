@@ -46,3 +46,40 @@ FROM documents d LEFT JOIN sets s ON s.doc_id = d.doc_id LEFT JOIN reps ON reps.
 LEFT JOIN low ON low.a = reps.rep
 """
 ORACLES["op7_near_dedup"] = _NEAR
+
+ORACLES["op9_revisits"] = r"""
+WITH visits AS (
+  SELECT CAST(page_id AS BIGINT) AS p, url, html, unnest(range(0, 6)) AS v FROM pages
+), versions AS (
+  SELECT *, (v = 0 AND p % 7 <> 0) OR (v = 1 AND p % 7 = 0) OR (v = 3 AND p % 5 = 0) AS is_full,
+    CASE WHEN v >= 3 AND p % 5 = 0 THEN 2 ELSE 1 END AS version
+  FROM visits
+), records AS (
+  SELECT p * 6 + v AS record_id, is_full, v * 86400 + p % 86400 AS time, html || '|' || version AS body, 'day ' || v AS date,
+    '"' || p || '-' || CASE WHEN p % 11 = 0 AND NOT is_full THEN 9 ELSE version END || '"' AS tag,
+    regexp_replace(trim(CASE WHEN v % 2 = 1 THEN url || '#again' ELSE url END), '#.*$', '') AS bare
+  FROM versions
+), cut AS (
+  SELECT *, regexp_replace(lower(regexp_extract(bare, '^[A-Za-z]+://([^/?]*)', 1)), ':(80|443)$', '') AS host,
+    regexp_replace(bare, '^[A-Za-z]+://[^/?]*', '') AS rest
+  FROM records
+), params AS (
+  SELECT *, regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '') AS path,
+    list_sort(list_filter(string_split(regexp_extract(rest, '\?(.*)$', 1), '&'),
+      lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)'))) AS asked
+  FROM cut
+), keyed AS (
+  SELECT *, 'https://' || host || path || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END AS url_key FROM params
+), dated AS (
+  SELECT *, last_value(CASE WHEN is_full THEN record_id END IGNORE NULLS) OVER (PARTITION BY url_key ORDER BY time, record_id) AS latest FROM keyed
+), judged AS (
+  SELECT r.record_id, CASE WHEN r.url_key IS NOT NULL THEN r.latest END AS response_id, r.tag, r.date, o.body,
+    CASE WHEN r.record_id IS NULL OR r.url_key IS NULL OR r.time IS NULL THEN 'invalid' WHEN r.latest IS NULL THEN 'missing'
+      WHEN r.tag = o.tag THEN 'resolved' ELSE 'mismatch' END AS status
+  FROM dated r LEFT JOIN keyed o ON o.record_id = r.latest AND o.is_full WHERE NOT r.is_full
+)
+SELECT record_id, response_id, status, CASE WHEN status = 'resolved' THEN 'W/' || tag END AS etag,
+  CASE WHEN status = 'resolved' THEN date END AS date, CASE WHEN status = 'resolved' THEN 'origin' END AS server,
+  CASE WHEN status = 'resolved' THEN length(body) END AS payload_chars, CASE WHEN status = 'resolved' THEN md5(body) END AS payload_md5
+FROM judged
+"""
