@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from partgraph.llm import classifier, decontam, near, packing, pii
 from partgraph.llm.common import Scratch, read, tune
 
+#: The 85 of op7 is its own contract.
+NEAR_PERCENT = 80
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
@@ -19,8 +22,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near.one_of_each(docs, Scratch(tune(spark), "pipeline-near"))
+    """One document of each group of near duplicates: similarity of word shingles from NEAR_PERCENT."""
+    return near.one_of_each(docs, Scratch(tune(spark), "pipeline-near"), NEAR_PERCENT)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

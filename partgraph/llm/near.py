@@ -3,7 +3,7 @@
 A document's set holds its distinct runs of ``SHINGLE`` words. Two small collections of sketches are made of it:
 ``A`` of two minhashes each and ``B`` of three. Table keys are all pairs of a sketch from each, so 8 and 10 sketches,
 46 minhashes, serve 80 tables of five minhashes, which would take 400 by themselves. A pair at the threshold
-shares no key with probability 1e-4.
+shares no key with probability 1e-4; the numbers of sketches follow from that (10 and 14 at 0.80).
 
 Keys only lead to comparisons; links are confirmed on full sets. Copies with equal sets are one class from the
 start. No bucket is ever paired out:
@@ -13,7 +13,7 @@ start. No bucket is ever paired out:
    and all others are compared with it: first each class with the pivot its minhashes agree with most, then those
    that still are in another component.
 3. Classes of buckets that still hold several components are compared by prefix filter: shingles are ordered from
-   rare to common, and a linked pair must share one among the first 15 % of each. Only pairs of different
+   rare to common, and a linked pair must share one among the first 15 % of each (20 % at 0.80). Only pairs of different
    components are made, one side never is the component that has most of a shingle's rows, and bounds on sizes,
    on shingles that others have too, and on the parities of hashed places leave few pairs that aren't links.
 
@@ -27,7 +27,8 @@ kept. Rows that share an id are one node. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,13 +41,10 @@ from partgraph.llm.links import components
 from partgraph.llm.words import mix, windows, word_hashes
 
 SHINGLE = 5
-#: Sketches and minhashes per sketch of each collection.
-A, B = (8, 2), (10, 3)
-HASHES = A[0] * A[1] + B[0] * B[1]
+#: Minhashes per sketch of each collection, and the probability that a pair at the threshold shares no sketch of it.
+SKETCHES = ((2, 4e-5), (3, 8e-5))
 BITS = 1024  # places of a set's parities
-_RANDOM = np.random.default_rng(20260102)
-TIMES = _RANDOM.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-PLUS = _RANDOM.integers(0, 2**63, HASHES, dtype=np.uint64)
+SALT = np.uint64(0x5851F42D4C957F2D)
 
 SCHEMA = "doc_id long, n_shingles long, key1 long, key2 long, minhashes array<int>, sketches array<long>"
 
@@ -59,42 +57,54 @@ def shingles(text: bytes) -> np.ndarray:
     return np.unique(windows(words, SHINGLE) if len(words) >= SHINGLE else windows(words, len(words)) + np.uint64(len(words)))
 
 
-def minhashes(found: np.ndarray) -> np.ndarray:
-    """HASHES minhashes of 32 bits."""
-    low = np.full(HASHES, 2**64 - 1, np.uint64)
-    for at in range(0, len(found), 4096):
-        part = found[at : at + 4096]
-        low = np.minimum(low, ((part[None, :] * TIMES[:, None]) + PLUS[:, None]).min(axis=1))
-    return (low >> np.uint64(32)).astype(np.uint32)
-
-
-def sketches(low: np.ndarray) -> np.ndarray:
-    """Hashes of the sketches of both collections; the lowest bit says which."""
-    wide, out, at = low.astype(np.uint64), [], 0
-    for side, (count, size) in enumerate((A, B)):
-        for i in range(count):
-            h = np.uint64(2 * (side * 1000 + i) + 1)
-            for j in range(size):
-                h = mix((np.array([wide[at + j]]) ^ h) * np.uint64(0x9E3779B97F4A7C15))[0]
-            out.append((h & ~np.uint64(1)) | np.uint64(side))
-            at += size
-    return np.array(out, np.uint64)
-
-
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    np.seterr(over="ignore")
-    for batch in batches:
-        ids, rows = batch.column(0), []
-        for value in batch.column(1):
-            found = shingles(value.as_buffer().to_pybytes())
-            low = minhashes(found)
-            keys = (mix(found).sum(dtype=np.uint64), mix(found ^ PLUS[0]).sum(dtype=np.uint64)) if len(found) else (np.uint64(0),) * 2
-            rows.append((len(found), *(int(k.view(np.int64)) for k in keys), low.view(np.int32), sketches(low).view(np.int64)))
-        columns = list(zip(*rows)) if rows else [()] * 5
-        yield pa.RecordBatch.from_arrays(
-            [ids, *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.int32())), pa.array(columns[4], pa.list_(pa.int64()))],
-            ["doc_id", "n_shingles", "key1", "key2", "minhashes", "sketches"],
-        )
+class Sketcher:
+    """Minhashes and sketches for pairs of similarity ``share`` or more."""
+
+    def __init__(self, share: float):
+        self.sizes = [(math.ceil(math.log(miss) / math.log(max(1 - share**size, 1e-9))), size) for size, miss in SKETCHES]
+        self.hashes = sum(count * size for count, size in self.sizes)
+        random = np.random.default_rng(20260102)
+        self.times = random.integers(1, 2**63, self.hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.plus = random.integers(0, 2**63, self.hashes, dtype=np.uint64)
+
+    def minhashes(self, found: np.ndarray) -> np.ndarray:
+        """Minhashes of 32 bits."""
+        low = np.full(self.hashes, 2**64 - 1, np.uint64)
+        for at in range(0, len(found), 4096):
+            part = found[at : at + 4096]
+            low = np.minimum(low, ((part[None, :] * self.times[:, None]) + self.plus[:, None]).min(axis=1))
+        return (low >> np.uint64(32)).astype(np.uint32)
+
+    def sketches(self, low: np.ndarray) -> np.ndarray:
+        """Hashes of the sketches of both collections; the lowest bit says which."""
+        wide, out, at = low.astype(np.uint64), [], 0
+        for side, (count, size) in enumerate(self.sizes):
+            for i in range(count):
+                h = np.uint64(2 * (side * 1000 + i) + 1)
+                for j in range(size):
+                    h = mix((np.array([wide[at + j]]) ^ h) * np.uint64(0x9E3779B97F4A7C15))[0]
+                out.append((h & ~np.uint64(1)) | np.uint64(side))
+                at += size
+        return np.array(out, np.uint64)
+
+
+def _sketch(sketcher: Sketcher) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.seterr(over="ignore")
+        for batch in batches:
+            ids, rows = batch.column(0), []
+            for value in batch.column(1):
+                found = shingles(value.as_buffer().to_pybytes())
+                low = sketcher.minhashes(found)
+                keys = (mix(found).sum(dtype=np.uint64), mix(found ^ SALT).sum(dtype=np.uint64)) if len(found) else (np.uint64(0),) * 2
+                rows.append((len(found), *(int(k.view(np.int64)) for k in keys), low.view(np.int32), sketcher.sketches(low).view(np.int64)))
+            columns = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [ids, *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.int32())), pa.array(columns[4], pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "key1", "key2", "minhashes", "sketches"],
+            )
+
+    return run
 
 
 def parities(found: np.ndarray) -> np.ndarray:
@@ -121,12 +131,14 @@ class NearDuplicates:
     def __init__(self, docs: DataFrame, scratch: Scratch, percent: int = 85):
         self.docs, self.scratch, self.percent = docs, scratch, percent
         share = percent / 100
-        self.agree = int(np.floor(HASHES * share - 5 * np.sqrt(HASHES * share * (1 - share))))
+        self.sketcher = Sketcher(share)
+        hashes = self.sketcher.hashes
+        self.agree = int(np.floor(hashes * share - 5 * np.sqrt(hashes * share * (1 - share))))
 
     def run(self) -> DataFrame:
         """doc_id, n_shingles and component_id of every row."""
         save = self.scratch.save
-        rows = save(map_batches(texts_of(self.docs), _sketch, SCHEMA), "sketches")
+        rows = save(map_batches(texts_of(self.docs), _sketch(self.sketcher), SCHEMA), "sketches")
         usable = rows.where("n_shingles > 0 and doc_id is not null")
         same = ["n_shingles", "key1", "key2"]
         self.reps = save(
@@ -158,7 +170,7 @@ class NearDuplicates:
         shared = single.groupBy("sketch").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
         shared = self.scratch.save(shared, "shared")
         live = single.join(shared, "sketch").groupBy("rep").agg(
-            F.collect_set("sketch").alias("sketches"), F.sum("holders").alias("weight")  # at most 18 of each class
+            F.collect_set("sketch").alias("sketches"), F.sum("holders").alias("weight")  # at most 18 of each class at 0.85, 24 at 0.80
         )
         side = lambda bit: F.filter("sketches", lambda s: s.bitwiseAND(F.lit(1)) == bit)
         live = self.scratch.save(live.select("rep", "weight", side(0).alias("as"), side(1).alias("bs")), "live")

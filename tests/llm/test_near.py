@@ -93,6 +93,20 @@ def test_one_of_each(documents, scratch):
     assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(3, "A b c d e f"), (9, "other text"), (None, "a b c d e f"), (4, None)], key=str)
 
 
+def test_pipeline_stage_links_from_80_percent(llm, documents):
+    import corpus_pipeline
+
+    rows, rng = [], random.Random(8)
+    for i in range(60):
+        words = [f"g{i}w{rng.randrange(10**6)}" for _ in range(54)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:27], "edited", *words[28:]]))]
+    a, b = shingles(rows[0][1]), shingles(rows[1][1])
+    assert 80 * len(a | b) <= 100 * len(a & b) < 85 * len(a | b)
+    kept = corpus_pipeline.near_dedup(llm, documents(rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [2 * i for i in range(60)]
+    assert near.Sketcher(0.85).sizes == [(8, 2), (10, 3)] and near.Sketcher(0.8).sizes == [(10, 2), (14, 3)]
+
+
 def test_empty_table(documents, scratch):
     assert near.near_duplicates(documents([]), scratch).count() == 0
 
