@@ -25,20 +25,21 @@ COVERAGE, PLAIN = 0.6, 0.5
 # Units that may follow a number.
 UNITS = (
     "percent|kilometers|kilometres|kilograms|centimeters|meters|metres|miles|feet|inches|grams|pounds|ounces|liters|litres|"
-    "gallons|seconds|minutes|hours|days|weeks|months|years|dollars|euros|cents|degrees|km|kg|cm|mm|lb|oz|ml|mph|m|g|l|%"
+    "gallons|seconds|minutes|hours|days|weeks|months|years|dollars|euros|cents|degrees|km|kg|cm|mm|lb|oz|ml|mph|m|g|l"
 )
 
 
 def canonical(text: Column, values: bool = False) -> Column:
     """``text`` in the common form, words parted by one space. ``values``: placeholders hold what they replace."""
     put = (lambda kind: f"<{kind}:$1>") if values else (lambda kind: f"<{kind}>")
-    plain = F.translate(text, "<>:_", "    ")
+    plain = F.regexp_replace(F.translate(text, "<>:_", "    "), r"(?<=[0-9]) ?%(?![\p{L}0-9])", " percent ")
     named = F.regexp_replace(plain, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", f" {put('p')} ")
     joined = F.regexp_replace(named, r"(?<=[0-9])[.,](?=[0-9])", "_")
     measured = F.regexp_replace(joined, rf"(?<=[0-9]) ?({UNITS})(?![\p{{L}}0-9])", f" {put('u')} ")
     counted = F.regexp_replace(measured, r"(?<![\p{L}0-9_:])([0-9][0-9_]*)", f" {put('n')} ")
     typed = F.when(text.rlike("[0-9]"), counted).otherwise(named)
-    return F.trim(F.regexp_replace(F.lower(typed), r"[^\p{L}\p{N}<>:_]+", " "))
+    lowered = F.translate(F.lower(typed), "\u0307", "")  # the dot that İ leaves would part a placeholder
+    return F.trim(F.regexp_replace(lowered, r"[^\p{L}\p{N}<>:_]+", " "))
 
 
 def words(text: Column, values: bool = False) -> Column:

@@ -44,6 +44,15 @@ def test_planted(llm, documents):
     assert kept.columns == documents([]).columns
 
 
+def test_behind_percent_signs(llm, documents):
+    front = "Some 5% of all, 7 % of most and 50% of 12 km in Ankara by İzmir were kept. " * 4
+    share = "If 20% of the workers leave and 35 % of the others stay for 3 hours, how many % remain in the old mill then?"
+    docs = [(1, front + PLAIN), (2, "word " + share), (3, share.replace("20%", "15%").replace("35 %", "40 percent"))]
+    assert found(llm, documents, docs, [(2, PLAIN), (5, share)]) == {(1, 2), (2, 5), (3, 5)}
+    forms = documents(docs).select(*(decontam.words(decontam.text_or_empty(), v).alias(f"w{v}") for v in (False, True))).collect()
+    assert all(len(r.wFalse) == len(r.wTrue) for r in forms)
+
+
 def test_nothing(llm, documents):
     assert found(llm, documents, []) == set()
     assert found(llm, documents, [(1, PLAIN)], []) == set()
