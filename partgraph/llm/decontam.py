@@ -8,8 +8,10 @@ only. A joined pair gives the item's place in the document; there the words are
 the slots must map one to one: the same value in the item is the same in the document and the other way round. So
 a question with other numbers and names is caught, while words that merely share a shape are not.
 
-All of it is DataFrame functions. Null or empty text matches nothing; items of fewer than 2 * BLOCK - 1 words aren't
-searched for; rows equal in id and text are one document; repeated items count once per id.
+Items of fewer than 2 * BLOCK - 1 words are joined whole with all document windows of just their lengths, and must be
+equal there word for word and value for value, whatever their length.
+
+All of it is DataFrame functions. Null or empty text matches nothing; rows equal in id and text are one document; repeated items count once per id.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from partgraph.llm.common import BROADCAST_ROWS, Scratch, bounded, text_or_empty
 
 BLOCK = 5
+LEAST = 2 * BLOCK - 1  # words of a run that holds a whole block wherever it begins
 #: Share of an item's words that must match in place, and share of those that must be no placeholders.
 COVERAGE, PLAIN = 0.6, 0.5
 # Units that may follow a number.
@@ -51,6 +54,11 @@ def kind_of(word: Column) -> Column:
     return F.regexp_replace(word, "^(<[npu]):.*>$", "$1>")
 
 
+def bare(text: Column) -> Column:
+    """Words with values, without the marks of their placeholders, which depend on what stands in front."""
+    return F.regexp_replace(text, "<[npu]:([^ <>]*)>", "$1")
+
+
 def window_hash(items: Column) -> Column:
     return F.xxhash64(F.array_join(items, " "))
 
@@ -58,7 +66,7 @@ def window_hash(items: Column) -> Column:
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """One row for each window of each item: hash, item and place."""
     worded = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.transform(words(text_or_empty(), True), kind_of).alias("words"))
-    worded = worded.where(F.size("words") >= 2 * BLOCK - 1)
+    worded = worded.where(F.size("words") >= LEAST)
     starts = F.sequence(F.lit(0), F.size("words") - BLOCK)
     placed = F.transform(starts, lambda i: F.struct(window_hash(F.slice("words", i + 1, F.lit(BLOCK))).alias("hash"), i.alias("place")))
     return worded.select("item_id", F.explode(placed).alias("w")).select("w.hash", "item_id", F.col("w.place").alias("item_place")).distinct()
@@ -72,10 +80,33 @@ def document_blocks(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "tie", F.xxhash64(F.trim("block")).alias("hash"), (F.col("no") * BLOCK).alias("doc_place"))
 
 
+def short_items(benchmark: DataFrame) -> DataFrame:
+    """Length and hash of each item that is too short for blocks."""
+    worded = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.filter(F.split(bare(canonical(text_or_empty(), True)), " "), lambda w: w != "").alias("words"))
+    return worded.where(F.size("words").between(1, LEAST - 1)).select("item_id", F.size("words").alias("n"), window_hash(F.col("words")).alias("hash")).distinct()
+
+
+def short_places(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """First place in each document of each item of ``short_items``."""
+    lengths = sorted(r.n for r in items.select("n").distinct().collect())  # fewer than LEAST
+    worded = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.split(bare(canonical(text_or_empty(), True)), " ").alias("words")
+    )
+
+    def windows(n: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: i <= F.size("words") - n)
+        return F.transform(starts, lambda i: F.struct(F.lit(n).alias("n"), window_hash(F.slice("words", i + 1, F.lit(n))).alias("hash"), i.alias("place")))
+
+    rows = worded.select("doc_id", "tie", F.explode(F.concat(*map(windows, lengths))).alias("w")).select("doc_id", "tie", "w.*")
+    return rows.join(bounded(items), ["n", "hash"]).groupBy("doc_id", "tie", "item_id").agg(F.min("place").alias("place"))
+
+
 def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Places in documents at which an item may begin; negative where the document has only its end."""
     joined = document_blocks(docs).join(bounded(item_windows(benchmark)), "hash")
-    return joined.select("doc_id", "tie", "item_id", (F.col("doc_place") - F.col("item_place")).alias("place")).distinct()
+    places = joined.select("doc_id", "tie", "item_id", (F.col("doc_place") - F.col("item_place")).alias("place")).distinct()
+    short = short_items(benchmark)
+    return places if short.isEmpty() else places.unionByName(short_places(docs, short))
 
 
 def one_to_one(pairs: Column) -> Column:
@@ -100,19 +131,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, coverage: flo
     there = F.slice("doc_words", F.greatest(F.col("place"), F.lit(0)) + 1, F.size("item_words") - skipped)
     zipped = F.filter(
         F.zip_with(own, there, lambda a, b: F.struct(a.alias("item"), b.alias("doc"))),
-        lambda p: p["doc"].isNotNull() & (kind_of(p["item"]) == kind_of(p["doc"])),
+        lambda p: p["doc"].isNotNull() & ((kind_of(p["item"]) == kind_of(p["doc"])) | (bare(p["item"]) == bare(p["doc"]))),
     )
     slots = lambda matched: F.filter(matched, lambda p: p["item"].rlike("^<[npu]:"))
     compared = joined.select("doc_id", "tie", "item_id", "place", F.size("item_words").alias("n_words"), zipped.alias("matched")).select(
         "doc_id", "tie", "item_id", "place", F.col("n_words").cast("long").alias("n_words"),
         F.size("matched").cast("long").alias("n_matched"), F.size(slots(F.col("matched"))).cast("long").alias("n_slots"),
         one_to_one(slots(F.col("matched"))).alias("consistent"),
+        F.size(F.filter("matched", lambda p: bare(p["item"]) == bare(p["doc"]))).alias("n_equal"),
     )
-    enough = (F.col("n_matched") >= F.greatest(coverage * F.col("n_words"), F.lit(2 * BLOCK - 1))) & (
-        F.col("n_matched") - F.col("n_slots") >= PLAIN * F.col("n_matched")
-    )
+    enough = F.col("n_matched") >= F.greatest(coverage * F.col("n_words"), F.lit(LEAST))
+    plain = F.col("n_matched") - F.col("n_slots") >= PLAIN * F.col("n_matched")
+    whole = (F.col("n_words") < LEAST) & (F.col("n_equal") == F.col("n_words"))
+    accepted = whole | (enough & plain & F.col("consistent"))
     best = F.max_by(F.struct("place", "n_words", "n_matched", "n_slots"), F.struct("n_matched", -F.col("place"))).alias("b")
-    return compared.where(enough & F.col("consistent")).groupBy("doc_id", "tie", "item_id").agg(best).select("doc_id", "tie", "item_id", "b.*")
+    return compared.where(accepted).groupBy("doc_id", "tie", "item_id").agg(best).select("doc_id", "tie", "item_id", "b.*")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:

@@ -53,6 +53,21 @@ def test_behind_percent_signs(llm, documents):
     assert all(len(r.wFalse) == len(r.wTrue) for r in forms)
 
 
+def test_short_items(llm, documents):
+    bench = [(1, "What is the capital of France?"), (2, "Paris"), (3, "Add 5 to 7."), (4, "what is the capital of spain"), (5, "")]
+    docs = [
+        (1, "he asked What is the capital of France? It is PARIS."),
+        (2, "what is the capital of France"),
+        (3, "then Add 5 to 7. " * 3),
+        (4, "then add 5 to 8 in Madrid"),
+        (5, "the capital of France"),
+        (6, "paris"),
+        (7, ""),
+        (8, None),
+    ]
+    assert found(llm, documents, docs, bench) == {(1, 1), (1, 2), (2, 1), (3, 3), (6, 2)}
+
+
 def test_nothing(llm, documents):
     assert found(llm, documents, []) == set()
     assert found(llm, documents, [(1, PLAIN)], []) == set()
