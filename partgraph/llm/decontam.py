@@ -6,7 +6,8 @@ a sentence) and unit behind a number (``<u>``), all else lower-cased words witho
 2 * BLOCK - 1 words holds a whole block, so none of that length is missed although a document has a row per block
 only. A joined pair gives the item's place in the document; there the words are compared one by one, and the values in
 the slots must map one to one: the same value in the item is the same in the document and the other way round. So
-a question with other numbers and names is caught, while words that merely share a shape are not.
+a question with other numbers and names is caught, while words that merely share a shape are not. Where COPY of the
+words that match are equal in value too, it is a copy, and neither slots nor their number are looked at.
 
 Items of fewer than 2 * BLOCK - 1 words are joined whole with all document windows of just their lengths, and must be
 equal there word for word and value for value, whatever their length.
@@ -25,6 +26,8 @@ BLOCK = 5
 LEAST = 2 * BLOCK - 1  # words of a run that holds a whole block wherever it begins
 #: Share of an item's words that must match in place, and share of those that must be no placeholders.
 COVERAGE, PLAIN = 0.6, 0.5
+#: Share of the words that match in place which are equal in value in a copy.
+COPY = 0.9
 # Units that may follow a number.
 UNITS = (
     "percent|kilometers|kilometres|kilograms|centimeters|meters|metres|miles|feet|inches|grams|pounds|ounces|liters|litres|"
@@ -143,7 +146,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, coverage: flo
     enough = F.col("n_matched") >= F.greatest(coverage * F.col("n_words"), F.lit(LEAST))
     plain = F.col("n_matched") - F.col("n_slots") >= PLAIN * F.col("n_matched")
     whole = (F.col("n_words") < LEAST) & (F.col("n_equal") == F.col("n_words"))
-    accepted = whole | (enough & plain & F.col("consistent"))
+    copied = F.col("n_equal") >= COPY * F.col("n_matched")
+    accepted = whole | (enough & (copied | (plain & F.col("consistent"))))
     best = F.max_by(F.struct("place", "n_words", "n_matched", "n_slots"), F.struct("n_matched", -F.col("place"))).alias("b")
     return compared.where(accepted).groupBy("doc_id", "tie", "item_id").agg(best).select("doc_id", "tie", "item_id", "b.*")
 

@@ -68,6 +68,15 @@ def test_short_items(llm, documents):
     assert found(llm, documents, docs, bench) == {(1, 1), (1, 2), (2, 1), (3, 3), (6, 2)}
 
 
+def test_copies_full_of_values(llm, documents):
+    sums = "Add 12 and 15 and 18 km, 21 km, 24 km, 3 hours, 5 hours, 17.5, 18, 19, 20 and 21."
+    names = "Present were Alice, Bob, Carol, Dave, Erin, Frank, Grace, Heidi, Ivan, Judy, Mallory and Niaj."
+    other = "Add 13 and 16 and 19 km, 22 km, 25 km, 4 hours, 6 hours, 18.5, 11, 10, 29 and 22."
+    twice = QUESTION.replace("train of Alice", "train of Susan")
+    docs = [(1, "so: " + sums + " Good."), (2, names), (3, other), (4, twice)]
+    assert found(llm, documents, docs, [(1, sums), (2, names), (3, QUESTION)]) == {(1, 1), (2, 2), (4, 3)}
+
+
 def test_nothing(llm, documents):
     assert found(llm, documents, []) == set()
     assert found(llm, documents, [(1, PLAIN)], []) == set()
