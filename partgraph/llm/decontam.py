@@ -4,8 +4,10 @@ Both sides are brought to one form: a word of its own for each number (``<n>``),
 a sentence) and unit behind a number (``<u>``), all else lower-cased words without marks. A document is cut into consecutive blocks of
 ``BLOCK`` words, an item into all its windows of that size; they are joined by hash. Any shared run of
 2 * BLOCK - 1 words holds a whole block, so none of that length is missed although a document has a row per block
-only. A joined pair gives the item's place in the document; there the words are compared one by one, and the values in
-the slots must map one to one: the same value in the item is the same in the document and the other way round. So
+only. Texts with neighbouring placeholders of a kind (New York) are cut a second time with these made one, so that a name of
+other length doesn't break a run. A joined pair gives the item's place in the document. Blocks of an item at places no more
+than ``NEAR`` words apart are chained in order, none overlapping, and words are compared one by one along the chain. The values in
+CONSISTENT of the slots must map one to one: the same value in the item is the same in the document and the other way round. So
 a question with other numbers and names is caught, while words that merely share a shape are not. Where COPY of the
 words that match are equal in value too, it is a copy, and neither slots nor their number are looked at.
 
@@ -19,8 +21,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from partgraph.llm.common import BROADCAST_ROWS, Scratch, bounded, text_or_empty
+from partgraph.llm.common import BROADCAST_ROWS, Scratch, bounded, let, text_or_empty
 
 BLOCK = 5
 LEAST = 2 * BLOCK - 1  # words of a run that holds a whole block wherever it begins
@@ -28,6 +31,8 @@ LEAST = 2 * BLOCK - 1  # words of a run that holds a whole block wherever it beg
 COVERAGE, PLAIN = 0.6, 0.5
 #: Share of the words that match in place which are equal in value in a copy.
 COPY = 0.9
+#: Share of the slots that must map one to one, and words by which places of one leak may differ.
+CONSISTENT, NEAR = 0.9, 30
 # Units that may follow a number.
 UNITS = (
     "percent|kilometers|kilometres|kilograms|centimeters|meters|metres|miles|feet|inches|grams|pounds|ounces|liters|litres|"
@@ -37,7 +42,7 @@ UNITS = (
 
 def canonical(text: Column, values: bool = False) -> Column:
     """``text`` in the common form, words parted by one space. ``values``: placeholders hold what they replace."""
-    put = (lambda kind: f"<{kind}:$1>") if values else (lambda kind: f"<{kind}>")
+    put = (lambda kind: f"<{kind}:$1:{kind}>") if values else (lambda kind: f"<{kind}>")
     plain = F.regexp_replace(F.translate(text, "<>:_", "    "), r"(?<=[0-9]) ?%(?![\p{L}0-9])", " percent ")
     named = F.regexp_replace(plain, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", f" {put('p')} ")
     joined = F.regexp_replace(named, r"(?<=[0-9])[.,](?=[0-9])", "_")
@@ -48,8 +53,14 @@ def canonical(text: Column, values: bool = False) -> Column:
     return F.trim(F.regexp_replace(lowered, r"[^\p{L}\p{N}<>:_]+", " "))
 
 
-def words(text: Column, values: bool = False) -> Column:
-    return F.filter(F.split(canonical(text, values), " "), lambda w: w != "")
+def collapsed(form: Column, values: bool = False) -> Column:
+    """``canonical`` with neighbouring placeholders of a kind as one."""
+    return F.regexp_replace(form, r":([npu])> <\1:", "_") if values else F.regexp_replace(form, r"<([npu])>(?: <\1>)+", "<$1>")
+
+
+def words(text: Column, values: bool = False, joined: bool = False) -> Column:
+    form = canonical(text, values)
+    return F.filter(F.split(collapsed(form, values) if joined else form, " "), lambda w: w != "")
 
 
 def kind_of(word: Column) -> Column:
@@ -59,28 +70,40 @@ def kind_of(word: Column) -> Column:
 
 def bare(text: Column) -> Column:
     """Words with values, without the marks of their placeholders, which depend on what stands in front."""
-    return F.regexp_replace(text, "<[npu]:([^ <>]*)>", "$1")
+    return F.regexp_replace(text, "<[npu]:([^ <>]*):[npu]>", "$1")
 
 
 def window_hash(items: Column) -> Column:
     return F.xxhash64(F.array_join(items, " "))
 
 
+def item_words(benchmark: DataFrame) -> DataFrame:
+    """Words of each item as they are (joined 0) and with neighbouring placeholders as one (1)."""
+    forms = [F.struct(F.lit(j).alias("joined"), words(text_or_empty(), True, j == 1).alias("item_words")) for j in (0, 1)]
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.explode(F.array(*forms)).alias("f")).select("item_id", "f.*")
+    return rows.dropDuplicates(["item_id", "joined", "item_words"])
+
+
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """One row for each window of each item: hash, item and place."""
-    worded = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.transform(words(text_or_empty(), True), kind_of).alias("words"))
-    worded = worded.where(F.size("words") >= LEAST)
+    """One row for each window of each item in both forms: hash, item and place."""
+    worded = item_words(benchmark).select("item_id", "joined", F.transform("item_words", kind_of).alias("words")).where(F.size("words") >= LEAST)
     starts = F.sequence(F.lit(0), F.size("words") - BLOCK)
     placed = F.transform(starts, lambda i: F.struct(window_hash(F.slice("words", i + 1, F.lit(BLOCK))).alias("hash"), i.alias("place")))
-    return worded.select("item_id", F.explode(placed).alias("w")).select("w.hash", "item_id", F.col("w.place").alias("item_place")).distinct()
+    return worded.select("item_id", "joined", F.explode(placed).alias("w")).select("w.hash", "item_id", "joined", F.col("w.place").alias("item_place")).distinct()
 
 
 def document_blocks(docs: DataFrame) -> DataFrame:
-    """One row for each block of each document: document, hash and place of its first word."""
-    form = F.concat(canonical(text_or_empty()), F.lit(" "))
-    blocks = F.regexp_extract_all(form, F.lit(f"(?:[^ ]+ ){{{BLOCK}}}"), F.lit(0))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), F.posexplode(blocks).alias("no", "block"))
-    return rows.select("doc_id", "tie", F.xxhash64(F.trim("block")).alias("hash"), (F.col("no") * BLOCK).alias("doc_place"))
+    """One row for each block of each document: document, hash, place of its first word, and form (2: both are the same)."""
+    formed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), canonical(text_or_empty()).alias("form"))
+    blocks = lambda form: F.regexp_extract_all(F.concat(form, F.lit(" ")), F.lit(f"(?:[^ ]+ ){{{BLOCK}}}"), F.lit(0))
+    numbered = lambda form, joined: F.transform(
+        blocks(form), lambda b, i: F.struct(joined.alias("of"), F.xxhash64(F.trim(b)).alias("hash"), (i * BLOCK).alias("doc_place"))
+    )
+    one = F.struct("form", collapsed(F.col("form")).alias("joined"))
+    rows = let(one, lambda f: F.when(f["form"] == f["joined"], numbered(f["form"], F.lit(2))).otherwise(
+        F.concat(numbered(f["form"], F.lit(0)), numbered(f["joined"], F.lit(1)))
+    ))
+    return formed.select("doc_id", "tie", F.explode(rows).alias("b")).select("doc_id", "tie", "b.*")
 
 
 def short_items(benchmark: DataFrame) -> DataFrame:
@@ -104,12 +127,46 @@ def short_places(docs: DataFrame, items: DataFrame) -> DataFrame:
     return rows.join(bounded(items), ["n", "hash"]).groupBy("doc_id", "tie", "item_id").agg(F.min("place").alias("place"))
 
 
+PARTS = "array<struct<start:int,stop:int,place:int>>"
+
+
+def chain(hits: Column) -> Column:
+    """Parts of an item, each at one place, from its (at, place) hits: in order on both sides, none overlapping.
+
+    A part reaches from its start to the stop that the next part holds. Words between two parts are halved.
+    """
+    zero = F.struct(F.array().cast(PARTS).alias("parts"), F.lit(0).alias("item_end"), F.lit(0).alias("doc_end"), F.lit(0).alias("place"))
+
+    def step(state: Column, hit: Column) -> Column:
+        at, place = hit["at"], hit["place"]
+        first = F.size(state["parts"]) == 0
+        follows = first | ((at >= state["item_end"]) & (at + place >= state["doc_end"]))
+        gap = F.least(at - state["item_end"], at + place - state["doc_end"])
+        back = F.floor(gap / 2).cast("int")
+        part = F.when(first, F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"), place.alias("place"))).otherwise(
+            F.struct((at - back).alias("start"), (state["item_end"] + gap - back).alias("stop"), place.alias("place"))
+        )
+        parts = F.when(first | (place != state["place"]), F.concat(state["parts"], F.array(part).cast(PARTS))).otherwise(state["parts"])
+        moved = F.struct(parts.alias("parts"), (at + BLOCK).alias("item_end"), (at + place + BLOCK).alias("doc_end"), place.alias("place"))
+        return F.when(follows, moved).otherwise(state)
+
+    return F.aggregate(F.array_sort(hits), zero, step, lambda s: s["parts"])
+
+
 def candidates(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Places in documents at which an item may begin; negative where the document has only its end."""
-    joined = document_blocks(docs).join(bounded(item_windows(benchmark)), "hash")
-    places = joined.select("doc_id", "tie", "item_id", (F.col("doc_place") - F.col("item_place")).alias("place")).distinct()
+    """Places in documents at which an item may begin, negative where the document has only its end, and parts of the item to compare."""
+    joined = document_blocks(docs).join(bounded(item_windows(benchmark)), "hash").where((F.col("of") == 2) | (F.col("of") == F.col("joined")))
+    of = ["doc_id", "tie", "item_id", "joined"]
+    places = joined.groupBy(*of, (F.col("doc_place") - F.col("item_place")).alias("place")).agg(F.collect_set("item_place").alias("at"))
+    places = places.select(*of, "place", F.transform("at", lambda at: F.struct(at.alias("at"), F.col("place").alias("place"))).alias("hits"))
+    near = F.flatten(F.collect_list("hits").over(Window.partitionBy(*of).orderBy("place").rangeBetween(-NEAR, NEAR)))
+    single = F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("stop"), F.col("place"))).cast(PARTS)
+    both = places.select(*of, F.col("place"), near.alias("near")).select(*of, F.explode(F.array_distinct(F.array(single, chain(F.col("near"))))).alias("parts"))
+    both = both.select(*of, F.col("parts")[0]["place"].alias("place"), "parts").distinct()
     short = short_items(benchmark)
-    return places if short.isEmpty() else places.unionByName(short_places(docs, short))
+    if short.isEmpty():
+        return both
+    return both.unionByName(short_places(docs, short).withColumn("joined", F.lit(0)).select(*of, "place", single.alias("parts")))
 
 
 def one_to_one(pairs: Column) -> Column:
@@ -119,36 +176,59 @@ def one_to_one(pairs: Column) -> Column:
     return (both == distinct("item")) & (both == distinct("doc"))
 
 
+def consistent(pairs: Column) -> Column:
+    """Number of slots in pairs that map one to one; of those in conflict the most frequent count."""
+    counted = F.transform(F.array_distinct(pairs), lambda d: F.struct((-F.size(F.filter(pairs, lambda p: p == d))).alias("c"), d["item"].alias("item"), d["doc"].alias("doc")))
+    zero = F.struct(F.array().cast("array<string>").alias("items"), F.array().cast("array<string>").alias("docs"), F.lit(0).alias("n"))
+
+    def step(state: Column, pair: Column) -> Column:
+        fresh = ~F.array_contains(state["items"], pair["item"]) & ~F.array_contains(state["docs"], pair["doc"])
+        added = F.struct(
+            F.concat(state["items"], F.array(pair["item"])).alias("items"), F.concat(state["docs"], F.array(pair["doc"])).alias("docs"),
+            (state["n"] - pair["c"]).alias("n"),
+        )
+        return F.when(fresh, added).otherwise(state)
+
+    return F.when(one_to_one(pairs), F.size(pairs)).otherwise(F.aggregate(F.array_sort(counted), zero, step, lambda s: s["n"]))
+
+
+def matched_words(item: Column, doc: Column, parts: Column) -> Column:
+    """(item, doc) of the words that are equal, or placeholders of one kind, along the parts."""
+    part_place = lambda i: F.aggregate(
+        parts, F.lit(None).cast("int"),
+        lambda place, p: F.when(i >= p["start"], p["place"]).when(i >= p["stop"], F.lit(None).cast("int")).otherwise(place),
+    )
+    pairs = F.transform(item, lambda w, i: F.struct(w.alias("item"), F.get(doc, i + part_place(i)).alias("doc")))
+    return F.filter(pairs, lambda p: p["doc"].isNotNull() & ((kind_of(p["item"]) == kind_of(p["doc"])) | (bare(p["item"]) == bare(p["doc"]))))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, coverage: float = COVERAGE) -> DataFrame:
-    """Documents that hold an item, with the best place of each: doc_id, tie, item_id, place, words matched and counted, slots."""
+    """Documents that hold an item, with the best place of each: doc_id, tie, item_id, place, words matched and counted, slots.
+
+    Places and words are those of the form with neighbouring placeholders as one where only that form matches.
+    """
     found = bounded(scratch.save(candidates(docs, benchmark), "candidates"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), words(text_or_empty(), True).alias("item_words"))
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_tie"), text_or_empty().alias("text"))
     cut = texts.join(found, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie")))
-    cut = cut.select("doc_id", "tie", "item_id", "place", words(F.col("text"), True).alias("doc_words"))
-    known = items.dropDuplicates(["item_id", "item_words"])
+    own = F.when(F.col("joined") == 1, words(F.col("text"), True, True)).otherwise(words(F.col("text"), True))
+    cut = cut.select("doc_id", "tie", "item_id", "joined", "place", "parts", own.alias("doc_words"))
+    known = item_words(benchmark)
     few = benchmark.limit(BROADCAST_ROWS // 50 + 1).count() <= BROADCAST_ROWS // 50
-    joined = cut.join(F.broadcast(known) if few else known, "item_id")
-    skipped = F.greatest(-F.col("place"), F.lit(0))
-    own = F.slice("item_words", skipped + 1, F.size("item_words"))
-    there = F.slice("doc_words", F.greatest(F.col("place"), F.lit(0)) + 1, F.size("item_words") - skipped)
-    zipped = F.filter(
-        F.zip_with(own, there, lambda a, b: F.struct(a.alias("item"), b.alias("doc"))),
-        lambda p: p["doc"].isNotNull() & ((kind_of(p["item"]) == kind_of(p["doc"])) | (bare(p["item"]) == bare(p["doc"]))),
-    )
+    joined = cut.join(F.broadcast(known) if few else known, ["item_id", "joined"])
     slots = lambda matched: F.filter(matched, lambda p: p["item"].rlike("^<[npu]:"))
-    compared = joined.select("doc_id", "tie", "item_id", "place", F.size("item_words").alias("n_words"), zipped.alias("matched")).select(
-        "doc_id", "tie", "item_id", "place", F.col("n_words").cast("long").alias("n_words"),
-        F.size("matched").cast("long").alias("n_matched"), F.size(slots(F.col("matched"))).cast("long").alias("n_slots"),
-        one_to_one(slots(F.col("matched"))).alias("consistent"),
+    matched = matched_words(F.col("item_words"), F.col("doc_words"), F.col("parts"))
+    key = ["doc_id", "tie", "item_id", "joined", "place"]
+    compared = joined.select(*key, F.size("item_words").alias("n_words"), matched.alias("matched")).select(
+        *key, F.col("n_words").cast("long").alias("n_words"), F.size("matched").cast("long").alias("n_matched"),
+        F.size(slots(F.col("matched"))).cast("long").alias("n_slots"), consistent(slots(F.col("matched"))).alias("n_consistent"),
         F.size(F.filter("matched", lambda p: bare(p["item"]) == bare(p["doc"]))).alias("n_equal"),
     )
     enough = F.col("n_matched") >= F.greatest(coverage * F.col("n_words"), F.lit(LEAST))
     plain = F.col("n_matched") - F.col("n_slots") >= PLAIN * F.col("n_matched")
     whole = (F.col("n_words") < LEAST) & (F.col("n_equal") == F.col("n_words"))
     copied = F.col("n_equal") >= COPY * F.col("n_matched")
-    accepted = whole | (enough & (copied | (plain & F.col("consistent"))))
-    best = F.max_by(F.struct("place", "n_words", "n_matched", "n_slots"), F.struct("n_matched", -F.col("place"))).alias("b")
+    accepted = whole | (enough & (copied | (plain & (F.col("n_consistent") >= CONSISTENT * F.col("n_slots")))))
+    best = F.max_by(F.struct("place", "n_words", "n_matched", "n_slots"), F.struct(-F.col("joined"), F.col("n_matched"), -F.col("place"))).alias("b")
     return compared.where(accepted).groupBy("doc_id", "tie", "item_id").agg(best).select("doc_id", "tie", "item_id", "b.*")
 
 

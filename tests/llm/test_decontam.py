@@ -77,6 +77,21 @@ def test_copies_full_of_values(llm, documents):
     assert found(llm, documents, docs, [(1, sums), (2, names), (3, QUESTION)]) == {(1, 1), (2, 2), (4, 3)}
 
 
+def test_names_of_other_length_and_one_conflict(llm, documents):
+    item = "Every day the baker gives John Smith in New York four fresh loaves of bread and the butcher sends him 3 sausages before noon."
+    moved = "One morning we saw the miller carry 12 sacks of flour over the old stone bridge while the rest of the village was still asleep."
+    twelve = "a has 1 cup b has 2 cups c has 3 cups d has 4 cups e has 5 cups f has 6 cups g has 7 cups h has 8 cups and then a gives 1 cup and b gives 2 cups"
+    other = twelve
+    for i, value in enumerate("1 2 3 4 5 6 7 8".split()):
+        other = other.replace(f" {value} ", f" {50 + i} ")
+    docs = [
+        (1, "so " + item.replace("John Smith", "Ann").replace("New York", "Paris").replace("3", "7")),
+        (2, moved.replace("carry 12 sacks", "carry slowly and with great care 12 sacks")),
+        (3, other.replace("b gives 51", "b gives 99")),
+    ]
+    assert found(llm, documents, docs, [(1, item), (2, moved), (3, twelve)]) == {(1, 1), (2, 2), (3, 3)}
+
+
 def test_nothing(llm, documents):
     assert found(llm, documents, []) == set()
     assert found(llm, documents, [(1, PLAIN)], []) == set()
