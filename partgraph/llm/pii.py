@@ -27,6 +27,24 @@ ACCEPT = 0.6
 BLOCK = 128
 
 
+# Account number lengths by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU KM LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_pattern() -> str:
+    """Account numbers of their country's length where letters and digits end there; any other length else, up to a known country."""
+    known = {length: names.replace(" ", "|") for length, names in IBAN_LENGTHS.items()}
+    fixed = "|".join(f"(?:{names})[0-9]{{2}}(?: ?[A-Z0-9]){{{length - 4}}}(?![A-Za-z0-9])" for length, names in known.items())
+    other = rf"[A-Z]{{2}}[0-9]{{2}}(?:(?! (?:{'|'.join(known.values())})[0-9]{{2}}) ?[A-Z0-9]){{11,30}}"
+    return f"(?=[A-Z]{{2}}[0-9]{{2}})(?:{fixed}|{other})"
+
+
 def digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -94,7 +112,7 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+", digit_count(9, 15), 0.7, r"phone|tel|call|mobile|fax"),
     Kind(
         "iban",
-        r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}",
+        iban_pattern(),
         "[0-9]",
         mod97,
         0.9,

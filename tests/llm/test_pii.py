@@ -82,6 +82,18 @@ def test_added_kinds_and_context(documents):
     assert ["phone_local" in spans[4], "phone_local" in spans[5]] == [True, False]
 
 
+def test_iban_before_capitals(documents):
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "FR1420041010050500013M02606"]
+    ends = [" BIC COBADEFF", " Please pay", " 12 EUR", " A", ".", " DE89370400440532013000", " ok"]
+    texts = [f"REF AB12 {iban}{end}" for iban in ibans for end in ends] + ["DE89370400440532013000X", "DE89370400440532013001 BIC"]
+    rows = pii.span_report(documents(list(enumerate(texts)))).orderBy("doc_id").collect()
+    for i, (row, text) in enumerate(zip(rows, texts)):
+        found = [tuple(map(int, s.split(":")[1:])) for s in row.spans.split(",") if s.startswith("iban")]
+        values = [text[a:b] for a, b in found]
+        assert values[:1] == (ibans[i // len(ends) : i // len(ends) + 1] if i < len(ibans) * len(ends) else []), (text, values)
+        assert len(values) == (0 if i >= len(ibans) * len(ends) else 2 if text.endswith("3000") and i % len(ends) == 5 else 1)
+
+
 def test_redact(documents):
     docs = documents([(1, "to a@b.de and 1.2.3.4!"), (2, None), (3, "ä +1 (988) 555-2485, 4041894974608795"), (None, "x"), (3, "same")])
     out = pii.redact(docs)
