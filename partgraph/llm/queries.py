@@ -36,7 +36,7 @@ def op1_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_substring_dedup")
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that lose repeated sentences: what is removed, and the documents that keep it."""
-    return repeats.removed_spans(read(spark, folder, "documents"), Scratch(spark, "op2")).drop("tie")
+    return repeats.removed_spans(read(spark, folder, "documents"), Scratch(spark, "op2"), whole=True).drop("tie")
 
 
 @query("op3_decontamination")

@@ -58,6 +58,18 @@ def test_texts_without_the_spans(documents, scratch):
     assert texts == sorted([(1, one), (2, two + " End."), (3, None), (None, ""), (5, ""), (5, "")], key=str)
 
 
+def test_short_lines_and_long_sentences(documents, scratch):
+    verse = "\n".join(["Come.", "Go home.", "Why?", "No one knows.", "So it is.", "Yes."] * 3)
+    long = "This one sentence goes on " + " ".join(f"and on {i}" for i in range(20)) + "."
+    rows = [(1, "First is here.\n" + verse + "\nEnd a."), (2, "Next is there.\n" + verse.upper() + "\nEnd b."), (3, "One. " + long + " Two."), (4, "Six. " + long + " Ten."), (5, long), (6, "Go home.\nWhy?")]
+    kept = {r.doc_id: r.text.split() for r in repeats.remove_repeats(documents(rows), scratch).collect()}
+    assert kept[2] == "Next is there. End b.".split() and kept[4] == ["Six.", "Ten."] and kept[5] == []
+    assert kept[3] == rows[2][1].split() and kept[6] == ["Go", "home.", "Why?"]
+    assert kept[1][:9] == rows[0][1].split()[:9] and kept[1][-2:] == ["End", "a."]
+    places = [(i, a) for i, a, *_ in repeats.runs(verse, 2, 8, True)]
+    assert len(places) == len(set(places)) and len(places) > 10
+
+
 def test_nothing_and_long_texts(documents, scratch):
     assert repeats.removed_spans(documents([]), scratch).count() == 0
     scratch.drop("first")
