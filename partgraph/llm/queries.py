@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partgraph.llm import chat, classifier, decontam, near, packing, pii, repeats, revisits, rules, tokens
+from partgraph.llm import audit, chat, classifier, decontam, near, packing, pii, repeats, revisits, rules, tokens
 from partgraph.llm.common import Scratch, read, tune
 from partgraph.llm.crawl import crawl_records
 
@@ -92,3 +92,9 @@ def op9_revisits(spark: SparkSession, folder: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     return tokens.count_tokens(read(spark, folder, "documents"), path, Scratch(spark, "op10"))
+
+
+@query("op12_filter_audit")
+def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove from each source, in all orders."""
+    return audit.audit(read(spark, folder, "documents"), read(spark, folder, "labels"), Scratch(spark, "op12"))
