@@ -6,6 +6,7 @@ import compare
 import pytest
 
 from partgraph.llm import audit
+from partgraph.llm.common import Scratch
 from partgraph.llm.oracle import ORACLES
 from partgraph.llm.queries import QUERIES
 
@@ -47,9 +48,9 @@ def expected(rows, labels):
     return sorted((*r, removed_by[r[0], r[1][r[2] - 1]]) for r in out)
 
 
-def run(llm, scratch, rows, labels, **options):
+def run(llm, rows, labels, **options):
     docs = llm.createDataFrame([(i, t, s, "x", 1) for i, t, s in rows], "doc_id long, text string, source string, part string, hash int")
-    found = audit.audit(docs, llm.createDataFrame(labels, LABELS), scratch, **options)
+    found = audit.audit(docs, llm.createDataFrame(labels, LABELS), Scratch(llm, "test"), **options)
     return sorted(tuple(r) for r in found.select("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley").collect())
 
 
@@ -63,20 +64,20 @@ SAID = [(1, 1, 0), (2, 1, 0), (2, 0, 1), (5, 0, 1), (9, 1, None), (10, None, 1),
 
 
 @pytest.mark.parametrize("spread", [1, 256])
-def test_against_every_order(llm, scratch, spread):
-    got, want = run(llm, scratch, ROWS, SAID, spread=spread), expected(ROWS, SAID)
+def test_against_every_order(llm, spread):
+    got, want = run(llm, ROWS, SAID, spread=spread), expected(ROWS, SAID)
     assert [x for x in zip(got, want) if x[0] != x[1]][:5] == []
     assert len(got) == len(want)
 
 
-def test_empty_tables(llm, scratch):
-    assert run(llm, scratch, [], SAID) == []
-    assert run(llm, scratch, ROWS[:3], []) == expected(ROWS[:3], [])
+def test_empty_tables(llm):
+    assert run(llm, [], SAID) == []
+    assert run(llm, ROWS[:3], []) == expected(ROWS[:3], [])
 
 
-def test_hot_text(llm, scratch):
+def test_hot_text(llm):
     rows = [(i, "same text" if i % 3 else f"text {i}", "hot") for i in range(900)]
-    assert run(llm, scratch, rows, [(i, i % 2, 0) for i in range(900)], spread=16) == expected(rows, [(i, i % 2, 0) for i in range(900)])
+    assert run(llm, rows, [(i, i % 2, 0) for i in range(900)], spread=16) == expected(rows, [(i, i % 2, 0) for i in range(900)])
 
 
 def test_sql(llm):
