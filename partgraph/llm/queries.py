@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partgraph.llm import audit, chat, classifier, decontam, near, packing, pii, repeats, revisits, rules, tokens
+from partgraph.llm import audit, bpe, chat, classifier, decontam, near, packing, pii, repeats, revisits, rules, tokens
 from partgraph.llm.common import Scratch, read, tune
 from partgraph.llm.crawl import crawl_records
 
@@ -94,6 +94,13 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(read(spark, folder, "documents"), path, Scratch(spark, "op10"))
 
 
+@query("op11_bpe_codec")
+def op11_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of all documents and the text they decode to, as hashes."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return bpe.digests(bpe.decode(bpe.encode(read(spark, folder, "documents"), path), path))
+
+
 @query("op12_filter_audit")
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     """What five filters remove from each source, in all orders."""
