@@ -21,11 +21,12 @@ import heapq
 import json
 import re
 from array import array
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate, groupby
 
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,11 @@ from partgraph.llm.common import map_batches, text_or_empty, worker_cache
 
 #: Symbols of one index, bytes of words a task remembers, and bytes of text looked up at once.
 SYMBOLS, REMEMBERED, GROUP = 1 << 18, 64 << 20, 2 << 20
+#: Ids decoded at once.
+IDS = 1 << 22
 #: Printable ASCII and white space; other control characters are left to the library.
 PRINTABLE = re.compile(rb"[\x09-\x0D\x20-\x7E]*").fullmatch
+CONTROL = re.compile(rb"[\x00-\x08\x0E-\x1F\x7F]").search
 
 
 class Merges:
@@ -71,6 +75,7 @@ class Merges:
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             raise ValueError(f"special tokens that change the text around them: {path}")
         self.special = {t["content"]: t["id"] for t in added}
+        self.special_bytes = [t.encode() for t in self.special]
         self.names |= {i: t for t, i in self.special.items()}
         self.special_at = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if added else None
         self.between_white, self.printable = self._quick(spec["normalizer"] or {}, spec["pre_tokenizer"] or {})
@@ -85,18 +90,24 @@ class Merges:
         )
         if not drops or [p["type"] for p in parts[1:]] != ["ByteLevel"] or parts[1]["use_regex"] or parts[1]["add_prefix_space"]:
             return drops, None
-        find = regex.compile(parts[0]["pattern"]["Regex"]).findall
+        pattern = parts[0]["pattern"]["Regex"]
+        if "\\p" in re.sub(r"\[[^\]]*\]", "", pattern) or re.search(r"\\[pP](?!\{[LN]\})", pattern):
+            return True, None
+        find = re.compile(pattern.replace("\\p{L}", "a-zA-Z").replace("\\p{N}", "0-9"), re.ASCII).findall  # letters and numbers of ASCII
         return True, (lambda text: find(text.lower())) if "Lowercase" in steps else find
 
     def words(self, text: bytes, seen: dict[bytes, list[str | bytes]]) -> list[str | bytes]:
         """What the splitter makes of a text: words, and ids of special tokens. ``seen`` remembers what the library has split."""
         if not self.between_white:
             return self.library_words(text.decode())
-        special = self.special_at and self.special_at.search(text.decode())
-        if self.printable and not special and PRINTABLE(text):
+        plain_parts = self.printable and not any(s in text for s in self.special_bytes)
+        if plain_parts and PRINTABLE(text):
             return self.printable(text.decode())
+        is_plain = lambda u: False
+        if plain_parts:
+            is_plain = (lambda u: bool(PRINTABLE(u))) if CONTROL(text) else bytes.isascii
         out: list[str | bytes] = []
-        for plain, units in groupby(text.split(), lambda u: bool(self.printable and not special and PRINTABLE(u))):
+        for plain, units in groupby(text.split(), is_plain):
             if plain:
                 out += self.printable(b" ".join(units).decode())
                 continue
@@ -142,17 +153,14 @@ class PairIndex:
         self.rules, self.cells, self.sizes = rules, [self.STOP], [1]
         self.words: list[str] = []
         self.starts: list[int] = []
-        self.places: dict[int, list[int]] = {}
+        self.places: defaultdict[int, list[int]] = defaultdict(list)
 
     def add(self, word: str) -> None:
         symbols, ranks, places, start = self.rules.symbols(word), self.rules.ranks, self.places, len(self.cells)
         for at, pair in enumerate(zip(symbols, symbols[1:]), start):
             rank = ranks.get(pair)
             if rank is not None:
-                if rank in places:
-                    places[rank].append(at)
-                else:
-                    places[rank] = [at]
+                places[rank].append(at)
         self.cells += symbols
         self.cells.append(self.STOP)
         self.sizes += [1] * (len(symbols) + 1)
@@ -289,16 +297,32 @@ def _encode(path: str):
     return run
 
 
+def decode_ids(ids: pa.ListArray, rules: Merges) -> pa.Array:
+    """Text of each list of ids, null for null; ids that the file lacks give nothing."""
+    if rules.library.decoder is not None:
+        return pa.array([None if i is None else rules.library.decode(i, skip_special_tokens=False) for i in ids.to_pylist()], pa.string())
+    flat = ids.flatten()
+    tokens = pa.array([rules.names.get(i) for i in range(max(rules.names) + 1)], pa.string())
+    inside = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens)))
+    found = tokens.take(pc.if_else(inside, flat, None))
+    if found.null_count:
+        return pa.array([None if i is None else " ".join(rules.names[x] for x in i if x in rules.names) for i in ids.to_pylist()], pa.string())
+    offsets = pa.array([0, *accumulate(pc.fill_null(pc.list_value_length(ids), 0).to_pylist())], pa.int32())
+    joined = pc.binary_join(pa.ListArray.from_arrays(offsets, found), " ")
+    return pc.if_else(pc.is_null(ids), None, joined)
+
+
 def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rules = rules_of(path)
-        names, library = rules.names, rules.library
         for batch in batches:
-            if library.decoder is None:
-                texts = [None if ids is None else " ".join([names[i] for i in ids if i in names]) for ids in batch.column(1).to_pylist()]
-            else:
-                texts = [None if ids is None else library.decode(ids, skip_special_tokens=False) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            start = held = 0  # a few million ids at once, or one row
+            for i, n in enumerate([*pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_pylist(), IDS]):
+                held += n
+                if held > IDS and i > start or i == batch.num_rows:
+                    part = batch.slice(start, i - start)
+                    yield pa.RecordBatch.from_arrays([*part.columns, decode_ids(part.column(1), rules)], [*batch.schema.names, "decoded"])
+                    start, held = i, n
 
     return run
 
