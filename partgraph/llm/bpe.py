@@ -287,12 +287,15 @@ def _ids_array(found: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, pa.Array.from_buffers(pa.int32(), len(flat) // 4, [None, pa.py_buffer(flat)]))
 
 
-def _encode(path: str):
+def _encode(path: str, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(rules_of(path))
         for batch in groups(batches):
-            ids = encoder.encode([v.as_buffer().to_pybytes() for v in batch.column(1)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), _ids_array(ids)], ["doc_id", "ids"])
+            ids = _ids_array(encoder.encode([v.as_buffer().to_pybytes() for v in batch.column(1)]))
+            columns = {"doc_id": batch.column(0), "ids": ids}
+            if with_text:
+                columns["decoded"] = decode_ids(ids, encoder.rules)
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
     return run
 
@@ -327,10 +330,11 @@ def _decode(path: str):
     return run
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids of each row."""
+def encode(docs: DataFrame, path: str, with_text: bool = False) -> DataFrame:
+    """doc_id and ids of each row; ``with_text`` adds the text that the ids decode to, in the same pass."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(docs.select("doc_id", text_or_empty().cast("binary").alias("text")), _encode(path), f"doc_id {kind}, ids array<int>")
+    schema = f"doc_id {kind}, ids array<int>" + (", decoded string" if with_text else "")
+    return map_batches(docs.select("doc_id", text_or_empty().cast("binary").alias("text")), _encode(path, with_text), schema)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:

@@ -98,7 +98,7 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op11_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     """Ids of all documents and the text they decode to, as hashes."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.digests(bpe.decode(bpe.encode(read(spark, folder, "documents"), path), path))
+    return bpe.digests(bpe.encode(read(spark, folder, "documents"), path, with_text=True))
 
 
 @query("op12_filter_audit")

@@ -101,6 +101,7 @@ def test_tables(documents, file):
         expected.append((i, ids, library.decode(ids, skip_special_tokens=False)))
     key = lambda r: (r[0] is None, r[0], r[1])
     assert sorted(map(tuple, found), key=key) == sorted(expected, key=key)
+    assert sorted(map(tuple, bpe.encode(documents(rows), path, with_text=True).collect()), key=key) == sorted(expected, key=key)
     assert bpe.decode(bpe.encode(documents([]), path), path).collect() == []
 
 
