@@ -122,3 +122,41 @@ SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) A
   CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
 FROM counted
 """
+
+ORACLES["op13_prefix_trie"] = r"""
+WITH turns AS (
+  SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)
+), convs AS (
+  SELECT conv_id, conv_id - ((conv_id % 5) + 5) % 5 AS lender, xor(list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, i: xor(v >> 1, CASE WHEN v & 1 = 1 THEN 3988292384 ELSE 0 END))
+  ), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), rebuilt AS (
+  SELECT c.conv_id, t.pos, t.role, t.text FROM convs c JOIN turns t ON t.conv_id = c.lender WHERE t.pos <= c.h
+  UNION ALL SELECT c.conv_id, t.pos, t.role, t.text FROM convs c JOIN turns t USING (conv_id) WHERE t.pos > c.h
+), members AS (
+  SELECT conv_id, row_number() OVER w AS depth, md5(string_agg(md5(role) || md5(text), '') OVER w) AS key, octet_length(encode(text)) AS bytes
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs
+), named AS (
+  SELECT depth, key, min(conv_id) AS rep, count(*) AS n_convs, max(bytes) AS bytes FROM members GROUP BY depth, key
+), path AS (SELECT m.conv_id, m.depth, n.rep FROM members m JOIN named n USING (depth, key)),
+nodes AS (SELECT n.*, p.rep AS parent FROM named n LEFT JOIN path p ON p.conv_id = n.rep AND p.depth = n.depth - 1),
+held AS (SELECT parent AS rep, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+own AS (
+  SELECT n.rep, n.depth, (n.n_convs - 1) * n.bytes AS saved, CASE WHEN h.rep IS NULL THEN 1 ELSE 0 END AS leaf
+  FROM nodes n LEFT JOIN held h ON h.rep = n.rep AND h.depth = n.depth
+), totals AS (
+  SELECT p.rep, p.depth, sum(o.leaf) AS n_leaves, sum(o.saved) AS saved_tokens
+  FROM own o JOIN path p ON p.conv_id = o.rep AND p.depth <= o.depth GROUP BY p.rep, p.depth
+), ends AS (
+  SELECT p.rep, p.depth, sha256(string_agg(p.conv_id::VARCHAR, ',' ORDER BY p.conv_id)) AS ends_sha256
+  FROM path p JOIN (SELECT conv_id, max(depth) AS depth FROM members GROUP BY conv_id) m ON m.conv_id = p.conv_id AND m.depth = p.depth GROUP BY p.rep, p.depth
+)
+SELECT n.rep AS conv_id, CAST(n.depth AS BIGINT) AS depth, n.parent AS parent_conv_id, n.n_convs, coalesce(h.n_children, 0) AS n_children,
+  CAST(t.n_leaves AS BIGINT) AS n_leaves, CAST(t.saved_tokens AS BIGINT) AS saved_tokens, coalesce(e.ends_sha256, sha256('')) AS ends_sha256
+FROM nodes n LEFT JOIN held h ON h.rep = n.rep AND h.depth = n.depth JOIN totals t ON t.rep = n.rep AND t.depth = n.depth
+LEFT JOIN ends e ON e.rep = n.rep AND e.depth = n.depth
+"""

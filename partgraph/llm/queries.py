@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from partgraph.llm import audit, bpe, chat, classifier, decontam, near, packing, pii, repeats, revisits, rules, tokens
+from partgraph.llm import audit, bpe, chat, classifier, decontam, near, packing, pii, repeats, revisits, rules, tokens, trie
 from partgraph.llm.common import Scratch, read, tune
 from partgraph.llm.crawl import crawl_records
 
@@ -105,3 +105,9 @@ def op11_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
 def op12_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     """What five filters remove from each source, in all orders."""
     return audit.audit(read(spark, folder, "documents"), read(spark, folder, "labels"), Scratch(spark, "op12"))
+
+
+@query("op13_prefix_trie")
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return trie.prefix_trie(read(spark, folder, "conversations"), Scratch(spark, "op13"))
