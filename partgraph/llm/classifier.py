@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partgraph.llm.common import map_batches, text_or_empty
+from partgraph.llm.common import map_batches, text_or_empty, unused
 from partgraph.llm.words import WHITE, mix, pieces, windows, word_hashes
 
 #: Most labelled documents trained on: those with the smallest hash of their id.
@@ -128,6 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[
     chosen = F.broadcast(known.orderBy(*order).limit(limit))  # bounded by the limit
     texts = docs.select(F.col("doc_id").cast("long"), text_or_empty().cast("binary").alias("_text"))
     rows = texts.join(chosen, "doc_id").select(F.xxhash64("doc_id").alias("_hash"), "doc_id", "_quality", "_text")
+    rows = rows.orderBy("_hash", "doc_id", "_quality", "_text").limit(limit)  # an id may have many rows
     model = map_batches(rows.repartition(1), _train_task, "model binary").collect()
     if not model:
         return np.zeros(1 << BUCKET_BITS, np.float32), 0.0
@@ -135,8 +136,8 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED) -> tuple[
     return loaded["weights"], float(loaded["bias"])
 
 
-def with_score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
-    """doc_id and score of every row of ``docs``."""
+def with_score(docs: DataFrame, model: tuple[np.ndarray, float], name: str = "quality_score") -> DataFrame:
+    """``docs`` with the score of every row in a column ``name``; one that has that name already is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the bucket count
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +146,13 @@ def with_score(docs: DataFrame, model: tuple[np.ndarray, float]) -> DataFrame:
             scores = [score(t.as_buffer().to_pybytes(), weights, bias) for t in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names)
 
-    rest = docs.drop("quality_score").select("*", text_or_empty().cast("binary").alias("quality_score"))
+    rest = docs.drop(name).select("*", text_or_empty().cast("binary").alias(name))
     names = rest.columns
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop("quality_score").schema.fields]
-    return map_batches(rest, scored, ", ".join([*fields, "quality_score double"]))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.drop(name).schema.fields]
+    return map_batches(rest, scored, ", ".join([*fields, f"`{name}` double"]))
 
 
 def accept(docs: DataFrame, model: tuple[np.ndarray, float], least: float = ACCEPT) -> DataFrame:
     """The rows of ``docs`` that score at least ``least``, with their own columns."""
-    return with_score(docs, model).where(F.col("quality_score") >= least).select(*docs.columns)
+    name = unused(docs, "quality_score")
+    return with_score(docs, model, name).where(F.col(name) >= least).select(*docs.columns)

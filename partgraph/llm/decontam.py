@@ -234,6 +234,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, coverage: flo
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch) -> DataFrame:
     """``docs`` without the rows that hold an item."""
-    bad = leaks(docs, benchmark, scratch).select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie")).distinct()
-    bad = bounded(scratch.save(bad, "leaks"))
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tie")), "left_anti")
+    bad = bounded(scratch.save(leaks(docs, benchmark, scratch).select("doc_id", "tie").distinct(), "leaks"))
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["doc_id"]) & (F.xxhash64(docs["text"]) == bad["tie"])
+    return docs.join(bad, same, "left_anti")

@@ -6,13 +6,16 @@ A document's set holds its distinct runs of ``SHINGLE`` words. Two small collect
 shares no key with probability 1e-4; the numbers of sketches follow from that (10 and 14 at 0.80).
 
 Keys only lead to comparisons; links are confirmed on full sets. Copies with equal sets are one class from the
-start. No bucket is ever paired out:
+start, and all work goes by class. No bucket is ever paired out:
 
 1. Sketches that only one class has are dropped first: most classes have no key at all.
-2. In each bucket the member whose sketches are the most common, which edits have changed least, is the pivot,
-   and all others are compared with it: first each class with the pivot its minhashes agree with most, then those
-   that still are in another component.
-3. Classes of buckets that still hold several components are compared by prefix filter: shingles are ordered from
+2. A first pass takes a few tables of each class. In each bucket the member whose sketches are the most common, which edits
+   have changed least, is the pivot; each class is compared with the pivot its minhashes agree with most. So large groups
+   of near copies are one component before all tables are made.
+3. Of the buckets of all tables, only those that hold several components matter, and of those with the same classes only one:
+   one aggregation finds both, by the labels and two exclusive ors over the members. Only their rows are read on.
+4. In each of them all classes of other components are compared with its pivot.
+5. Classes of buckets that still hold several components are compared by prefix filter: shingles are ordered from
    rare to common, and a linked pair must share one among the first 15 % of each (20 % at 0.80). Only pairs of different
    components are made, one side never is the component that has most of a shingle's rows, and bounds on sizes,
    on shingles that others have too, and on the parities of hashed places leave few pairs that aren't links.
@@ -36,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from partgraph.llm.common import Scratch, bounded, map_batches, text_or_empty
+from partgraph.llm.common import Scratch, bounded, map_batches, text_or_empty, unused
 from partgraph.llm.links import components
 from partgraph.llm.words import mix, windows, word_hashes
 
@@ -44,6 +47,8 @@ SHINGLE = 5
 #: Minhashes per sketch of each collection, and the probability that a pair at the threshold shares no sketch of it.
 SKETCHES = ((2, 4e-5), (3, 8e-5))
 BITS = 1024  # places of a set's parities
+#: Sketches of each collection whose tables the first pass takes.
+FIRST = (3, 4)
 SALT = np.uint64(0x5851F42D4C957F2D)
 
 SCHEMA = "doc_id long, n_shingles long, key1 long, key2 long, minhashes array<int>, sketches array<long>"
@@ -76,33 +81,38 @@ class Sketcher:
         return (low >> np.uint64(32)).astype(np.uint32)
 
     def sketches(self, low: np.ndarray) -> np.ndarray:
-        """Hashes of the sketches of both collections; the lowest bit says which."""
+        """Hashes of the sketches of both collections, from a row of minhashes for each set; the lowest bit says which."""
         wide, out, at = low.astype(np.uint64), [], 0
         for side, (count, size) in enumerate(self.sizes):
             for i in range(count):
-                h = np.uint64(2 * (side * 1000 + i) + 1)
+                h = np.full(len(low), 2 * (side * 1000 + i) + 1, np.uint64)
                 for j in range(size):
-                    h = mix((np.array([wide[at + j]]) ^ h) * np.uint64(0x9E3779B97F4A7C15))[0]
+                    h = mix((wide[:, at + j] ^ h) * np.uint64(0x9E3779B97F4A7C15))
                 out.append((h & ~np.uint64(1)) | np.uint64(side))
                 at += size
-        return np.array(out, np.uint64)
+        return np.stack(out, axis=1)
 
 
 def _sketch(sketcher: Sketcher) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
         for batch in batches:
-            ids, rows = batch.column(0), []
-            for value in batch.column(1):
+            sizes, keys = [], []
+            low = np.empty((batch.num_rows, sketcher.hashes), np.uint32)
+            for i, value in enumerate(batch.column(1)):
                 found = shingles(value.as_buffer().to_pybytes())
-                low = sketcher.minhashes(found)
-                keys = (mix(found).sum(dtype=np.uint64), mix(found ^ SALT).sum(dtype=np.uint64)) if len(found) else (np.uint64(0),) * 2
-                rows.append((len(found), *(int(k.view(np.int64)) for k in keys), low.view(np.int32), sketcher.sketches(low).view(np.int64)))
-            columns = list(zip(*rows)) if rows else [()] * 5
+                low[i] = sketcher.minhashes(found)
+                sizes.append(len(found))
+                keys.append((mix(found).sum(dtype=np.uint64), mix(found ^ SALT).sum(dtype=np.uint64)) if len(found) else (np.uint64(0),) * 2)
+            both = np.array(keys, np.uint64).reshape(-1, 2).view(np.int64)
+            lists = lambda rows, kind: pa.ListArray.from_arrays(
+                pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(np.ascontiguousarray(rows).ravel(), kind)
+            )
             yield pa.RecordBatch.from_arrays(
-                [ids, *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.list_(pa.int32())), pa.array(columns[4], pa.list_(pa.int64()))],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]),
+                 lists(low.view(np.int32), pa.int32()), lists(sketcher.sketches(low).view(np.int64), pa.int64())],
                 ["doc_id", "n_shingles", "key1", "key2", "minhashes", "sketches"],
-            )
+            )
 
     return run
 
@@ -145,15 +155,22 @@ class NearDuplicates:
             usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("minhashes").alias("minhashes"), F.first("sketches").alias("sketches")),
             "reps",
         )
-        self.keys = self.table_keys()
-        pool = self.pivot_pairs()
-        self.sets = self.sets_of(pool)
-        edges = save(self.confirm(pool.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))), "edges1")
+        live = self.live_classes()
+        # the first pass: a few tables, each class with its best pivot
+        few = live.select("rep", "weight", *(F.slice(F.sort_array(c), 1, n).alias(c) for c, n in zip(("as", "bs"), FIRST)))
+        pool = self.rated(self.pivot_pairs(save(self.keys(few), "few-keys")), "first")
+        self.sets = self.sets_of(self.sides(pool), "sets0")
+        edges = save(self.confirm(pool.groupBy("a").agg(F.max_by("b", F.struct("agree", "b")).alias("b"))), "edges0")
+        labels = components(edges, self.scratch, "round0")
+        # all tables: classes of other components than the pivot's
+        chosen = self.open_buckets(live, labels)
+        pairs = chosen.where("label <> pivot_label").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+        pool = self.rated(pairs, "all")
+        self.add_sets(self.sides(pool), "sets1")
+        edges = save(self.confirm(pool).union(self.as_edges(labels)), "edges1")
         labels = components(edges, self.scratch, "round1")
-        edges = save(self.confirm(self.between(pool, labels)).union(self.as_edges(labels)), "edges2")
+        edges = save(self.confirm(self.prefix_pairs(chosen.select("key", "rep"), labels)).union(self.as_edges(labels)), "edges2")
         labels = components(edges, self.scratch, "round2")
-        edges = save(self.confirm(self.prefix_pairs(labels)).union(self.as_edges(labels)), "edges3")
-        labels = components(edges, self.scratch, "round3")
         classes = self.reps.join(labels, F.col("rep") == F.col("node"), "left")
         classes = save(classes.select(*same, F.coalesce("label", "rep").alias("component")).distinct(), "classes")
         found = rows.select("doc_id", *same).join(classes, same, "left")
@@ -164,8 +181,8 @@ class NearDuplicates:
     def as_edges(labels: DataFrame) -> DataFrame:
         return labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
 
-    def table_keys(self) -> DataFrame:
-        """Keys of the classes that share a sketch of both collections: key, rep, and how common its sketches are."""
+    def live_classes(self) -> DataFrame:
+        """Classes that share a sketch of both collections, the sketches they share, and how common those are."""
         single = self.reps.select("rep", F.explode("sketches").alias("sketch"))
         shared = single.groupBy("sketch").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1")
         shared = self.scratch.save(shared, "shared")
@@ -173,29 +190,57 @@ class NearDuplicates:
             F.collect_set("sketch").alias("sketches"), F.sum("holders").alias("weight")  # at most 18 of each class at 0.85, 24 at 0.80
         )
         side = lambda bit: F.filter("sketches", lambda s: s.bitwiseAND(F.lit(1)) == bit)
-        live = self.scratch.save(live.select("rep", "weight", side(0).alias("as"), side(1).alias("bs")), "live")
-        pairs = live.select("rep", "weight", F.explode("as").alias("a"), "bs").select("rep", "weight", "a", F.explode("bs").alias("b"))
-        return pairs.select(F.xxhash64("a", "b").alias("key"), "rep", "weight")
-
-    def pivot_pairs(self) -> DataFrame:
-        """Each class with the pivots of its buckets, unless sizes or minhashes rule a link out: a, b, agree."""
-        ranked = F.struct("weight", F.xxhash64("rep", "key"), "rep")
-        self.pivots = self.scratch.save(
-            self.keys.groupBy("key").agg(F.max(ranked)["rep"].alias("pivot"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high"),
-            "pivots",
-        )
-        pairs = self.keys.join(self.pivots.select("key", "pivot"), "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
-        pairs = self.scratch.save(pairs.distinct(), "bucket-pairs")
+        live = live.select("rep", "weight", side(0).alias("as"), side(1).alias("bs")).where("size(as) > 0 and size(bs) > 0")
+        return self.scratch.save(live, "live")
+
+    @staticmethod
+    def keys(live: DataFrame) -> DataFrame:
+        """Table keys of classes: all pairs of a sketch from each collection."""
+        rest = [c for c in live.columns if c not in ("as", "bs")]
+        pairs = live.select(*rest, F.explode("as").alias("a"), "bs").select(*rest, "a", F.explode("bs").alias("b"))
+        return pairs.select(F.xxhash64("a", "b").alias("key"), *rest)
+
+    @staticmethod
+    def ranked() -> Column:
+        """The largest of a bucket is its pivot."""
+        return F.struct("weight", F.xxhash64("rep", "key"), "rep")
+
+    def pivot_pairs(self, keys: DataFrame) -> DataFrame:
+        """Each class with the pivots of its buckets: a, b."""
+        pivots = keys.groupBy("key").agg(F.max(self.ranked())["rep"].alias("pivot"), F.min("rep").alias("low"), F.max("rep").alias("high"))
+        pivots = pivots.where("low <> high").select("key", "pivot")
+        return keys.join(pivots, "key").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+
+    def open_buckets(self, live: DataFrame, labels: DataFrame) -> DataFrame:
+        """Rows of the buckets with several components, one bucket for each set of classes: key, rep, label, pivot, pivot_label."""
+        named = live.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "weight", F.coalesce("label", "rep").alias("label"), "as", "bs")
+        named = self.scratch.save(named, "named")
+        keys = self.keys(named)
+        top = F.struct("weight", F.xxhash64("rep", "key"), "rep", "label")
+        buckets = keys.groupBy("key").agg(
+            F.min("label").alias("low"), F.max("label").alias("high"), F.max(top).alias("top"), F.count(F.lit(1)).alias("members"),
+            F.bit_xor(F.xxhash64("rep")).alias("mark1"), F.bit_xor(F.xxhash64(F.lit(1), "rep")).alias("mark2"),
+        )
+        once = buckets.where("low <> high").groupBy("members", "mark1", "mark2").agg(F.min(F.struct("key", "top")).alias("one"))
+        once = self.scratch.save(once.select("one.key", F.col("one.top.rep").alias("pivot"), F.col("one.top.label").alias("pivot_label")), "open-buckets")
+        return self.scratch.save(keys.select("key", "rep", "label").join(once, "key"), "chosen")
+
+    def rated(self, pairs: DataFrame, name: str) -> DataFrame:
+        """Pairs that sizes and minhashes don't rule out: a, b, agree."""
         sizes = lambda name: self.reps.select(
             F.col("rep").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("minhashes").alias(f"m_{name}")
         )
-        half = self.scratch.save(pairs.join(sizes("a"), "a"), "half-pairs")
+        half = self.scratch.save(pairs.join(sizes("a"), "a"), f"{name}-half-pairs")
         same = F.aggregate(F.zip_with("m_a", "m_b", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
         rated = half.join(sizes("b"), "b").where(self.sizes_fit("n_a", "n_b")).select("a", "b", same.alias("agree"))
-        pool = self.scratch.save(rated.where(F.col("agree") >= self.agree), "pool")
-        self.scratch.drop("bucket-pairs", "half-pairs")
+        pool = self.scratch.save(rated.where(F.col("agree") >= self.agree), f"{name}-pool")
+        self.scratch.drop(f"{name}-half-pairs")
         return pool
 
+    @staticmethod
+    def sides(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+
     def sizes_fit(self, x: str, y: str) -> Column:
         return 100 * F.least(x, y) >= self.percent * F.greatest(x, y)
 
@@ -209,12 +254,15 @@ class NearDuplicates:
         fits = F.least(f"shared_{a}", f"shared_{b}") >= least
         return self.sizes_fit(f"n_{a}", f"n_{b}") & fits & (differ <= total - 2 * least)
 
-    def sets_of(self, pool: DataFrame) -> DataFrame:
-        """Full sets of the classes in buckets with more than one."""
-        members = self.keys.join(self.pivots.select("key"), "key", "left_semi").select("rep").distinct()
-        members = self.scratch.save(members, "members")
+    def sets_of(self, members: DataFrame, name: str) -> DataFrame:
+        """Full sets of some classes."""
+        members = bounded(self.scratch.save(members, f"{name}-members"))
         texts = texts_of(self.docs).join(members, F.col("doc_id") == F.col("rep"), "left_semi")
-        return self.scratch.save(map_batches(texts, _sets, "rep long, shingles array<long>, bits array<long>"), "sets")
+        return self.scratch.save(map_batches(texts, _sets, "rep long, shingles array<long>, bits array<long>"), name)
+
+    def add_sets(self, members: DataFrame, name: str) -> None:
+        """Full sets of the classes among ``members`` that have none yet."""
+        self.sets = self.sets.union(self.sets_of(members.join(self.sets.select("rep"), "rep", "left_anti"), name))
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose full sets are similar enough."""
@@ -224,19 +272,14 @@ class NearDuplicates:
         union = F.size("s_a") + F.size("s_b") - common
         return joined.select("a", "b", common.alias("common"), union.alias("union")).where(100 * F.col("common") >= self.percent * F.col("union")).select("a", "b")
 
-    def between(self, pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs whose sides are in different components."""
-        own = lambda name: labels.select(F.col("node").alias(name), F.col("label").alias(f"l_{name}"))
-        known = pairs.join(own("a"), "a", "left").join(own("b"), "b", "left")
-        return known.where(F.coalesce("l_a", "a") != F.coalesce("l_b", "b")).select("a", "b")
-
-    def prefix_pairs(self, labels: DataFrame) -> DataFrame:
+    def prefix_pairs(self, chosen: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs of different components that the prefix filter leaves, among classes of buckets with several components."""
         save = self.scratch.save
-        named = self.keys.join(self.pivots.select("key"), "key", "left_semi").join(labels, F.col("rep") == F.col("node"), "left")
-        named = named.select("key", "rep", F.coalesce("label", "rep").alias("label"))
-        mixed = save(named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key"), "mixed")
+        named = chosen.join(labels, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("label", "rep").alias("label"))
+        named = save(named, "relabelled")
+        mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
         open_reps = save(named.join(mixed, "key", "left_semi").select("rep", "label").distinct(), "open")
+        self.add_sets(open_reps.select("rep"), "sets2")
         sets = self.sets.join(open_reps, "rep").select("rep", F.size("shingles").alias("n"), "shingles")
         items = save(sets.select("rep", "n", F.explode("shingles").alias("item")), "items")
         common = save(items.groupBy("item").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "common")
@@ -269,14 +312,32 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, percent: int = 85) -> Dat
 
 
 def one_of_each(docs: DataFrame, scratch: Scratch, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` that are kept; rows equal in id and text stay once."""
-    found = near_duplicates(docs, scratch, percent).groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"), F.min("kept").alias("kept"))
-    marked = scratch.save(found, "marked")
-    out = bounded(marked.where("not kept").select(F.col("doc_id").alias("_id")))
-    twice = marked.where("kept and rows > 1 and doc_id is not null").select(F.col("doc_id").alias("_id"))
-    kept = docs.join(out, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
-    if twice.isEmpty():
-        return kept
-    twice = bounded(twice)
-    again = kept.join(twice, F.col("doc_id").cast("long") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(twice, F.col("doc_id").cast("long") == F.col("_id"), "left_anti").unionByName(again)
+    """The rows of ``docs`` that are kept; rows equal in id and text stay once.
+
+    Of each group the smallest id stays. Rows that share an id but not the text are documents of their own: for this
+    they get numbers above all ids, so of a group with other members one of those stays.
+    """
+    node, digest = unused(docs, "node"), unused(docs, "digest")
+    ids = docs.select(F.col("doc_id").cast("long").alias("id"))
+    twice = scratch.save(ids.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "twice")
+    numbered = docs.withColumn(node, F.col("doc_id").cast("long"))
+    again = not twice.isEmpty()
+    if again:
+        twice = bounded(twice)
+        full = numbered.withColumn(digest, F.when(F.col(node).isNotNull(), F.sha2(text_or_empty(), 256)))
+        texts = full.join(twice, F.col(node) == twice["id"], "left_semi").select(F.col(node).alias("id"), F.col(digest).alias("sum")).distinct()
+        texts = scratch.save(texts, "texts")
+        several = texts.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+        top = ids.agg(F.max("id")).first()[0]
+        own = texts.join(several, "id", "left_semi").withColumn("new", F.monotonically_increasing_id() + F.lit(top + 1))
+        own = bounded(scratch.save(own, "own-numbers"))  # written, so a number stays what it is
+        joined = full.join(own, (full[node] == own["id"]) & (full[digest] == own["sum"]), "left")
+        numbered = joined.select(*(full[c] for c in docs.columns), F.coalesce(own["new"], full[node]).alias(node))
+    found = near_duplicates(numbered.select(F.col(node).alias("doc_id"), "text"), scratch, percent)
+    out = bounded(scratch.save(found.where("not kept").select(F.col("doc_id").alias("id")).distinct(), "out"))
+    kept = numbered.join(out, F.col(node) == out["id"], "left_anti")
+    if again:
+        repeated = bounded(scratch.save(twice.union(own.select("new")), "repeated"))
+        once = kept.join(repeated, F.col(node) == repeated["id"], "left_semi").dropDuplicates([node])
+        kept = kept.join(repeated, F.col(node) == repeated["id"], "left_anti").unionByName(once)
+    return kept.select(*docs.columns)

@@ -30,8 +30,10 @@ WINDOW, END = 2048, 1
 SHARD = 10_000_000
 #: Lengths are fitted in steps of so many tokens; smaller gaps stay padding, larger ones are filled.
 STEP, GAP = 16, 24
-#: Distinct units whose ids a worker remembers, and bytes looked up at once.
-REMEMBERED, GROUP = 1_000_000, 1 << 21
+#: Bytes of units and ids that a task remembers, in two ages, and bytes of text looked up at once.
+REMEMBERED, GROUP = 48 << 20, 1 << 21
+#: Bytes of a remembered unit besides its ids: its hash, its place, and the object.
+EACH = 200
 #: White space beyond ASCII, and the special string of the vocabulary.
 OTHER_SPACE = re.compile(b"|".join(c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") + b"|\xe2\x80[\x80-\x8a]")
 
@@ -48,13 +50,34 @@ class Ids:
     other white space or the special string are encoded as they are.
     """
 
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.model, self.known = Tokenizer.from_file(path), {}
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.model, self.most = library(path), remembered // 2
+        self.known: dict[int, bytes] = {}
+        self.older: dict[int, bytes] = {}
+        self.size = 0
         self.mark, self.mark_id = next((t.content, i) for i, t in self.model.get_added_tokens_decoder().items() if t.special)
 
+    def age(self) -> None:
+        """Forget what was last met before the newer half filled up; frequent units stay."""
+        if self.size > self.most:
+            self.older, self.known, self.size = self.known, {}, 0
+
+    def recall(self, keys: list[int]) -> list[int]:
+        """Places of the keys that must be learnt; those known from before are known anew."""
+        missing = []
+        for i, key in enumerate(keys):
+            if key not in self.known:
+                found = self.older.get(key)
+                if found is None:
+                    missing.append(i)
+                else:
+                    self.keep(key, found)
+        return missing
+
+    def keep(self, key: int, ids: bytes) -> None:
+        self.known[key] = ids
+        self.size += EACH + len(ids)
+
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
 
@@ -63,7 +86,7 @@ class Ids:
         ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(ids == self.mark_id)
         for key, start, end in zip(keys, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-            self.known[key] = ids[start:end].tobytes()
+            self.keep(key, ids[start:end].tobytes())
 
     def group(self, parts: list[bytes]) -> list[np.ndarray]:
         """Ids of parts that each begin and end between a word and white space."""
@@ -77,10 +100,9 @@ class Ids:
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(codes)) if len(starts) else starts
         keys, at, which = np.unique(span_hashes(codes, starts, ends), return_index=True, return_inverse=True)
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        self.age()
         names = keys.tolist()
-        new = [i for i, key in enumerate(names) if key not in self.known]
+        new = self.recall(names)
         for i in range(0, len(new), 2000):
             chosen = new[i : i + 2000]
             self.learn([data[starts[at[j]] : ends[at[j]]] for j in chosen], [names[j] for j in chosen])
@@ -112,10 +134,14 @@ class Ids:
         yield from ready()
 
 
-def encoder(path: str) -> Ids:
-    cache = worker_cache("ids")
+def library(path: str):
+    """The file's tokenizer, read once per worker: its size is that of the file. What texts add to memory ends with the task."""
+    cache = worker_cache("tokenizer-files")
     if path not in cache:
-        cache[path] = Ids(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        cache[path] = Tokenizer.from_file(path)
     return cache[path]
 
 
@@ -233,7 +259,7 @@ def _pack(path: str, window: int, shard: int, with_ids: bool):
     schema = ARROW.append(pa.field("ids", pa.binary())) if with_ids else ARROW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, held, tokens = encoder(path), [], 0
+        model, held, tokens = Ids(path), [], 0
         first = TaskContext.get().partitionId() << 40  # sequences of one task; the same if it runs anew
 
         def packed() -> Iterator[pa.RecordBatch]:

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partgraph.llm.common import let, text_or_empty
+from partgraph.llm.common import let, text_or_empty, unused
 
 #: Code points of context in front of and behind a span.
 BEFORE, AFTER = 40, 20
@@ -246,8 +246,12 @@ def span_report(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with personal data masked in ``text`` and ``n_chars`` counted anew where it changed."""
-    found = with_spans(docs, "_pii")
-    changed = F.size("_pii") > 0
-    masked = found.withColumn("text", F.when(changed, mask(F.col("text"), F.col("_pii"))).otherwise(F.col("text")))
-    return masked.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("_pii")
+    """``docs`` with personal data masked in ``text`` and ``n_chars``, if there is one, counted anew where it changed."""
+    spans = unused(docs, "pii_spans")
+    found = with_spans(docs, spans)
+    changed = F.size(spans) > 0
+    masked = found.withColumn("text", F.when(changed, mask(F.col("text"), F.col(spans))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        masked = masked.withColumn("n_chars", F.when(changed, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return masked.select(*docs.columns)

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from partgraph.llm.common import Scratch, map_batches, text_or_empty
+from partgraph.llm.common import Scratch, map_batches, text_or_empty, unused
 from partgraph.llm.words import mix, windows
 
 SPAN, MIN_WORDS, ALONE = 2, 8, 20
@@ -142,8 +142,8 @@ def removed_spans(docs: DataFrame, scratch: Scratch, span: int = SPAN, min_words
 def remove_repeats(docs: DataFrame, scratch: Scratch, span: int = SPAN, min_words: int = MIN_WORDS, whole: bool = True) -> DataFrame:
     """``docs`` without the repeated sentences; rows without any stay as they are."""
     spans = scratch.save(removed_spans(docs, scratch, span, min_words, whole).select("doc_id", "tie", "removed"), "spans")
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), F.col("removed").alias("_removed"))
-    rows = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tie")), "left")
+    same = docs["doc_id"].cast("long").eqNullSafe(spans["doc_id"]) & (F.xxhash64(docs["text"]) == spans["tie"])
+    rows = docs.join(spans, same, "left")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,6 +157,6 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, span: int = SPAN, min_word
             yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(out, pa.string())], names)
 
     names = [*[c for c in docs.columns if c != "text"], "text"]
-    others = [F.col(c) for c in names[:-1]]
+    others = [docs[c] for c in names[:-1]]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
-    return map_batches(rows.select("text", "_removed", *others), drop, schema).select(*docs.columns)
+    return map_batches(rows.select(docs["text"], spans["removed"].alias(unused(docs, "removed")), *others), drop, schema).select(*docs.columns)

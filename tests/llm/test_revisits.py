@@ -74,3 +74,18 @@ def test_odd_rows(llm, scratch):
 
 def test_empty_table(llm, scratch):
     assert revisits.resolve(table(llm, []), scratch).count() == 0
+
+
+def test_repeated_ids(llm, scratch):
+    """An id that names two records leads each revisit to the response of its own URL."""
+    schema = "record_id long, kind string, url string, time long, headers map<string,string>, digest string, payload string"
+    rows = [
+        (1, "response", "http://a/x", 1, {}, "d", "of a"), (1, "response", "http://b/x", 1, {}, "d", "of b"), (1, "response", "http://b/x", 2, {}, "d", "of b later"),
+        (2, "revisit", "http://a/x", 5, {}, "d", None), (2, "revisit", "http://b/x", 5, {}, "d", None), (2, "revisit", "http://c/x", 5, {}, "d", None),
+        (2, "revisit", "http://a/x", 5, {}, "d", None), (None, "revisit", "http://a/x", 5, {}, "d", None),
+    ]
+    found = revisits.resolve(llm.createDataFrame(rows, schema), scratch).collect()
+    assert sorted((str(r.record_id), r.url, r.status, str(r.payload)) for r in found) == [
+        ("2", "http://a/x", "resolved", "of a"), ("2", "http://a/x", "resolved", "of a"), ("2", "http://b/x", "resolved", "of b later"),
+        ("2", "http://c/x", "missing", "None"), ("None", "http://a/x", "invalid", "None"),
+    ]
