@@ -65,13 +65,12 @@ class Ids:
     def recall(self, keys: list[int]) -> list[int]:
         """Places of the keys that must be learnt; those known from before are known anew."""
         missing = []
-        for i, key in enumerate(keys):
-            if key not in self.known:
-                found = self.older.get(key)
-                if found is None:
-                    missing.append(i)
-                else:
-                    self.keep(key, found)
+        for i in [i for i, key in enumerate(keys) if key not in self.known]:
+            found = self.older.get(keys[i])
+            if found is None:
+                missing.append(i)
+            else:
+                self.keep(keys[i], found)
         return missing
 
     def keep(self, key: int, ids: bytes) -> None:
