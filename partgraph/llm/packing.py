@@ -14,7 +14,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +30,8 @@ WINDOW, END = 2048, 1
 SHARD = 10_000_000
 #: Lengths are fitted in steps of so many tokens; smaller gaps stay padding, larger ones are filled.
 STEP, GAP = 16, 24
-#: Bytes of units and ids that a task remembers, in two ages, and bytes of text looked up at once.
-REMEMBERED, GROUP = 48 << 20, 1 << 21
-#: Bytes of a remembered unit besides its ids: its hash, its place, and the object.
-EACH = 200
+#: Bytes of units' hashes and ids that a worker remembers, and bytes of text looked up at once.
+REMEMBERED, GROUP = 16 << 20, 1 << 21
 #: White space beyond ASCII, and the special string of the vocabulary.
 OTHER_SPACE = re.compile(b"|".join(c.encode() for c in "\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") + b"|\xe2\x80[\x80-\x8a]")
 
@@ -51,41 +49,44 @@ class Ids:
     """
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.model, self.most = library(path), remembered // 2
-        self.known: dict[int, bytes] = {}
-        self.older: dict[int, bytes] = {}
-        self.size = 0
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.model, self.remembered = Tokenizer.from_file(path), remembered
+        self.kind = np.uint16 if self.model.get_vocab_size() <= 1 << 16 else np.uint32
         self.mark, self.mark_id = next((t.content, i) for i, t in self.model.get_added_tokens_decoder().items() if t.special)
+        self.forget()
 
-    def age(self) -> None:
-        """Forget what was last met before the newer half filled up; frequent units stay."""
-        if self.size > self.most:
-            self.older, self.known, self.size = self.known, {}, 0
-
-    def recall(self, keys: list[int]) -> list[int]:
-        """Places of the keys that must be learnt; those known from before are known anew."""
-        missing = []
-        for i in [i for i, key in enumerate(keys) if key not in self.known]:
-            found = self.older.get(keys[i])
-            if found is None:
-                missing.append(i)
-            else:
-                self.keep(keys[i], found)
-        return missing
-
-    def keep(self, key: int, ids: bytes) -> None:
-        self.known[key] = ids
-        self.size += EACH + len(ids)
+    def forget(self) -> None:
+        """Known units: sorted hashes, and where the ids of each lie in one row of ids."""
+        self.keys, self.at, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)
+        self.pool = np.zeros(0, self.kind)
 
     def plain(self, text: str) -> np.ndarray:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def learn(self, units: list[bytes], keys: list[int]) -> None:
+    def encode_units(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each unit, and the ids."""
         joined = self.mark.join(u.decode() for u in units)
         ids = np.array(self.model.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(ids == self.mark_id)
-        for key, start, end in zip(keys, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)], strict=True):
-            self.keep(key, ids[start:end].tobytes())
+        sizes = np.diff(np.concatenate([[-1], cuts, [len(ids)]])) - 1
+        return sizes, np.delete(ids, cuts)
+
+    def learn(self, keys: np.ndarray, units: Callable[[int, int], list[bytes]]) -> None:
+        """Add units by their hashes; ``units`` gives those from one place to another."""
+        found = [self.encode_units(units(i, min(i + 2000, len(keys)))) for i in range(0, len(keys), 2000)]
+        sizes = np.concatenate([f[0] for f in found]).astype(np.uint32)
+        at = (len(self.pool) + np.cumsum(sizes) - sizes).astype(np.uint32)
+        self.pool = np.concatenate([self.pool, *(f[1].astype(self.kind) for f in found)])
+        order = np.argsort(both := np.concatenate([self.keys, keys]), kind="stable")
+        self.keys, self.at, self.sizes = both[order], np.concatenate([self.at, at])[order], np.concatenate([self.sizes, sizes])[order]
+
+    def places(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where units would stand among the known ones, and whether they do."""
+        place = np.searchsorted(self.keys, keys)
+        inside = np.minimum(place, max(len(self.keys) - 1, 0))
+        return place, self.keys[inside] == keys if len(self.keys) else np.zeros(len(keys), bool)
 
     def group(self, parts: list[bytes]) -> list[np.ndarray]:
         """Ids of parts that each begin and end between a word and white space."""
@@ -99,18 +100,17 @@ class Ids:
         starts = np.flatnonzero(first)
         ends = np.append(starts[1:], len(codes)) if len(starts) else starts
         keys, at, which = np.unique(span_hashes(codes, starts, ends), return_index=True, return_inverse=True)
-        self.age()
-        names = keys.tolist()
-        new = self.recall(names)
-        for i in range(0, len(new), 2000):
-            chosen = new[i : i + 2000]
-            self.learn([data[starts[at[j]] : ends[at[j]]] for j in chosen], [names[j] for j in chosen])
-        found = [self.known[key] for key in names]
-        counts = np.array([len(f) // 4 for f in found], int)
-        pool, pool_at = np.frombuffer(b"".join(found), "<u4"), np.cumsum(counts) - counts
-        size = counts[which]
+        size = self.keys.nbytes + self.at.nbytes + self.sizes.nbytes + self.pool.nbytes
+        if size > self.remembered:
+            self.forget()
+        new = np.flatnonzero(~self.places(keys)[1])
+        if len(new):
+            spans = list(zip(starts[at[new]].tolist(), ends[at[new]].tolist()))
+            self.learn(keys[new], lambda i, j: [data[a:b] for a, b in spans[i:j]])
+        unit = self.places(keys)[0][which]
+        size = self.sizes[unit].astype(np.int64)
         out_end = np.cumsum(size)
-        ids = pool[np.repeat(pool_at[which] - (out_end - size), size) + np.arange(int(size.sum()))]
+        ids = self.pool[np.repeat(self.at[unit].astype(np.int64) - (out_end - size), size) + np.arange(int(size.sum()))].astype("<u4")
         bounds = np.append(0, out_end)[np.searchsorted(starts, np.append(part_starts, len(codes)))]
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
 
@@ -133,14 +133,11 @@ class Ids:
         yield from ready()
 
 
-def library(path: str):
-    """The file's tokenizer, read once per worker: its size is that of the file. What texts add to memory ends with the task."""
-    cache = worker_cache("tokenizer-files")
+def encoder(path: str) -> Ids:
+    """One per worker: between tasks it holds the file's tokenizer and REMEMBERED bytes at most, in four arrays."""
+    cache = worker_cache("ids")
     if path not in cache:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        cache[path] = Tokenizer.from_file(path)
+        cache[path] = Ids(path)
     return cache[path]
 
 
@@ -258,7 +255,7 @@ def _pack(path: str, window: int, shard: int, with_ids: bool):
     schema = ARROW.append(pa.field("ids", pa.binary())) if with_ids else ARROW
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, held, tokens = Ids(path), [], 0
+        model, held, tokens = encoder(path), [], 0
         first = TaskContext.get().partitionId() << 40  # sequences of one task; the same if it runs anew
 
         def packed() -> Iterator[pa.RecordBatch]:
