@@ -263,7 +263,14 @@ ORACLES["empty_entity"] = sql(
     ),
     "sheet",
 )
-ORACLES["stream_ingest"] = sql("SELECT PART_ID, PART_NUMBER, PART_NAME, PART_WEIGHT_KG FROM part_data", "part_data")
+_streamed = (*ENTITY_TABLES, *LINK_TABLES)
+ORACLES["stream_ingest"] = sql(
+    " UNION ALL BY NAME ".join(
+        [f"SELECT *, '{t}' AS table_name FROM {t}" for t in _streamed]
+        + [f"SELECT *, '{t}' AS table_name FROM {_block[t]} WHERE false" for t in ("breakpoint_data", "part_to_breakpoint")]
+    ),
+    *_all_blocks,
+)
 ORACLES["append_table"] = sql("SELECT *, (SELECT count(*) FROM line_data) AS appended FROM line_data", "line_data")
 ORACLES["tsv_roundtrip"] = ORACLES["json_stage"] = ORACLES["clean_sheet"] = sql(
     f"SELECT {_sheet_list} FROM clean", "clean"
@@ -499,9 +506,15 @@ ORACLES["load_breakpoints"] = sql(
 )
 
 
+#: The sheet has a text in place of a number in this column only, and no other cell of a typed one is open.
+_lost = dict.fromkeys(_tables, "''") | {
+    "part_to_model": "CASE WHEN count(*) > count(PART_PER_VEHICLE) THEN 'PART_PER_VEHICLE=' || (count(*) - count(PART_PER_VEHICLE)) ELSE '' END"
+}
+
+
 def _report(names: tuple[str, ...], stage: str) -> str:
     return " UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, '{stage}' AS stage, count(*) AS rows, 'loaded' AS status FROM {_block[t]}"
+        f"SELECT '{t}' AS table_name, '{stage}' AS stage, count(*) AS rows, count(*) AS stored, 'loaded' AS status, {_lost[t]} AS lost_cells FROM {_block[t]}"
         for t in names
     )
 
@@ -513,6 +526,42 @@ ORACLES["load_report"] = sql(
     " UNION ALL ".join([_report(ENTITY_TABLES, "entity"), _report(LINK_TABLES, "link"), _report(_changed, "change")]),
     *_all_blocks,
 )
+_counted = " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS rows, NULL AS error FROM {_block[t]}" for t in _tables)
+ORACLES["load_summary"] = sql(
+    "SELECT 13::BIGINT AS tables, sum(rows)::BIGINT AS rows, sum(rows)::BIGINT AS stored,"
+    " (SELECT count(*) - count(PART_PER_VEHICLE) FROM part_to_model) AS lost_cells, true AS success"
+    f" FROM ({_counted})",
+    *_all_blocks,
+)
+ORACLES["reload_keeps_history"] = sql(
+    f"{_counted} UNION ALL SELECT 'part_to_breakpoint', 0, count(*) || ' kept rows refer to parts that are gone'"
+    " FROM breakpoint_links JOIN part_data USING (PART_ID) WHERE CAST(PART_NUMBER[3:] AS BIGINT) % 2 = 1",
+    *_all_blocks,
+)
+BLOCKS["numbered_pairs"] = (
+    "SELECT row_number() OVER (ORDER BY p.breakpoint_date, old_part_id, new_part_id)::VARCHAR AS BREAKPOINT_NUMBER,"
+    " p.breakpoint_date AS BREAKPOINT_DATE, new.PART_NUMBER, old.PART_NUMBER AS PART_NUMBER_BEFORE_CHANGE, old_part_id, new_part_id"
+    " FROM pairs p JOIN part_data old ON old.PART_ID = old_part_id JOIN part_data new ON new.PART_ID = new_part_id",
+    ("pairs", "part_data"),
+)
+_pair_side = (
+    f"SELECT {{0}}_part_id AS PART_ID, {key_for('BREAKPOINT_ID')} AS BREAKPOINT_ID, PART_NUMBER_BEFORE_CHANGE,"
+    " s.SUPPLIER_NAME AS SUPPLIER_NAME_BEFORE_CHANGE, s.LOCALIZATION AS LOCALIZATION_BEFORE_CHANGE,"
+    " f.LINE_NAME AS LINE_NAME_BEFORE_CHANGE, {1} AS IS_ACTIVE_BEFORE, NOT {1} AS IS_ACTIVE_AFTER,"
+    f" '{STAMP}' AS INPUT_DATE, BREAKPOINT_NUMBER, {text_date('BREAKPOINT_DATE')} AS BREAKPOINT_DATE,"
+    " 'Change: ' || PART_NUMBER_BEFORE_CHANGE || ' → ' || n.PART_NUMBER AS DESCRIPTION FROM numbered_pairs n"
+    " JOIN part_data p ON p.PART_ID = old_part_id LEFT JOIN supplier_data s ON s.SUPPLIER_ID = p.SUPPLIER_ID"
+    " LEFT JOIN first_lines f ON f.PART_ID = old_part_id"
+)
+ORACLES["load_pairs"] = sql(
+    f"{_pair_side.format('old', 'true')} UNION ALL {_pair_side.format('new', 'false')}",
+    "numbered_pairs", "supplier_data", "first_lines",
+)
+ORACLES["check_dates"] = sql(
+    "SELECT 'breakpoint_data' AS table_name, 'unreadable' AS rule, 'BREAKPOINT_DATE' AS column_name, BREAKPOINT_NUMBER AS row_key"
+    " FROM changes WHERE CAST(BREAKPOINT_NUMBER[3:] AS BIGINT) % 7 = 0",
+    "changes",
+)
 _first_parts = _first("(SELECT * FROM keyed WHERE BOX_TYPE = 'returnable')", "part_data", _columns("part_data"))
 ORACLES["insert_new"] = sql(
     f", old AS ({_first_parts}) SELECT * FROM old UNION ALL"

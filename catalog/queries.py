@@ -137,11 +137,13 @@ def empty_entity(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("stream_ingest")
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
-    """The sheet dropped as CSV files, streamed into an empty store; the parts it then holds."""
+    """The sheet dropped as CSV files one after the other, streamed into an empty store; all rows of the tables it then holds."""
     drop, store = scratch(spark, "drop"), new_store(spark, "streamed")
-    part_sheet(spark, folder).drop(ORDER).write.option("header", True).csv(drop)
+    part_sheet(spark, folder).orderBy(ORDER).drop(ORDER).write.option("header", True).csv(drop)
+    files.arrived_in_order(spark, drop, "*.csv")
     file_drop(store, drop, scratch(spark, "drop-checkpoint"), glob="*.csv").awaitTermination()
-    return plain(store.read("part_data").drop("SUPPLIER_ID"))
+    held = [plain(df).withColumn("table_name", F.lit(name)) for name, df in store.read_all().items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), held)
 
 
 @query("append_table")
@@ -457,7 +459,7 @@ def part_to_breakpoint(spark: SparkSession, folder: str) -> DataFrame:
 @query("before_change")
 def before_change(spark: SparkSession, folder: str) -> DataFrame:
     tables = loaded(spark, folder)[0].read_all()
-    return plain(changes.before_change(typed_changes(spark, folder), tables).drop(ORDER))
+    return plain(changes.before_change(typed_changes(spark, folder), tables).drop(ORDER, changes.RAW_DATE))
 
 
 @query("part_history")
@@ -485,6 +487,27 @@ def _reported(names: tuple[str, ...]) -> Query:
     return lambda spark, folder: loaded(spark, folder)[1].where(F.col("table_name").isin(*names)).drop("error")
 
 
+@query("load_summary")
+def load_summary(spark: SparkSession, folder: str) -> DataFrame:
+    return load.load_summary(loaded(spark, folder)[1])
+
+
+@query("reload_keeps_history")
+def reload_keeps_history(spark: SparkSession, folder: str) -> DataFrame:
+    """Reloads without a change sheet: all parts keep the change tables; without the odd parts the load is refused.
+
+    The report's failures of the second, and the rows of all tables after both.
+    """
+    full, _ = loaded(spark, folder)
+    store = new_store(spark, "reload")
+    store.publish(full.current())
+    rows = part_sheet(spark, folder)
+    load.load_sheet(store, rows)
+    even = rows.where("cast(substring(PART_NUMBER, 3) as bigint) % 2 = 0")
+    report = load.load_sheet(store, even).where("status = 'failed'").select("table_name", F.lit(0).cast("bigint").alias("rows"), "error")
+    return report.unionByName(load.table_counts(store).withColumn("error", F.lit(None).cast("string")))
+
+
 query("load_entities")(_reported(ENTITY_TABLES))
 query("load_links")(_reported(LINK_TABLES))
 query("load_report")(_reported(tuple(TABLES)))
@@ -515,16 +538,33 @@ def correct_parts(spark: SparkSession, folder: str) -> DataFrame:
 @query("load_changes")
 def load_changes(spark: SparkSession, folder: str) -> DataFrame:
     """Change sheet written and read as a file, then bulk loaded beside the parts."""
-    full, _ = loaded(spark, folder)
     path = scratch(spark, "changes-csv")
     change_sheet(spark, folder).drop(ORDER).write.option("header", True).csv(path)
-    typed = changes.type_changes(files.read_sheet(spark, path, schema=CHANGE_SCHEMA))
+    return _bulk_changes(spark, folder, files.read_sheet(spark, path, schema=CHANGE_SCHEMA))
+
+
+def _bulk_changes(spark: SparkSession, folder: str, sheet: DataFrame) -> DataFrame:
+    """What a store of all parts holds of changes after a bulk load of ``sheet``."""
+    full, _ = loaded(spark, folder)
     store = new_store(spark, "changes")
     store.publish({**full.current(), "breakpoint_data": [], "part_to_breakpoint": []})
-    for name, rows in changes.breakpoint_tables(typed, store.read_all(), stamp=STAMP).items():
-        load.load_table(store, rows, name, truncate=False)
-    links = store.read("part_to_breakpoint")
-    return plain(links.join(store.read("breakpoint_data"), "BREAKPOINT_ID"))
+    load.load_changes(store, sheet, stamp=STAMP)
+    return plain(store.read("part_to_breakpoint").join(store.read("breakpoint_data"), "BREAKPOINT_ID"))
+
+
+@query("load_pairs")
+def load_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The short change sheet, bulk loaded: part keys lead back to part numbers."""
+    return _bulk_changes(spark, folder, pairs(spark, folder))
+
+
+@query("check_dates")
+def check_dates(spark: SparkSession, folder: str) -> DataFrame:
+    """Breakpoints whose date can't be read, of a change sheet that spells some dates out."""
+    spelt = F.when(F.col(ORDER) % 7 == 0, F.concat(F.lit("day "), "BREAKPOINT_DATE")).otherwise(F.col("BREAKPOINT_DATE"))
+    typed = changes.type_changes(change_sheet(spark, folder).withColumn("BREAKPOINT_DATE", spelt))
+    rule = quality.unreadable("BREAKPOINT_DATE", F.col(changes.RAW_DATE))
+    return quality.violations(typed, "breakpoint_data", ["BREAKPOINT_NUMBER"], [rule])
 
 
 # -- integrity rules ---------------------------------------------------------------------

@@ -54,6 +54,8 @@ ENTITY_COLUMNS: dict[str, tuple[str, ...]] = {
 
 #: Bigint column with a row's place in its source; "first row" always means smallest value.
 ORDER = "_ORD"
+#: The raw cells a loaded row comes from, beside its typed values.
+CELLS = "_CELLS"
 #: Observed beside each entity: keys that stand for two different natural keys.
 CLASH = "_CLASH"
 

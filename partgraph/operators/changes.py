@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partgraph.functions.derive import KEY_WIDTH, change_label, key_for, surrogate_key
-from partgraph.model import CHANGE_COLUMNS, CLASH, KEYS, ORDER
+from partgraph.model import CELLS, CHANGE_COLUMNS, CLASH, KEYS, ORDER
 from partgraph.operators.dedup import keep_first
 from partgraph.operators.ordered import next_value, number_rows
 from partgraph.operators.project import require_columns
 
 #: Short change sheet: date, part before, part after (ids).
 PAIR_COLUMNS = ("breakpoint_date", "old_part_id", "new_part_id")
+#: The date as the change sheet has it.
+RAW_DATE = "_RAW_DATE"
 
 
 def pair_changes(sheet: DataFrame) -> DataFrame:
@@ -65,13 +67,36 @@ def fan_out(breakpoints: DataFrame) -> DataFrame:
 
 
 def type_changes(sheet: DataFrame) -> DataFrame:
-    """Raw change sheet with its date as a timestamp; columns it lacks are null."""
+    """Raw change sheet with its date as a timestamp, and the raw date beside it; columns it lacks are null."""
     require_columns(sheet, ["BREAKPOINT_NUMBER", "PART_NUMBER"], "changes")
     columns = [F.col(c) if c in sheet.columns else F.lit(None).cast("string").alias(c) for c in CHANGE_COLUMNS]
     order = F.col(ORDER) if ORDER in sheet.columns else F.lit(0).cast("bigint").alias(ORDER)
-    return sheet.select(*columns, order).withColumn(
-        "BREAKPOINT_DATE", F.col("BREAKPOINT_DATE").try_cast("timestamp")
-    )
+    rows = sheet.select(*columns, order).withColumn(RAW_DATE, F.col("BREAKPOINT_DATE").cast("string"))
+    return rows.withColumn("BREAKPOINT_DATE", F.col("BREAKPOINT_DATE").try_cast("timestamp"))
+
+
+def is_pair_sheet(sheet: DataFrame) -> bool:
+    return all(c in sheet.columns for c in PAIR_COLUMNS)
+
+
+def pair_sheet(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """The long change sheet of a short one: part keys become the numbers that ``parts`` has for them.
+
+    A short sheet names no breakpoints, so each pair is one, numbered by date, old and new part. A key that
+    no part has gives an open number, for the load to refuse. Parts are looked up once per key, so a
+    part with a third of the changes is one row of the lookup.
+    """
+    numbered = number_breakpoints(pair_changes(pairs))
+    wanted = numbered.select(F.explode(F.array("old_part_id", "new_part_id")).alias("PART_ID")).distinct()
+    known = parts.select("PART_ID", "PART_NUMBER").join(wanted, "PART_ID", "left_semi")
+    side = lambda c, name: known.select(F.col("PART_ID").alias(c), F.col("PART_NUMBER").alias(name))
+    named = numbered.join(side("old_part_id", "PART_NUMBER_BEFORE_CHANGE"), "old_part_id", "left")
+    named = named.join(side("new_part_id", "PART_NUMBER"), "new_part_id", "left")
+    return named.select(
+        F.col("breakpoint_seq").cast("string").alias("BREAKPOINT_NUMBER"),
+        F.date_format("breakpoint_date", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("BREAKPOINT_DATE"),
+        "PART_NUMBER", "PART_NUMBER_BEFORE_CHANGE", F.col("breakpoint_seq").alias(ORDER),
+    )
 
 
 def before_change(changes: DataFrame, tables: Mapping[str, DataFrame], width: int = KEY_WIDTH) -> DataFrame:
@@ -119,13 +144,17 @@ def breakpoint_tables(
     )
     label = change_label(F.col("PART_NUMBER_BEFORE_CHANGE"), F.col("PART_NUMBER"))
     numbered = changes.withColumns({"BREAKPOINT_ID": key_for("BREAKPOINT_ID", width), "DESCRIPTION": label})
+    if RAW_DATE not in numbered.columns:
+        numbered = numbered.withColumn(RAW_DATE, F.col("BREAKPOINT_DATE").cast("string"))
     mark = F.xxhash64("BREAKPOINT_NUMBER")
     breakpoints = keep_first(
         numbered,
         ["BREAKPOINT_ID"],
-        ["BREAKPOINT_NUMBER", "BREAKPOINT_DATE", "DESCRIPTION"],
+        ["BREAKPOINT_NUMBER", "BREAKPOINT_DATE", "DESCRIPTION", RAW_DATE],
         extra=[(F.min(mark) != F.max(mark)).alias(CLASH)],
     ).withColumn("INPUT_DATE", entered)
+    cells = F.struct("BREAKPOINT_NUMBER", F.col(RAW_DATE).alias("BREAKPOINT_DATE"))
+    breakpoints = breakpoints.withColumn(CELLS, cells).drop(RAW_DATE)
     given = [c for c in CHANGE_COLUMNS if c.endswith("_BEFORE_CHANGE")]
     old = F.coalesce(F.col("OLD_PART_ID"), F.col("NEW_PART_ID"))
     sides = snapshot.select("BREAKPOINT_ID", *given, ORDER, F.explode(_sides(old, F.col("NEW_PART_ID"))).alias("s"))

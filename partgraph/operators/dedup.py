@@ -11,11 +11,13 @@ from partgraph.model import ORDER
 
 
 def first_per_key(
-    df: DataFrame, key: Sequence[str], payload: Sequence[str], order: str = ORDER, extra: Sequence[Column] = ()
-) -> DataFrame:
+    df: DataFrame, key: Sequence[str], payload: Sequence[str], order: str = ORDER, extra: Sequence[Column] = (),
+    keep_order: str | None = None,
+) -> DataFrame:
     """One row per key: the first by ``order``, ties settled by the payload values in turn, nulls lowest.
 
-    ``extra`` are aggregates over the key's rows, e.g. a check that they agree. The buffer is a whole
+    ``extra`` are aggregates over the key's rows, e.g. a check that they agree; ``keep_order`` names a column that
+    returns the first row's place. The buffer is a whole
     row, so this sorts its input; give it distinct rows. The key is returned from that buffer, not as
     a grouping column: a later filter or semi join on the key would otherwise be pushed below the
     aggregation, to rows by the million where here there is one per key.
@@ -23,7 +25,8 @@ def first_per_key(
     row = F.struct(F.col(order).alias("_order"), *payload, *key)
     first = df.groupBy(*key).agg(F.min(row).alias("_first"), *extra)
     added = [c for c in first.columns if c not in key and c != "_first"]
-    return first.select(*[F.col(f"_first.{c}").alias(c) for c in (*key, *payload)], *added)
+    place = [F.col("_first._order").alias(keep_order)] if keep_order else []
+    return first.select(*[F.col(f"_first.{c}").alias(c) for c in (*key, *payload)], *added, *place)
 
 
 def with_first_place(df: DataFrame, columns: Sequence[str], order: str = ORDER) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partgraph.functions.derive import KEY_WIDTH, area_m2, default_to, key_for, packaging_number, volume_m3
-from partgraph.model import CLASH, ENTITY_COLUMNS, KEYS, ORDER, TABLES
+from partgraph.model import CELLS, CLASH, ENTITY_COLUMNS, KEYS, ORDER, TABLES
 from partgraph.operators.dedup import first_per_key, with_first_place
 from partgraph.operators.project import require_columns
 from partgraph.operators.recipe import apply_recipe, sheet_recipe
@@ -128,10 +128,10 @@ def build_table(
     ties settled by the raw values.
 
     Rows without a key are no entity, and links with an open end no link. ``check`` adds the clash
-    column to entities.
+    column to entities and to all tables the raw cells of the row that won.
     """
     key = TABLES[table].key
     rows = table_rows(sheet, table, readings, width)
     payload = [c for c in table_columns(table) if c not in key]
     extra = [clash_check(KEYS[key[0]][1])] if check and table in _ENTITIES else []
-    return first_per_key(rows, key, payload, RANK, extra)
+    return first_per_key(rows, key, payload, RANK, extra, CELLS if check else None)

@@ -50,6 +50,11 @@ def decimal_range(column: str, kind: str = "decimal(5,2)") -> Rule:
     return Rule("decimal", column, F.col(column).isNotNull() & F.col(column).try_cast(kind).isNull())
 
 
+def unreadable(column: str, cell: Column) -> Rule:
+    """A filled raw cell whose typed value is empty."""
+    return Rule("unreadable", column, cell.isNotNull() & F.col(column).isNull())
+
+
 def table_rules(table: str, width: int = KEY_WIDTH) -> list[Rule]:
     """All row rules a table's declaration implies. Key columns get the length of the key width in use."""
     declared = TABLES[table]

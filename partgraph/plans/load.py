@@ -4,23 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from types import MappingProxyType
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from partgraph.functions.derive import KEY_WIDTH
-from partgraph.model import CHANGE_TABLES, CLASH, ENTITY_TABLES, KEYS, LINK_TABLES, TABLES, dependants
-from partgraph.operators.changes import breakpoint_tables, type_changes
+from partgraph.model import CELLS, CHANGE_TABLES, CLASH, ENTITY_TABLES, KEYS, LINK_TABLES, ORDER, TABLES, dependants
+from partgraph.operators.changes import breakpoint_tables, is_pair_sheet, pair_sheet, type_changes
 from partgraph.operators.edits import correct_rows, new_entities, new_rows
 from partgraph.operators.normalize import build_table
 from partgraph.operators.project import is_complete, require_columns, split_sheet, upper_headers
-from partgraph.operators.quality import Rule, broken_rules, count_rows, null_key_count, row_key, table_rules
+from partgraph.operators.quality import Rule, broken_rules, count_rows, null_key_count, orphan_values, row_key, table_rules, unreadable
 from partgraph.plans.store import TableStore, to_declared
 from partgraph.session import delete, scratch
+from partgraph.sources.sheet import number_order
 
-REPORT_SCHEMA = "table_name string, stage string, rows bigint, status string, error string"
+REPORT_SCHEMA = "table_name string, stage string, rows bigint, stored bigint, status string, lost_cells string, error string"
 
 
 class LoadError(ValueError):
@@ -29,14 +30,17 @@ class LoadError(ValueError):
 
 @dataclass
 class TableLoad:
-    """Outcome of one table: folders to publish and rows loaded."""
+    """Outcome of one table: folders to publish, rows loaded, rows found in the folders afterwards, and by
+    column the filled raw cells of loaded rows whose typed value is empty."""
 
     table: str
     rows: int = 0
+    stored: int = 0
     folders: tuple[str, ...] = ()
     rejected: int = 0
     error: str | None = None
     published: bool = True
+    lost: dict[str, int] = field(default_factory=dict)
 
     @property
     def status(self) -> str:
@@ -47,14 +51,15 @@ class TableLoad:
 
 def write_table(
     store: TableStore, df: DataFrame, table: str, quarantine: bool = False, width: int = KEY_WIDTH,
-    parents: Mapping[str, DataFrame] = MappingProxyType({}),
+    parents: Mapping[str, DataFrame] = MappingProxyType({}), strict_dates: bool = False,
 ) -> TableLoad:
     """Check and write one table in a single pass; the result is not visible yet.
 
     Row count, open keys, broken rules and key clashes are counted while the rows are written. A
     table with an open key or a clash is refused, one with broken rules too, unless ``quarantine``
-    is set: then those rows go to a folder of their own, with the rules they break and their cleaned
-    values, and the rest is loaded. ``parents`` are tables by the column that refers to them: a row
+    is set: then those rows go to a folder of their own, with the rules they break, their raw cells
+    (their typed values where there are no cells) and their typed values, and the rest is loaded. Cells lost to a typed column are counted, too.
+    With ``strict_dates`` a breakpoint date that can't be read breaks rule ``unreadable``; else it is a lost cell. ``parents`` are tables by the column that refers to them: a row
     whose parent is not there breaks rule ``fk``.
     """
     declared = TABLES[table]
@@ -63,6 +68,9 @@ def write_table(
     rules += [r for r in table_rules(table, width) if r.name == "not_null" and r.column not in declared.key]
     for r in rules:
         require_columns(df, [r.column], table)
+    cells = set(df.schema[CELLS].dataType.fieldNames()) & set(declared.columns) if CELLS in df.columns else set()
+    if strict_dates and "BREAKPOINT_DATE" in cells:
+        rules.append(unreadable("BREAKPOINT_DATE", F.col(f"{CELLS}.BREAKPOINT_DATE")))
     open_key = F.lit(False)
     for c in declared.key:
         open_key = open_key | F.col(c).isNull()
@@ -79,9 +87,12 @@ def write_table(
         "broken": F.count_if(broken),
         "clashes": F.count_if(F.col(CLASH)) if CLASH in df.columns else F.count_if(F.lit(False)),
     }
+    for c in cells:
+        metrics[f"lost_{c}"] = F.count_if(F.col(f"{CELLS}.{c}").isNotNull() & F.col(c).isNull())
     if quarantine:
-        raw = F.when(broken, F.to_json(F.struct(*[c for c in df.columns if not c.startswith("_")])))
-        marked = marked.withColumns({"_RAW": raw, "_OK": ~broken})
+        typed = F.struct(*[c for c in df.columns if not c.startswith("_")])
+        raw = F.struct(*[F.col(f"{CELLS}.{c}") for c in df.schema[CELLS].dataType.fieldNames() if c != ORDER]) if cells else typed
+        marked = marked.withColumns({"_RAW": F.when(broken, F.to_json(raw)), "_TYPED": F.when(broken, F.to_json(typed)), "_OK": ~broken})
     folder, seen = store.write(to_declared(marked, table), table, metrics, "_OK" if quarantine else None)
     if seen["open_keys"] or seen["clashes"] or (seen["broken"] and not quarantine):
         store.discard([folder])
@@ -93,15 +104,26 @@ def write_table(
         raise LoadError(f"{table}: {seen['broken']} rows break integrity rules")
     good = seen["rows"] - seen["broken"]
     place = f"{folder}/_OK=true" if quarantine else folder
-    return TableLoad(table, good, (place,) if good else (), seen["broken"])
+    lost = {c: seen[f"lost_{c}"] for c in declared.columns if seen.get(f"lost_{c}")}
+    return TableLoad(table, good, folders=(place,) if good else (), rejected=seen["broken"], lost=lost)
+
+
+def verify(store: TableStore, done: Sequence[TableLoad]) -> None:
+    """Compare the rows counted during the writes with those in the folders, by their Parquet footers."""
+    written = {d.table: store.read_folders(d.table, list(d.folders)) for d in done if d.folders}
+    found = {r["table_name"]: r["rows"] for r in count_rows(written).collect()} if written else {}  # one row per table
+    for d in done:
+        d.stored = found.get(d.table, 0)
+        if not d.error and d.stored != d.rows:
+            d.error = f"{d.rows} rows written, {d.stored} found"
 
 
 def read_quarantine(store: TableStore, table: str, folder: str) -> DataFrame:
-    """Rows a quarantine load set aside: (row_key, rules, raw)."""
-    schema = f"{', '.join(f'{c} string' for c in TABLES[table].key)}, _RULES array<string>, _RAW string"
+    """Rows a quarantine load set aside: (row_key, rules, raw, typed)."""
+    schema = f"{', '.join(f'{c} string' for c in TABLES[table].key)}, _RULES array<string>, _RAW string, _TYPED string"
     rows = store.spark.read.schema(schema).parquet(folder.removesuffix("/_OK=true") + "/_OK=false")
     return rows.select(
-        row_key(TABLES[table].key).alias("row_key"), F.col("_RULES").alias("rules"), F.col("_RAW").alias("raw")
+        row_key(TABLES[table].key).alias("row_key"), F.col("_RULES").alias("rules"), F.col("_RAW").alias("raw"), F.col("_TYPED").alias("typed")
     )
 
 
@@ -121,7 +143,7 @@ def load_table(
         return 0
     kept = {t: [] if truncate and t in dependants(table) else folders for t, folders in current.items()}
     old = [] if truncate else current.get(table, [])
-    store.publish({**kept, table: [*old, *done.folders]}, version)
+    store.publish_or_discard({**kept, table: [*old, *done.folders]}, version, done.folders)
     return done.rows
 
 
@@ -139,7 +161,7 @@ def correct_table(store: TableStore, corrections: DataFrame, table: str, key: Se
     version, current = store.version(), store.current()
     corrected = correct_rows(store.read_folders(table, current.get(table, [])), corrections, key)
     done = write_table(store, corrected, table, width=width)
-    store.publish({**current, table: list(done.folders)}, version)
+    store.publish_or_discard({**current, table: list(done.folders)}, version, done.folders)
     return done.rows
 
 
@@ -155,7 +177,7 @@ def prepare_sheet(sheet: DataFrame, path: str) -> DataFrame:
     its own columns, whatever the source."""
     rows = upper_headers(sheet)
     rows.write.parquet(path)
-    return sheet.sparkSession.read.schema(rows.schema).parquet(path)
+    return number_order(sheet.sparkSession.read.schema(rows.schema).parquet(path))
 
 
 #: Tables in the order of their references: those of one level don't refer to each other.
@@ -183,7 +205,9 @@ def load_sheet(
     With ``all_or_nothing`` one failed table keeps the old version of all tables. Keys of parents and
     children come from the same rows, so a child can only lack a parent that was refused or set aside:
     then its rows are checked against what the parent's table will hold. Without a change sheet the
-    change tables stay as they are. Another load published in between makes this one fail.
+    change tables stay as they are; a truncating load then looks whether their parts are still there, and fails for
+    them if not. Another load published in between makes this one fail. The report has for each table the rows
+    written, the rows found in its folders afterwards, and the raw cells that its types could not hold.
     """
     spark, path = store.spark, scratch(store.spark, "sheet")
     raw = prepare_sheet(sheet, path)
@@ -223,24 +247,97 @@ def _load_raw(
             done += list(pool.map(build, level))
     folders = _folders(current, done, truncate)
     if changes is not None:
-        tables = {t: store.read_folders(t, folders.get(t, [])) for t in TABLES}
-        parts = breakpoint_tables(type_changes(changes), tables, width, stamp)
-        for table in CHANGE_TABLES:
-            done.append(_attempt(table, lambda t=table: job(t, parts[t])))
-        if any(d.error for d in done[-2:]):
-            done[-2:] = [TableLoad(d.table, error=d.error or "other change table failed") for d in done[-2:]]
+        done += _change_loads(store, changes, folders, truncate, quarantine, width, stamp, job)
         folders = _folders(current, done, truncate)
     else:
         folders |= {t: current.get(t, []) for t in CHANGE_TABLES}
+        if truncate and folders["part_to_breakpoint"]:
+            done += _kept_orphans(store, folders)
+    return _settle(store, done, folders, version, all_or_nothing)
+
+
+def _kept_orphans(store: TableStore, folders: Mapping[str, list[str]]) -> list[TableLoad]:
+    """A failed entry if change rows that a reload keeps refer to parts that it no longer has."""
+    links, parts = (store.read_folders(t, folders.get(t, [])) for t in ("part_to_breakpoint", "part_data"))
+    gone = orphan_values(links, "PART_ID", parts, "PART_ID", "part_to_breakpoint").agg(F.sum("rows")).first()[0]
+    if not gone:
+        return []
+    return [TableLoad("part_to_breakpoint", error=f"{gone} kept rows refer to parts that are gone")]
+
+
+def _change_loads(
+    store: TableStore, sheet: DataFrame, folders: Mapping[str, list[str]], truncate: bool, quarantine: bool, width: int, stamp: str | None,
+    job: Callable[[str, DataFrame], TableLoad],
+) -> list[TableLoad]:
+    """Both change tables of a long or a short change sheet, over the tables in ``folders``: both, or neither."""
+    tables = {t: store.read_folders(t, folders.get(t, [])) for t in TABLES}
+    long = pair_sheet(sheet, tables["part_data"]) if is_pair_sheet(sheet) else sheet
+    rows = breakpoint_tables(type_changes(long), tables, width, stamp)
+    done = [_attempt(table, lambda t=table: job(t, rows[t])) for table in CHANGE_TABLES]
+    if any(d.error for d in done):
+        for d in done:
+            store.discard(d.folders)
+        done = [TableLoad(d.table, error=d.error or "other change table failed") for d in done]
+    return done
+
+
+def load_changes(
+    store: TableStore, sheet: DataFrame, truncate: bool = False, quarantine: bool = False, width: int = KEY_WIDTH, stamp: str | None = None,
+    strict_dates: bool = True,
+) -> DataFrame:
+    """Bulk load of a raw change sheet, long or short, beside the loaded parts; returns the report.
+
+    Both change tables become visible together, or neither. Every change must refer to a loaded part and to a breakpoint of the
+    sheet or of the store: other rows break rule ``fk``, and with ``strict_dates`` dates must be readable. With ``truncate`` the old changes go, else known keys stay as they are.
+    """
+    version, current = store.version(), store.current()
+    base = {**current, **dict.fromkeys(CHANGE_TABLES, [])} if truncate else current
+    written: dict[str, tuple[str, ...]] = {}
+
+    def job(table: str, rows: DataFrame) -> TableLoad:
+        if not truncate:
+            rows = only_new(store.read_folders(table, current.get(table, [])), rows, table)
+        parents = {}
+        for column, parent in TABLES[table].references.items():
+            places = [*base.get(parent, []), *written.get(parent, ())]
+            parents[column] = store.read_folders(parent, places).select(TABLES[parent].key[0])
+        found = write_table(store, rows, table, quarantine, width, parents, strict_dates)
+        written[table] = found.folders
+        return found
+
+    done = _change_loads(store, sheet, base, truncate, quarantine, width, stamp, job)
+    for d in done:
+        store.discard(written.get(d.table, ()) if d.error else ())
+    folders = {**base, **{d.table: [*base.get(d.table, []), *d.folders] for d in done}}
+    return _settle(store, done, folders, version, True)
+
+
+def _settle(store: TableStore, done: list[TableLoad], folders: Mapping[str, list[str]], version: int, all_or_nothing: bool) -> DataFrame:
+    """Verify what was written, publish or discard it, and report."""
+    verify(store, done)
     if all_or_nothing and any(d.error for d in done):
         for d in done:
             d.published = False
             store.discard(d.folders)
     else:
-        store.publish(folders, version)
+        faulty = {d.table for d in done if d.error and d.folders}
+        kept = {t: [f for f in found if t not in faulty or f not in {x for d in done if d.table == t for x in d.folders}] for t, found in folders.items()}
+        store.publish_or_discard(kept, version, [f for d in done for f in d.folders])
     return _report(store, done)
 
 
+def load_summary(report: DataFrame) -> DataFrame:
+    """One row over a report: tables, rows, rows found, lost cells, and whether all of it succeeded."""
+    lost = F.aggregate(
+        F.filter(F.split("lost_cells", ","), lambda x: x != ""), F.lit(0).cast("long"), lambda s, x: s + F.split(x, "=")[1].cast("long")
+    )
+    return report.agg(
+        F.count(F.lit(1)).alias("tables"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum("stored"), F.lit(0)).alias("stored"),
+        F.coalesce(F.sum(lost), F.lit(0)).alias("lost_cells"),
+        (F.coalesce(F.bool_and(F.col("status").isin("loaded", "empty")), F.lit(False)) & F.coalesce(F.sum("rows") == F.sum("stored"), F.lit(False))).alias("success"),
+    )
+
+
 def _folders(current: dict[str, list[str]], done: list[TableLoad], truncate: bool) -> dict[str, list[str]]:
     """Tables after the load: replaced or extended; a truncating load empties what it did not fill."""
     base = {t: [] if truncate else current.get(t, []) for t in TABLES}
@@ -255,7 +352,8 @@ _STAGES = {
 
 
 def _report(store: TableStore, done: list[TableLoad]) -> DataFrame:
-    rows = [(d.table, _STAGES[d.table], d.rows, d.status, d.error) for d in done]
+    lost = lambda d: ",".join(f"{c}={n}" for c, n in d.lost.items())
+    rows = [(d.table, _STAGES[d.table], d.rows, d.stored, d.status, lost(d), d.error) for d in done]
     return store.spark.createDataFrame(rows, REPORT_SCHEMA)
 
 

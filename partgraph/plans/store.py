@@ -11,10 +11,11 @@ import uuid
 from collections.abc import Iterable, Mapping
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from partgraph.model import TABLES, dependants
+from partgraph.model import CELLS, TABLES, dependants
 
 
 class TableStore:
@@ -36,14 +37,15 @@ class TableStore:
 
     def current(self) -> dict[str, list[str]]:
         """Folders that make up each table now."""
-        numbers = self._pointers()
-        if not numbers:
-            return {}
-        file = self._fs.open(self._path(f"{self.root}/_pointer/{numbers[-1]:012d}.json"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8"))
-        finally:
-            file.close()
+        for number in reversed(self._pointers()):
+            file = self._fs.open(self._path(f"{self.root}/_pointer/{number:012d}.json"))
+            try:
+                return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8"))
+            except ValueError:
+                continue  # still being written, or left so by a lost driver: the one before holds
+            finally:
+                file.close()
+        return {}
 
     def version(self) -> int:
         """Number of the current pointer; 0 before the first."""
@@ -53,20 +55,31 @@ class TableStore:
         """Make ``folders`` the current tables.
 
         Fails if another load published meanwhile: since ``expected``, the version the caller read, or
-        while this one is being named.
+        while this one is being named. The pointer is created under its own name and only if there is none, which
+        file systems and object stores do in one step; a rename is a copy on the latter.
         """
         numbers = self._pointers()
         if expected is not None and max(numbers, default=0) != expected:
             raise RuntimeError("another load published first; repeat this one")
         target = self._path(f"{self.root}/_pointer/{(numbers[-1] if numbers else 0) + 1:012d}.json")
-        draft = self._path(f"{self.root}/_pointer/draft-{uuid.uuid4().hex}")
-        out = self._fs.create(draft, False)
+        try:
+            out = self._fs.create(target, False)
+        except Py4JJavaError as error:
+            if "AlreadyExists" not in error.java_exception.getClass().getName():
+                raise
+            raise RuntimeError("another load published first; repeat this one") from None
         try:
             out.write(bytearray(json.dumps(dict(folders), sort_keys=True).encode()))
         finally:
             out.close()
-        if self._fs.exists(target) or not self._fs.rename(draft, target):
-            raise RuntimeError("another load published first; repeat this one")
+
+    def publish_or_discard(self, folders: Mapping[str, list[str]], expected: int, written: Iterable[str]) -> None:
+        """Publish, or delete the folders ``written`` for it if another load came first."""
+        try:
+            self.publish(folders, expected)
+        except RuntimeError:
+            self.discard(written)
+            raise
 
     # -- tables ------------------------------------------------------------------------
 
@@ -92,7 +105,7 @@ class TableStore:
         observed = Observation()
         measured = df.observe(observed, *[m.alias(name) for name, m in metrics.items()])
         if split_by is not None:
-            measured.write.partitionBy(split_by).parquet(folder)
+            measured.drop(CELLS).write.partitionBy(split_by).parquet(folder)
         else:
             measured.select(*TABLES[table].columns).write.parquet(folder)
         return folder, observed.get
@@ -102,7 +115,9 @@ class TableStore:
         version, current = self.version(), self.current()
         folder, seen = self.write(to_declared(df, table), table, {"rows": F.count(F.lit(1))})
         if seen["rows"]:
-            self.publish({**current, table: [*current.get(table, []), folder]}, version)
+            self.publish_or_discard({**current, table: [*current.get(table, []), folder]}, version, [folder])
+        else:
+            self.discard([folder])
         return seen["rows"]
 
     def truncate(self, table: str, cascade: bool = True) -> list[str]:
@@ -119,7 +134,7 @@ class TableStore:
     def discard(self, folders: Iterable[str]) -> None:
         """Delete folders of a load that no pointer ever named."""
         for folder in folders:
-            self._fs.delete(self._path(folder), True)
+            self._fs.delete(self._path(folder.removesuffix("/_OK=true")), True)
 
 
 def to_declared(df: DataFrame, table: str) -> DataFrame:

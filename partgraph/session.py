@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Runtime settings the plans rely on. Partition counts are left to the cluster: AQE coalesces
 #: small ones and splits skewed ones, also where the split costs one more shuffle. A sheet row has 37
@@ -61,6 +62,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def if_small(rows: DataFrame, most: int = 500_000) -> DataFrame:
+    """A written table of one row per file or split, broadcast if a count proves that it is small; else Spark chooses the join."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Rows of a plain scan, dealt out over the cores if the scan has fewer splits than those.
 

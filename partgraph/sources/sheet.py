@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from partgraph.model import ORDER, SHEET_SCHEMA
 from partgraph.operators.project import upper_headers
+from partgraph.session import if_small, stage
 
 
 #: Fixed values of the bulk text form: null, and escapes with the backslash first.
@@ -25,7 +27,8 @@ def read_sheet(
     """All-text sheet from CSV, JSON or Parquet, with the order column.
 
     CSV columns go by their header, and a file with another header is refused; JSON takes the sheet
-    schema unless given one. Rows of one file keep their order: the id counts up along its splits.
+    schema unless given one. The order is total and comes from the files alone, however Spark packs them into tasks: by
+    modification time, path, start of the split, and place in it.
     """
     reader = spark.read.format(fmt).options(**options)
     if fmt == "csv":
@@ -33,8 +36,59 @@ def read_sheet(
         schema = schema or reader.load(path).schema
     if fmt == "json":
         schema = schema or SHEET_SCHEMA
-    df = (reader.schema(schema) if schema else reader).load(path)
-    return upper_headers(df).withColumn(ORDER, F.monotonically_increasing_id())
+    return with_file_order(from_files((reader.schema(schema) if schema else reader).load(path)))
+
+
+#: Where a row's split comes from, as Spark's file sources tell it.
+_SPLIT = "_SPLIT"
+#: Bits of a row's place in its task.
+_PLACE_BITS = 33
+
+
+def from_files(df: DataFrame) -> DataFrame:
+    """A frame straight from a file source, in batch or stream, with the split that each row comes from."""
+    of = F.struct(
+        F.col("_metadata.file_modification_time").alias("time"), F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("start"),
+    )
+    return df.select("*", of.alias(_SPLIT))
+
+
+def with_file_order(rows: DataFrame) -> DataFrame:
+    """The order column of rows from ``from_files``: a struct, compared field by field.
+
+    Rows of a split are read one after the other by one task, so its row counter puts them in order.
+    """
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    named = upper_headers(rows.drop(_SPLIT)).columns
+    return rows.toDF(*named, _SPLIT).select(*named, F.struct(f"{_SPLIT}.*", place.alias("place")).alias(ORDER))
+
+
+def number_order(staged: DataFrame) -> DataFrame:
+    """A written sheet with its file order as one number, which aggregations hold without sorting.
+
+    Splits are numbered in their order: one row each, as many as the tasks that read the source. Any other order column stays.
+    """
+    kind = staged.schema[ORDER].dataType if ORDER in staged.columns else None
+    if not isinstance(kind, T.StructType) or "start" not in kind.fieldNames():
+        return staged
+    split = [F.col(f"{ORDER}.{c}") for c in ("time", "path", "start")]
+    key = F.xxhash64(*split)
+    splits = staged.select(*(c.alias(n) for c, n in zip(split, ("time", "path", "start"))), key.alias(_SPLIT)).distinct()
+    numbered = splits.select(_SPLIT, F.row_number().over(Window.orderBy("time", "path", "start")).cast("bigint").alias("number"))
+    joined = staged.withColumn(_SPLIT, key).join(if_small(stage(numbered, "splits")), _SPLIT)
+    order = F.shiftleft("number", _PLACE_BITS) + F.col(f"{ORDER}.place")
+    return joined.select(*[c for c in staged.columns if c != ORDER], order.alias(ORDER))
+
+
+def arrived_in_order(spark: SparkSession, folder: str, glob: str = "*") -> None:
+    """Date the files of a folder a second apart, by name, as if they had come one after the other."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{glob}")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted(fs.globStatus(path), key=lambda s: s.getPath().getName())
+    latest = max((s.getModificationTime() for s in found), default=0) // 1000 * 1000
+    for i, status in enumerate(found):
+        fs.setTimes(status.getPath(), latest - 1000 * (len(found) - i), -1)
 
 
 def write_tsv(df: DataFrame, path: str) -> None:

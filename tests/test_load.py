@@ -1,6 +1,7 @@
 """Store, loads, report and the file-drop stream."""
 
 import datetime as dt
+import os
 
 import pytest
 from books import write_book
@@ -114,9 +115,10 @@ def test_quarantine_keeps_every_row(spark, store):
     assert {r["status"] for r in report} == {"loaded"}
     assert counts(store)["part_data"] == 3 and counts(store)["supplier_data"] == 2
     (folder,) = store.current()["part_data"]
-    aside = {tuple(r["rules"]): r["raw"] for r in load.read_quarantine(store, "part_data", folder).collect()}
+    aside = {tuple(r["rules"]): r for r in load.read_quarantine(store, "part_data", folder).collect()}
     assert set(aside) == {("decimal:PART_WEIGHT_KG",), ("fk:SUPPLIER_ID",)}  # P9's supplier was set aside as well
-    assert '"PART_WEIGHT_KG":1000.0' in aside[("decimal:PART_WEIGHT_KG",)]
+    assert '"PART_WEIGHT_KG":"1000"' in aside[("decimal:PART_WEIGHT_KG",)]["raw"]  # the sheet's cell
+    assert '"PART_WEIGHT_KG":1000.0' in aside[("decimal:PART_WEIGHT_KG",)]["typed"]
 
 
 def test_key_clash_refuses_the_table(spark, store):
@@ -289,3 +291,119 @@ def test_failed_batch_is_reported_and_retried(spark, store, tmp_path):
         with pytest.raises(Exception, match="batch not loaded"):
             file_drop(store, str(drop), checkpoint).awaitTermination()
     assert counts(store) == {}
+
+
+CHANGE = "BREAKPOINT_NUMBER string, BREAKPOINT_DATE string, PART_NUMBER string, PART_NUMBER_BEFORE_CHANGE string, SUPPLIER_NAME_BEFORE_CHANGE string"
+
+
+def change_rows(spark, *rows):
+    return spark.createDataFrame([(*r, None) for r in rows], CHANGE)
+
+
+def test_report_names_lost_cells(spark, store):
+    rows = (*ROWS, row(PART_NUMBER="P4", PART_PER_BOX="ten", PART_WEIGHT_KG="heavy", PART_PER_VEHICLE="1.5"))
+    report = load.load_sheet(store, sheet(spark, *rows))
+    found = {r["table_name"]: r["lost_cells"] for r in report.collect() if r["lost_cells"]}
+    assert found == {"part_data": "PART_WEIGHT_KG=1", "part_to_box": "PART_PER_BOX=1", "part_to_model": "PART_PER_VEHICLE=2"}
+    summary = load.load_summary(report).first()
+    assert summary["success"] and summary["lost_cells"] == 4 and summary["rows"] == summary["stored"] > 0
+
+
+def test_rows_are_verified(spark, store, monkeypatch):
+    original = store.read_folders
+    monkeypatch.setattr(store, "read_folders", lambda t, f: original(t, f).where("MODEL_CODE <> 'B16'") if t == "model_data" and f else original(t, f))
+    report = load.load_sheet(store, sheet(spark, *ROWS))
+    by_table = {r["table_name"]: r for r in report.collect()}
+    assert by_table["model_data"]["error"] == "2 rows written, 1 found"
+    assert not load.load_summary(report).first()["success"] and store.current() == {}
+
+
+def test_reload_without_the_parts_of_kept_changes(spark, store):
+    given = change_rows(spark, ("B1", "2026-01-01", "P2", "P1"))
+    load.load_sheet(store, sheet(spark, *ROWS), given)
+    before = store.current()
+    report = {r["table_name"]: r for r in load.load_sheet(store, sheet(spark, ROWS[0])).collect()}
+    assert report["part_to_breakpoint"]["error"] == "1 kept rows refer to parts that are gone"
+    assert store.current() == before
+    load.load_sheet(store, sheet(spark, *ROWS[:3]))
+    assert counts(store)["part_to_breakpoint"] == 2
+
+
+def folders(store):
+    fs, path = store._fs, store._path(store.root)
+    tables = [s.getPath() for s in fs.listStatus(path) if not s.getPath().getName().startswith("_")]
+    return {s.getPath().toString() for t in tables for s in fs.listStatus(t)}
+
+
+def test_load_changes_long_and_short(spark, store):
+    load.load_sheet(store, sheet(spark, *ROWS))
+    base = store.current()
+    long = change_rows(spark, ("1", "2026-01-01 10:00:00", "P2", "P1"), ("2", "2026-01-02", "P3", "P2"))
+    report = load.load_changes(store, long, stamp="2026-01-01")
+    assert {r["table_name"]: (r["rows"], r["stored"], r["status"]) for r in report.collect()} == {
+        "breakpoint_data": (2, 2, "loaded"), "part_to_breakpoint": (4, 4, "loaded"),
+    }
+    rows = lambda: {t: sorted(map(str, store.read(t).collect())) for t in ("breakpoint_data", "part_to_breakpoint")}
+    first = rows()
+    ids = {r["PART_NUMBER"]: r["PART_ID"] for r in store.read("part_data").collect()}
+    store.publish(base)
+    day = dt.datetime
+    short = [(day(2026, 1, 2), ids["P2"], ids["P3"]), (day(2026, 1, 1, 10), ids["P1"], ids["P2"]), (None, ids["P1"], ids["P2"])]
+    short = spark.createDataFrame(short * 2, "breakpoint_date timestamp, old_part_id string, new_part_id string")
+    load.load_changes(store, short, stamp="2026-01-01")
+    assert rows() == first
+    load.load_changes(store, long, stamp="2026-01-01")  # known keys stay
+    assert rows() == first
+
+
+def test_load_changes_is_all_or_nothing(spark, store):
+    load.load_sheet(store, sheet(spark, *ROWS))
+    before, on_disk = store.current(), folders(store)
+    report = load.load_changes(store, change_rows(spark, ("B1", "2026-01-01", "P2", "unknown part")))
+    errors = {r["table_name"]: r["error"] for r in report.collect()}
+    assert errors == {"breakpoint_data": "other change table failed", "part_to_breakpoint": "part_to_breakpoint: 1 rows break integrity rules"}
+    bad_date = load.load_changes(store, change_rows(spark, ("B1", "some day", "P2", "P1")))
+    assert "break integrity rules" in bad_date.where("table_name = 'breakpoint_data'").first()["error"]
+    gone = spark.createDataFrame([(dt.datetime(2026, 1, 1), "PRT_none", "PRT_none")], "breakpoint_date timestamp, old_part_id string, new_part_id string")
+    assert {r["status"] for r in load.load_changes(store, gone).collect()} == {"failed"}
+    assert store.current() == before and folders(store) == on_disk
+    aside = load.load_changes(store, change_rows(spark, ("B1", "some day", "P2", "P1"), ("B2", "2026-01-01", "P2", "P1")), quarantine=True)
+    assert {r["table_name"]: r["rows"] for r in aside.collect()} == {"breakpoint_data": 1, "part_to_breakpoint": 2}
+    (folder,) = store.current()["breakpoint_data"]
+    (kept,) = load.read_quarantine(store, "breakpoint_data", folder).collect()
+    assert kept["rules"] == ["unreadable:BREAKPOINT_DATE"] and '"BREAKPOINT_DATE":"some day"' in kept["raw"]
+
+
+def test_lost_race_leaves_no_folders(spark, store, monkeypatch):
+    """A second writer between the look at the pointers and the create: the first one fails and cleans up."""
+    load.load_sheet(store, sheet(spark, *ROWS))
+    before, on_disk, numbers = store.current(), folders(store), store._pointers()
+    other = TableStore(spark, store.root)
+    other.publish(before)
+    monkeypatch.setattr(store, "_pointers", lambda: numbers)
+    with pytest.raises(RuntimeError, match="another load"):
+        load.load_sheet(store, sheet(spark, *ROWS))
+    with pytest.raises(RuntimeError, match="another load"):
+        store.append(other.read("line_data"), "line_data")
+    assert folders(store) == on_disk and other.version() == numbers[-1] + 1
+
+
+def test_half_written_pointer_is_passed_over(spark, store):
+    store.publish({"line_data": []})
+    half = store._fs.create(store._path(f"{store.root}/_pointer/{2:012d}.json"), False)
+    half.write(bytearray(b'{"line_'))
+    half.close()
+    assert store.current() == {"line_data": []}
+    store.publish({"box_data": []})
+    assert store.current() == {"box_data": []} and store.version() == 3
+
+
+def test_file_drop_takes_the_older_file_first(spark, store, tmp_path):
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    for name, second, part in (("a.csv", 30, "lateName"), ("b.csv", 10, "firstName"), ("c.csv", 20, "secondName")):
+        extra = [row(PART_NUMBER=f"{name}{i}") for i in range(200 if name == "a.csv" else 1)]
+        write_csv(drop / name, [row(PART_NAME=part), *extra])
+        os.utime(drop / name, (1_700_000_000 + second,) * 2)
+    file_drop(store, str(drop), str(tmp_path / "checkpoint")).awaitTermination()
+    assert store.read("part_data").where("PART_NUMBER = 'P1'").first()["PART_NAME"] == "First Name"

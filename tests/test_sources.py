@@ -1,11 +1,14 @@
 """Workbooks, CSV/JSON/TSV and the JDBC options."""
 
+import os
+
 import pytest
 from books import write_book
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from partgraph.model import ORDER
+from partgraph.session import stage
 from partgraph.sources import jdbc, sheet, trade, workbook
 
 ABC = T.StructType([T.StructField(c, T.StringType()) for c in ("A", "B", "C")])
@@ -93,3 +96,40 @@ def test_sheet_joins_only_what_is_asked():
     assert trade.needed_tables(["MODEL_CODE", "LINE_CODE", "PART_NUMBER"]) == []
     assert trade.needed_tables(["LOCALIZATION"]) == ["supplier", "nation", "region"]
     assert trade.needed_tables(["CONFIGURATION", "PART_NAME"]) == ["orders", "part"]
+
+
+def dropped(folder, name, rows, second):
+    """A CSV file of A, B rows, last changed at a second of its own."""
+    path = folder / name
+    path.write_text("A,B\n" + "".join(f"{a},{b}\n" for a, b in rows), encoding="utf-8")
+    os.utime(path, (1_700_000_000 + second,) * 2)
+
+
+@pytest.mark.parametrize("split", ["1k", "128m"])
+def test_order_across_files(spark, tmp_path, split):
+    """Older files come first whatever their names and sizes, and however Spark packs them."""
+    dropped(tmp_path, "a.csv", [("k", "late"), ("x", "1")], 30)
+    dropped(tmp_path, "b.csv", [(f"fill{i}", i) for i in range(5000)] + [("k", "first")], 10)
+    dropped(tmp_path, "c.csv", [("k", "second"), ("k", "third")], 20)
+    dropped(tmp_path, "d.csv", [("k", "tie by path")], 20)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "10")
+    try:
+        df = sheet.read_sheet(spark, str(tmp_path))
+        expected = ["first", "second", "third", "tie by path", "late"]
+        assert [r["B"] for r in df.where("A = 'k'").orderBy(ORDER).collect()] == expected
+        numbered = sheet.number_order(stage(df, "numbered"))
+        assert dict(numbered.dtypes)[ORDER] == "bigint" and numbered.select(ORDER).distinct().count() == 5006
+        assert [r["B"] for r in numbered.where("A = 'k'").orderBy(ORDER).collect()] == expected
+        assert [r["B"] for r in numbered.where("A like 'fill%'").orderBy(ORDER).collect()] == [str(i) for i in range(5000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_order_across_workbooks(spark, tmp_path):
+    for name, second, value in (("a.xlsx", 30, "late"), ("b.xlsx", 10, "first"), ("c.xlsx", 20, "second")):
+        write_book(tmp_path / name, [["A", "B", "C"], [value, 1, 2], [value + " next", 1, 2]])
+        os.utime(tmp_path / name, (1_700_000_000 + second,) * 2)
+    found = workbook.read_workbooks(spark, str(tmp_path), ABC).orderBy(ORDER).collect()
+    assert [r["A"] for r in found] == ["first", "first next", "second", "second next", "late", "late next"]
