@@ -1,4 +1,4 @@
-"""Personal data: patterns propose spans, checksums confirm them, context words adjust their score.
+"""Personal data and secrets: patterns propose spans, checksums confirm them, context words adjust their score.
 
 Everything is a column expression: no Python runs on the executors. A pattern is only tried on texts
 that hold the character it needs. Patterns start at the end of the match before or where no character of
@@ -23,6 +23,8 @@ from partgraph.llm.common import let, text_or_empty, unused
 BEFORE, AFTER = 40, 20
 #: Score from which a proposed span of a kind without a contract counts.
 ACCEPT = 0.6
+#: Bits a character of a secret has; 20 random hexadecimal digits have 3 nearly always, words and numbers fewer.
+SECRET_BITS = 3.0
 #: Spans whose lengths are summed at once; keeps long lists of spans out of quadratic time.
 BLOCK = 128
 
@@ -65,6 +67,14 @@ def mod97(value: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda rest, char: F.when(char == "", rest).otherwise(step(rest, char))) == 1
 
 
+def mixed(value: Column) -> Column:
+    """Letters and digits without a visible order: of each two at least, and a high entropy of characters."""
+    chars = F.array_distinct(F.filter(F.split(value, ""), lambda c: c != ""))
+    share = lambda c: (F.length(value) - F.length(F.replace(value, c, F.lit("")))) / F.length(value)
+    bits = F.aggregate(chars, F.lit(0.0), lambda total, c: total - share(c) * F.log2(share(c)))
+    return value.rlike("[0-9][^0-9]*[0-9]") & value.rlike("[A-Za-z][^A-Za-z]*[A-Za-z]") & (bits >= SECRET_BITS)
+
+
 def digit_count(least: int, most: int) -> Callable[[Column], Column]:
     return lambda value: F.length(digits(value)).between(least, most)
 
@@ -83,6 +93,9 @@ class Kind:
     alone: bool = False  # no letter or digit may touch the span
 
 
+#: Words that name a secret.
+SECRET_WORDS = r"token|secret|passw|pwd|api.?key|access.?key|private.?key|credential|authori[sz]ation|bearer"
+
 # The patterns that propose each kind.
 KINDS = (
     Kind(
@@ -139,6 +152,23 @@ KINDS = (
         always=False,
         alone=True,
     ),
+    Kind(
+        "secret",
+        r"(?<![A-Za-z0-9_+/-])(?:AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|xox[abprs]-|AIza|eyJ)[A-Za-z0-9_+/-]{12,}+",
+        r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|sk-|sk_live_|xox|AIza|eyJ",
+        mixed,
+        0.8,
+        SECRET_WORDS,
+    ),
+    Kind(
+        "secret_assigned",
+        r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+",
+        f"(?i){SECRET_WORDS}",
+        mixed,
+        0.4,
+        SECRET_WORDS,
+        always=False,
+    ),
 )
 BASE = ("email", "ip", "card", "phone")
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string,score:double>>"

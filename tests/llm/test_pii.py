@@ -102,3 +102,20 @@ def test_redact(documents):
     assert (1, "to <EMAIL> and <IP>!", 20) in texts
     assert (2, None, None) in texts and (None, "x", 1) in texts and (3, "same", 4) in texts
     assert any(t == "ä <PHONE>, <CARD>" for _, t, _ in texts)
+
+
+def test_secrets(documents):
+    """A known prefix or a word near it proposes, mixed characters confirm."""
+    hex40, key = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8", "AKIA" + "J5QZ7TN2WB4XK8LD"
+    rows = [
+        (1, f'to token = "{hex40}" then'), (2, f"commit {hex40} of the file"), (3, f"use {key} here"), (4, "token = " + "a1" * 20), (5, "secret: " + "averylongwordwithoutanydigits"),
+        (6, f"é password={hex40[:24]}### x"), (7, "token " + "7" * 30), (8, f"x{key}"), (9, "Bearer " + "eyJhbGciOi9JIUzI1NiIsInR5cCI6Ikp" + " end"), (10, "token = " + hex40 * 3000),
+    ]
+    found = {r.doc_id: [s for s in r.spans.split(",") if s.startswith("secret")] for r in pii.span_report(documents(rows)).collect()}
+    assert found == {
+        1: ["secret_assigned:12:52"], 2: [], 3: ["secret:4:24"], 4: [], 5: [], 6: ["secret_assigned:11:35"], 7: [], 8: [],
+        9: ["secret:7:39", "secret_assigned:7:39"], 10: ["secret_assigned:8:120008"],
+    }
+    masked = {r.doc_id: r.text for r in pii.redact(documents(rows)).collect()}
+    assert masked[1] == 'to token = "<SECRET_ASSIGNED>" then' and masked[2] == rows[1][1] and masked[3] == "use <SECRET> here"
+    assert masked[9] == "Bearer <SECRET> end"
