@@ -55,7 +55,7 @@ def _carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def latest_response(records: DataFrame, scratch: Scratch) -> DataFrame:
-    """Each revisit (record_id, url_key, time) and the record_id of the latest earlier response to its URL, or null."""
+    """Each revisit (record_id, mark) and the record_id of the latest earlier response to its URL, or null."""
     order = ["url_key", "time", "record_id", "is_revisit"]
     slim = records.select(
         canonical_url(F.col("url")).alias("url_key"), "time", F.col("record_id").cast("long").alias("record_id"), (F.col("kind") == "response").alias("is_response")
@@ -79,7 +79,12 @@ def latest_response(records: DataFrame, scratch: Scratch) -> DataFrame:
     revisits = carried.where("not is_response")
     # bounded by the number of ranges
     joined = revisits.join(F.broadcast(handed), (F.col("part") == F.col("to_part")) & (F.col("url_key") == F.col("first_url")), "left")
-    return joined.select("record_id", "url_key", "time", F.coalesce("carried", "handed").alias("response_id"))
+    return joined.select("record_id", record_mark(F.col("url_key"), F.col("time")).alias("mark"), F.coalesce("carried", "handed").alias("response_id"))
+
+
+def record_mark(url_key: Column, time: Column) -> Column:
+    """Tells records that share an id apart."""
+    return F.xxhash64(url_key, time)
 
 
 def weak(etag: Column) -> Column:
@@ -103,24 +108,24 @@ def resolve(records: DataFrame, scratch: Scratch) -> DataFrame:
     Of responses to one URL that share an id, the one with the latest time counts. Status: ``resolved``, ``mismatch`` (validators disagree: no payload), ``missing`` (no earlier response), ``invalid``.
     """
     none = F.create_map().cast("map<string,string>")
+    url_key = canonical_url(F.col("url"))
     full = records.select(
-        F.col("record_id").cast("long").alias("record_id"), "kind", "url", canonical_url(F.col("url")).alias("url_key"), "time",
-        F.coalesce("headers", none).alias("headers"), "digest", "payload",
+        F.col("record_id").cast("long").alias("record_id"), "kind", "url", "time", F.coalesce("headers", none).alias("headers"), "digest", "payload",
+        record_mark(url_key, F.col("time")).alias("mark"),
+        # of the canonical URL; rows that have none are dealt out, for they have no response
+        F.coalesce(F.when(url_key.isNotNull(), F.xxhash64(url_key)), F.xxhash64("record_id", "url", "time")).alias("url_mark"),
     )
     revisits = full.where("kind = 'revisit'").drop("payload")
-    responses = full.where("kind = 'response'").select(
-        F.col("record_id").alias("response_id"), "url_key", F.col("headers").alias("old"), F.col("digest").alias("old_digest"), "payload", F.col("time").alias("old_time")
+    responses = full.where("kind = 'response' and record_id is not null").select(
+        F.col("record_id").alias("response_id"), "url_mark", F.col("headers").alias("old"), F.col("digest").alias("old_digest"), "payload", F.col("time").alias("old_time")
     )
     # an id alone does not name a record: an id may repeat with another URL or time
-    found = latest_response(records, scratch).groupBy("record_id", "url_key", "time").agg(F.max("response_id").alias("response_id"))
-    matched = scratch.save(found, "matched")
-    latest = Window.partitionBy("response_id", "url_key").orderBy(F.desc("old_time"), "old_digest", F.xxhash64("payload"))
-    responses = responses.where("response_id is not null and url_key is not null").withColumn("nth", F.row_number().over(latest)).where("nth = 1").drop("nth")
-    known = revisits.join(matched.where("response_id is not null"), ["record_id", "url_key", "time"])
-    rows = known.join(responses, ["response_id", "url_key"], "left")
-    # those without a response need no lookup; as a key, null would bring them together
-    alone = revisits.join(matched.where("response_id is not null").select("record_id", "url_key", "time"), ["record_id", "url_key", "time"], "left_anti")
-    rows = rows.unionByName(alone.withColumn("response_id", F.lit(None).cast("long")), allowMissingColumns=True)
+    matched = latest_response(records, scratch).groupBy("record_id", "mark").agg(F.max("response_id").alias("response_id"))
+    matched = scratch.save(matched, "matched")
+    latest = Window.partitionBy("response_id", "url_mark").orderBy(F.desc("old_time"), "old_digest", F.xxhash64("payload"))
+    responses = responses.withColumn("nth", F.row_number().over(latest)).where("nth = 1").drop("nth", "old_time")
+    # revisits without a response are spread by their URL; by the response alone, null would bring them together
+    rows = revisits.join(matched, ["record_id", "mark"], "left").join(responses, ["response_id", "url_mark"], "left")
     agree = F.coalesce(
         weak(header(F.col("headers"), "etag")) == weak(header(F.col("old"), "etag")),
         header(F.col("headers"), "last-modified") == header(F.col("old"), "last-modified"),
