@@ -122,6 +122,7 @@ def resolve(records: DataFrame, scratch: Scratch) -> DataFrame:
     # an id alone does not name a record: an id may repeat with another URL or time
     matched = latest_response(records, scratch).groupBy("record_id", "mark").agg(F.max("response_id").alias("response_id"))
     matched = scratch.save(matched, "matched")
+    scratch.drop("carried")  # all that is needed of it is written
     latest = Window.partitionBy("response_id", "url_mark").orderBy(F.desc("old_time"), "old_digest", F.xxhash64("payload"))
     responses = responses.withColumn("nth", F.row_number().over(latest)).where("nth = 1").drop("nth", "old_time")
     # revisits without a response are spread by their URL; by the response alone, null would bring them together
