@@ -83,8 +83,8 @@ def latest_response(records: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def record_mark(url_key: Column, time: Column) -> Column:
-    """Tells records that share an id apart."""
-    return F.xxhash64(url_key, time)
+    """Tells the few records that share an id apart."""
+    return F.hash(url_key, time)
 
 
 def weak(etag: Column) -> Column:
@@ -113,9 +113,9 @@ def resolve(records: DataFrame, scratch: Scratch) -> DataFrame:
         F.col("record_id").cast("long").alias("record_id"), "kind", "url", "time", F.coalesce("headers", none).alias("headers"), "digest", "payload",
         record_mark(url_key, F.col("time")).alias("mark"),
         # of the canonical URL; rows that have none are dealt out, for they have no response
-        F.coalesce(F.when(url_key.isNotNull(), F.xxhash64(url_key)), F.xxhash64("record_id", "url", "time")).alias("url_mark"),
+        F.coalesce(F.when(url_key.isNotNull(), F.hash(url_key)), F.hash("record_id", "url", "time")).alias("url_mark"),
     )
-    revisits = full.where("kind = 'revisit'").drop("payload")
+    revisits = full.where("kind = 'revisit'").drop("payload", "kind")
     responses = full.where("kind = 'response' and record_id is not null").select(
         F.col("record_id").alias("response_id"), "url_mark", F.col("headers").alias("old"), F.col("digest").alias("old_digest"), "payload", F.col("time").alias("old_time")
     )
@@ -126,7 +126,7 @@ def resolve(records: DataFrame, scratch: Scratch) -> DataFrame:
     latest = Window.partitionBy("response_id", "url_mark").orderBy(F.desc("old_time"), "old_digest", F.xxhash64("payload"))
     responses = responses.withColumn("nth", F.row_number().over(latest)).where("nth = 1").drop("nth", "old_time")
     # revisits without a response are spread by their URL; by the response alone, null would bring them together
-    rows = revisits.join(matched, ["record_id", "mark"], "left").join(responses, ["response_id", "url_mark"], "left")
+    rows = revisits.join(matched, ["record_id", "mark"], "left").drop("mark").join(responses, ["response_id", "url_mark"], "left")
     agree = F.coalesce(
         weak(header(F.col("headers"), "etag")) == weak(header(F.col("old"), "etag")),
         header(F.col("headers"), "last-modified") == header(F.col("old"), "last-modified"),
