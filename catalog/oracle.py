@@ -568,6 +568,14 @@ ORACLES["insert_new"] = sql(
     " SELECT * FROM part_data WHERE PART_ID NOT IN (SELECT PART_ID FROM old)",
     "part_data",
 ).replace(" , old AS", ", old AS")
+ORACLES["append_clash"] = sql(f", old AS ({_first_parts}) SELECT PART_ID, PART_NUMBER FROM old WHERE PART_NUMBER LIKE '%7'", "part_data").replace(
+    " , old AS", ", old AS"
+)
+ORACLES["merge_folders"] = sql(
+    "SELECT 'line_data' AS table_name, LINE_ID AS row_key, true AS merged FROM line_data"
+    " UNION ALL SELECT 'box_data', BOX_ID, true FROM box_data",
+    "line_data", "box_data",
+)
 ORACLES["correct_parts"] = sql(
     "SELECT PART_ID, PART_NUMBER, CASE WHEN p_size > 25 THEN 'Large ' || p_name ELSE PART_NAME END AS PART_NAME,"
     " CASE WHEN p_size < 10 THEN 1.25::DOUBLE ELSE PART_WEIGHT_KG END AS PART_WEIGHT_KG, SUPPLIER_ID"

@@ -146,6 +146,26 @@ def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), held)
 
 
+@query("merge_folders")
+def merge_folders(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines and boxes appended in three parts each, merged, older versions deleted: all rows, with the folders before and after."""
+    store = new_store(spark, "merged")
+    names = ("line_data", "box_data")
+    for name in names:
+        rows = table(spark, folder, name)
+        for part in range(3):
+            store.append(rows.where(F.pmod(F.xxhash64(*TABLES[name].key), F.lit(3)) == part), name)
+    before = {name: len(folders) for name, folders in store.current().items()}
+    store.merge_small(at_least=2)
+    store.remove_old(1)
+    after = {name: len(folders) for name, folders in store.current().items()}
+    held = [
+        plain(store.read(n).select(F.lit(n).alias("table_name"), F.col(TABLES[n].key[0]).alias("row_key"), (F.lit(before[n]) - F.lit(after[n]) > 0).alias("merged")))
+        for n in names
+    ]
+    return reduce(DataFrame.unionByName, held)
+
+
 @query("append_table")
 def append_table(spark: SparkSession, folder: str) -> DataFrame:
     store = new_store(spark, "append")
@@ -521,6 +541,16 @@ def insert_new(spark: SparkSession, folder: str) -> DataFrame:
     return edits.insert_new(first, normalize.build_table(rows, "part_data"), TABLES["part_data"].key)
 
 
+@query("append_clash")
+def append_clash(spark: SparkSession, folder: str) -> DataFrame:
+    """Keys of returnable boxes' parts that an append would give to another part number."""
+    rows = part_sheet(spark, folder, [*normalize.sheet_columns_for("part_data"), "BOX_TYPE"])
+    first = normalize.build_table(rows.where("BOX_TYPE = 'returnable'"), "part_data")
+    renamed = F.when(F.col("PART_NUMBER").endswith("7"), F.concat(F.lit("R-"), "PART_NUMBER")).otherwise(F.col("PART_NUMBER"))
+    incoming = normalize.build_table(rows, "part_data").withColumn("PART_NUMBER", renamed)
+    return edits.key_clashes(first, incoming, TABLES["part_data"].key, ["PART_NUMBER"])
+
+
 def _corrections(spark: SparkSession, folder: str) -> DataFrame:
     """A name for large parts and a weight for small ones."""
     return read_table(spark, folder, "part").select(

@@ -32,6 +32,12 @@ SHEET_COLUMNS: tuple[str, ...] = (
     "SUPPLIER_NAME", "LOCATION", "CITY", "STREET", "BUILDING", "LOCALIZATION",
 )
 
+#: Sheet columns of whole numbers.
+INTEGER_COLUMNS: frozenset[str] = frozenset(
+    ("PART_PER_VEHICLE", "PART_PER_BOX", "BOX_PER_PALLET")
+    + tuple(f"{p}_{c}" for p in ("BOX", "PALLET") for c in ("LENGTH_MM", "WIDTH_MM", "HEIGHT_MM", "STACKING"))
+)
+
 CHANGE_COLUMNS: tuple[str, ...] = (
     "BREAKPOINT_NUMBER", "BREAKPOINT_DATE", "PART_NUMBER", "PART_NUMBER_BEFORE_CHANGE",
     "SUPPLIER_NAME_BEFORE_CHANGE", "LOCALIZATION_BEFORE_CHANGE", "LINE_NAME_BEFORE_CHANGE",

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partgraph.model import ORDER
+from partgraph.model import CLASH, ORDER
 
 
 def new_rows(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -29,9 +30,32 @@ def new_entities(existing: DataFrame, incoming: DataFrame, key: Sequence[str], p
     return marked.where(F.col("_STORED").isNull() | other).drop("_STORED")
 
 
+def merge_new(existing: DataFrame, incoming: DataFrame, key: Sequence[str], parts: Sequence[str] = (), clash: str = CLASH) -> DataFrame:
+    """Both sides in one keyed aggregation: the table's row of a key stays, a key it lacks comes from ``incoming``.
+
+    Each side is read once and shuffled once. Both hold a key once; an open key equals no other, so its rows all stay. With
+    ``parts``, the natural key, column ``clash`` marks keys that stand for several natural keys.
+    """
+    both = existing.withColumn("_NEW", F.lit(False)).unionByName(incoming.withColumn("_NEW", F.lit(True)), allowMissingColumns=True)
+    others = [c for c in both.columns if c not in key and c != "_NEW"]
+    open_key = reduce(Column.__or__, [F.col(k).isNull() for k in key])
+    apart = both.withColumn("_OPEN", F.when(open_key, F.monotonically_increasing_id()))
+    mark = F.xxhash64(*[F.col(p).cast("string") for p in parts]) if parts else F.lit(0).cast("bigint")
+    kept = apart.groupBy(*key, "_OPEN").agg(
+        F.min(F.struct("_NEW", *others)).alias("_ROW"), (F.min(mark) != F.max(mark)).alias("_SEVERAL")
+    )
+    marked = [F.col("_SEVERAL").alias(clash)] if parts else []
+    return kept.select(*[F.col(c) if c in key else F.col(f"_ROW.{c}") for c in both.columns if c != "_NEW"], *marked)
+
+
 def insert_new(existing: DataFrame, incoming: DataFrame, key: Sequence[str]) -> DataFrame:
     """The table with the new rows added; rows already there stay as they are."""
-    return existing.unionByName(new_rows(existing, incoming, key), allowMissingColumns=True)
+    return merge_new(existing, incoming, key)
+
+
+def key_clashes(existing: DataFrame, incoming: DataFrame, key: Sequence[str], parts: Sequence[str]) -> DataFrame:
+    """Keys that both sides hold for different natural keys, with the table's natural key."""
+    return merge_new(existing, incoming, key, parts).where(CLASH).select(*key, *parts)
 
 
 def correct_rows(existing: DataFrame, corrections: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -3,7 +3,8 @@
 A part has many models, lines and boxes, and a box that many parts share has many pallets. Joined
 side by side these branches would return every combination. The overview returns them one under
 another instead: one row per fact, with a SECTION column that names its branch. So its size is the
-sum of the facts, not their product. Filters pick parts before any branch is joined.
+sum of the facts, not their product. Filters pick parts before any branch is joined; the chosen parts and their boxes
+are written down once, and all sections read those.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from partgraph.session import stage
+
 #: Filter column -> branch it selects on.
 FILTERS = {
     "PART_NUMBER": "part",
@@ -62,7 +65,9 @@ def part_overview(tables: Mapping[str, DataFrame], **filters: str | None) -> Dat
     Columns of other sections are null. Pallet rows tell how a box is stacked; they go with their
     box number, not with a part. Filter values are compared as stored, i.e. after cleaning.
     """
-    parts = select_parts(tables, **filters)
+    filtered = any(v is not None for v in filters.values())
+    once = stage if filtered else (lambda df, _: df)
+    parts = once(select_parts(tables, **filters), "chosen-parts")
     chosen = parts.select("PART_ID", "PART_NUMBER")
 
     def branch(section: str, df: DataFrame) -> DataFrame:
@@ -74,16 +79,15 @@ def part_overview(tables: Mapping[str, DataFrame], **filters: str | None) -> Dat
         return tables[link].join(chosen, "PART_ID").join(entity, key)
 
     workshops = tables["line_data"].join(tables["workshop_data"], "WORKSHOP_ID", "left")
-    boxes = tables["box_data"].select("BOX_ID", "BOX_NUMBER")
-    if any(v is not None for v in filters.values()):
-        used = tables["part_to_box"].join(chosen, "PART_ID", "left_semi")
-        boxes = boxes.join(used, "BOX_ID", "left_semi")
+    boxed = once(linked("part_to_box", tables["box_data"], "BOX_ID"), "chosen-boxes")
+    numbers = (boxed if filtered else tables["box_data"]).select("BOX_ID", "BOX_NUMBER")
+    boxes = numbers.distinct() if filtered else numbers
     stacked = tables["box_to_pallet"].join(boxes, "BOX_ID").join(tables["pallet_data"], "PALLET_ID")
     sections = [
         branch("part", parts.join(tables["supplier_data"], "SUPPLIER_ID", "left")),
         branch("model", linked("part_to_model", tables["model_data"], "MODEL_ID")),
         branch("line", linked("part_to_line", workshops, "LINE_ID")),
-        branch("box", linked("part_to_box", tables["box_data"], "BOX_ID")),
+        branch("box", boxed),
         branch("pallet", stacked),
         branch("change", linked("part_to_breakpoint", tables["breakpoint_data"], "BREAKPOINT_ID")),
     ]

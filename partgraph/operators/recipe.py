@@ -9,13 +9,10 @@ from pyspark.sql import functions as F
 
 from partgraph.functions.casts import to_float2, to_int64, to_string
 from partgraph.functions.text import clean_text
-from partgraph.model import ENTITY_COLUMNS, SHEET_COLUMNS
+from partgraph.model import ENTITY_COLUMNS, INTEGER_COLUMNS, SHEET_COLUMNS
 
 Recipe = Mapping[str, Callable[[Column], Column]]
 
-_INTEGERS = {"PART_PER_VEHICLE", "PART_PER_BOX", "BOX_PER_PALLET"} | {
-    f"{p}_{c}" for p in ("BOX", "PALLET") for c in ("LENGTH_MM", "WIDTH_MM", "HEIGHT_MM", "STACKING")
-}
 _DECIMALS = {"PART_WEIGHT_KG"} | {f"{p}_{c}" for p in ("BOX", "PALLET") for c in ("WEIGHT_KG", "VOL_M3", "AREA_M2")}
 _TEXTS = ("PART_NAME", "SUPPLIER_NAME")
 
@@ -26,7 +23,7 @@ def sheet_recipe(readings: Column | None = None) -> dict[str, Callable[[Column],
     def pick(column: str) -> Callable[[Column], Column]:
         if column in _TEXTS:
             return lambda c: clean_text(c, readings)
-        if column in _INTEGERS:
+        if column in INTEGER_COLUMNS:
             return to_int64
         return to_float2 if column in _DECIMALS else to_string
 

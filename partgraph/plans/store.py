@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 from partgraph.model import CELLS, TABLES, dependants
 
 
+#: Bytes from which a folder is left alone by merges, and bytes of a merged file.
+MERGED_BYTES = 128 << 20
+
+
 class TableStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -35,17 +39,26 @@ class TableStore:
         names = [s.getPath().getName() for s in self._fs.listStatus(folder)]
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and n[0].isdigit())
 
+    def _pointer(self, number: int) -> str:
+        return f"{self.root}/_pointer/{number:012d}.json"
+
+    def _tables_at(self, number: int) -> dict[str, list[str]] | None:
+        """What a pointer names; None if it is still being written, or left so by a lost driver."""
+        file = self._fs.open(self._path(self._pointer(number)))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8"))
+        except ValueError:
+            return None
+        finally:
+            file.close()
+
+    def _named(self, number: int) -> list[str]:
+        return [f for folders in (self._tables_at(number) or {}).values() for f in folders]
+
     def current(self) -> dict[str, list[str]]:
-        """Folders that make up each table now."""
-        for number in reversed(self._pointers()):
-            file = self._fs.open(self._path(f"{self.root}/_pointer/{number:012d}.json"))
-            try:
-                return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8"))
-            except ValueError:
-                continue  # still being written, or left so by a lost driver: the one before holds
-            finally:
-                file.close()
-        return {}
+        """Folders that make up each table now: the newest pointer that is whole."""
+        found = (self._tables_at(number) for number in reversed(self._pointers()))
+        return next((tables for tables in found if tables is not None), {})
 
     def version(self) -> int:
         """Number of the current pointer; 0 before the first."""
@@ -61,7 +74,7 @@ class TableStore:
         numbers = self._pointers()
         if expected is not None and max(numbers, default=0) != expected:
             raise RuntimeError("another load published first; repeat this one")
-        target = self._path(f"{self.root}/_pointer/{(numbers[-1] if numbers else 0) + 1:012d}.json")
+        target = self._path(self._pointer((numbers[-1] if numbers else 0) + 1))
         try:
             out = self._fs.create(target, False)
         except Py4JJavaError as error:
@@ -131,6 +144,57 @@ class TableStore:
             self.publish({t: [] if t in emptied else folders for t, folders in current.items()}, version)
         return emptied
 
+    # -- retention ---------------------------------------------------------------------
+
+    def merge_small(self, at_least: int = 8, small: int = MERGED_BYTES) -> dict[str, int]:
+        """Rewrite the small folders of each table that has ``at_least`` of them as one; returns how many went into it.
+
+        Appends leave a folder each. Folders of ``small`` bytes or more stay as they are, so a row is rewritten only while its
+        folder is small. All tables are published at once and hold the same rows as before; the old folders stay for readers
+        until ``remove_old``.
+        """
+        version, current = self.version(), self.current()
+        merged, written, counts = dict(current), [], {}
+        try:
+            for table, folders in current.items():
+                sizes = {f: self._fs.getContentSummary(self._path(f)).getLength() for f in folders}
+                few = [f for f in folders if sizes[f] < small]
+                if len(few) < max(at_least, 2):
+                    continue
+                files = max(1, sum(sizes[f] for f in few) // MERGED_BYTES)
+                rows = self.read_folders(table, few).coalesce(files)  # small on purpose: at most ``small`` bytes a folder
+                folder, seen = self.write(rows, table, {"rows": F.count(F.lit(1))})
+                written.append(folder)
+                if self.read_folders(table, [folder]).count() != seen["rows"]:
+                    raise RuntimeError(f"{table}: {seen['rows']} rows merged, others found")
+                merged[table] = [*[f for f in folders if f not in few], folder]
+                counts[table] = len(few)
+            if counts:
+                self.publish(merged, version)
+        except Exception:
+            self.discard(written)
+            raise
+        return counts
+
+    def remove_old(self, keep: int = 2) -> int:
+        """Delete pointers before the last ``keep`` and the folders that only those name; returns the number of folders.
+
+        Readers of the versions kept go on undisturbed. Folders go before their pointers, so that a lost driver leaves
+        nothing that the next call does not find. Folders that no pointer ever named may be another load's and stay.
+        """
+        numbers = self._pointers()
+        whole = [n for n in numbers if self._tables_at(n) is not None]
+        first = whole[-max(keep, 1) :][0] if whole else 0  # one left unfinished is no version
+        gone = [n for n in numbers if n < first]
+        named = {f for n in numbers if n >= first for f in self._named(n)}
+        old = {f for n in gone for f in self._named(n)} - named
+        removed = [f for f in sorted(old) if self._fs.exists(self._path(f))]
+        for folder in removed:  # as named: rows that a quarantine set aside beside it stay
+            self._fs.delete(self._path(folder), True)
+        for number in gone:
+            self._fs.delete(self._path(self._pointer(number)), False)
+        return len(removed)
+
     def discard(self, folders: Iterable[str]) -> None:
         """Delete folders of a load that no pointer ever named."""
         for folder in folders:

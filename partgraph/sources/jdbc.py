@@ -6,6 +6,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+from partgraph.session import delete, scratch
+
 
 def read_table(
     spark: SparkSession,
@@ -44,8 +46,10 @@ def write_table(
 ) -> None:
     """Bulk insert in batches. ``truncate`` empties the table and keeps its definition, else rows are added.
 
-    At most ``connections`` tasks write at once, whatever the partitioning of ``df``.
+    At most ``connections`` tasks write at once. The rows are written to the working folder first: the source lowers the number of
+    partitions without a shuffle, which would run the whole plan behind ``df`` in so few tasks.
     """
+    spark, path = df.sparkSession, scratch(df.sparkSession, "jdbc")
     options = {
         **(properties or {}),
         "url": url,
@@ -54,7 +58,12 @@ def write_table(
         "numPartitions": str(connections),
         "truncate": str(truncate).lower(),
     }
-    df.write.format("jdbc").options(**options).mode("overwrite" if truncate else "append").save()
+    try:
+        df.write.parquet(path)
+        staged = spark.read.schema(df.schema).parquet(path)
+        staged.write.format("jdbc").options(**options).mode("overwrite" if truncate else "append").save()
+    finally:
+        delete(spark, path)
 
 
 def count_rows(spark: SparkSession, url: str, table: str, properties: Mapping[str, str] | None = None) -> int:

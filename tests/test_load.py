@@ -273,6 +273,60 @@ def test_file_drop_loads_each_file_once(spark, store, tmp_path):
     assert store.read("part_data").where("PART_NUMBER = 'P1'").first()["PART_NAME"] == "Engine Mount"
 
 
+LINES = "LINE_ID string, LINE_CODE string, LINE_NAME string, WORKSHOP_ID string"
+
+
+def test_folders_stay_bounded_over_many_batches(spark, store, tmp_path):
+    for i in range(20):
+        store.append(spark.createDataFrame([(f"L{i}", f"c{i}", f"n{i}", "w")], LINES), "line_data")
+        store.merge_small(4)
+        store.remove_old(2)
+        assert len(list((tmp_path / "store" / "line_data").iterdir())) <= 2 * 4
+        assert len(list((tmp_path / "store" / "_pointer").glob("0*.json"))) <= 2
+    assert store.read("line_data").distinct().count() == 20
+
+
+def test_stream_merges_folders(spark, store, tmp_path):
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    for i in range(2):
+        write_csv(drop / f"{i}.csv", [row(PART_NUMBER=f"N{i}")])
+    file_drop(store, str(drop), str(tmp_path / "checkpoint"), glob="*.csv", max_files=1, merge_from=2, keep_versions=1).awaitTermination()
+    assert counts(store)["part_data"] == 2 and len(list((tmp_path / "store" / "part_data").iterdir())) == 1
+
+
+def test_readers_of_the_version_before_go_on(spark, store):
+    for i in range(3):
+        store.append(spark.createDataFrame([(f"L{i}", f"c{i}", f"n{i}", "w")], LINES), "line_data")
+    reader = store.read("line_data")
+    assert store.merge_small(at_least=5) == {} and store.merge_small(at_least=3) == {"line_data": 3}
+    assert store.remove_old(2) == 0 and reader.count() == 3  # all three folders are named by the version before
+    assert len(store.current()["line_data"]) == 1 and store.read("line_data").count() == 3
+    assert store.remove_old(1) == 3 and store.remove_old(1) == 0
+    assert sorted(r["LINE_ID"] for r in store.read("line_data").collect()) == ["L0", "L1", "L2"]
+    version = store.version()
+    store._fs.create(store._path(store._pointer(version + 1)), False).close()  # a lost driver's
+    assert store.remove_old(1) == 0 and store.read("line_data").count() == 3
+
+
+def test_a_merge_that_comes_second_leaves_no_folder(spark, store, tmp_path, monkeypatch):
+    one = lambda i: spark.createDataFrame([(f"L{i}", f"c{i}", f"n{i}", "w")], LINES)
+    for i in range(2):
+        store.append(one(i), "line_data")
+    write = store.write
+
+    def beaten(*args):
+        found = write(*args)
+        monkeypatch.setattr(store, "write", write)
+        store.append(one(9), "line_data")
+        return found
+
+    monkeypatch.setattr(store, "write", beaten)
+    with pytest.raises(RuntimeError, match="another load"):
+        store.merge_small(at_least=2)
+    assert store.read("line_data").count() == 3 and len(list((tmp_path / "store" / "line_data").iterdir())) == 3
+
+
 def test_workbook_drop(spark, store, tmp_path):
     drop = tmp_path / "drop"
     drop.mkdir()

@@ -150,6 +150,11 @@ def test_insert_and_correct(spark):
     new = spark.createDataFrame([("2", "B", "other", 9.0, "s9"), ("3", "C", "c", 3.0, "s3")], kind)
     merged = edits.insert_new(old, new, ["PART_ID"]).orderBy("PART_ID").collect()
     assert [r["PART_NAME"] for r in merged] == ["a", "b", "c"]
+    assert edits.insert_new(old, new, ["PART_ID"])._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    clashing = spark.createDataFrame([("1", "Z", "z", 1.0, "s1"), ("2", "B", "b", 2.0, "s2"), (None, "N", "n", 1.0, "s1")], kind)
+    assert [tuple(r) for r in edits.key_clashes(old, clashing, ["PART_ID"], ["PART_NUMBER"]).collect()] == [("1", "A")]
+    open_keys = edits.insert_new(clashing, clashing.where("PART_ID is null"), ["PART_ID"])
+    assert sorted(r["PART_NUMBER"] for r in open_keys.collect()) == ["B", "N", "N", "Z"]
     fixes = spark.createDataFrame(
         [("A", "fixed", None, "s9"), ("Z", "none", "1", "s9")],
         "PART_NUMBER string, PART_NAME string, PART_WEIGHT_KG string, SUPPLIER_ID string",
@@ -201,7 +206,9 @@ def test_overview_filters_must_hold_on_one_row(spark):
     assert chosen(LINE_CODE="L2") == ["p1", "p2"]
     assert chosen(LINE_CODE="L1", LINE_NAME="two") == []
     assert chosen(LINE_CODE="L2", PART_NUMBER="P2") == ["p2"]
-    sections = overview.part_overview(tables, PART_NUMBER="P1").groupBy("SECTION").count().collect()
+    chosen_once = overview.part_overview(tables, PART_NUMBER="P1")
+    assert "chosen-parts" in "".join(chosen_once.inputFiles()) and "chosen-boxes" in "".join(chosen_once.inputFiles())
+    sections = chosen_once.groupBy("SECTION").count().collect()
     assert {r["SECTION"]: r["count"] for r in sections} == {"part": 1, "line": 2}
 
 

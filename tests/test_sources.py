@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from partgraph.model import ORDER
+from partgraph.operators import recipe
 from partgraph.session import stage
 from partgraph.sources import jdbc, sheet, trade, workbook
 
@@ -33,6 +34,15 @@ def test_workbook_cells(spark, tmp_path):
     ]
 
 
+def test_number_cells_of_integer_columns_lose_their_fraction(spark, tmp_path):
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in ("PART_PER_BOX", "BOX_STACKING", "PART_WEIGHT_KG")])
+    write_book(tmp_path / "n.xlsx", [schema.fieldNames(), [12.5, "12.5", 12.5], [-3.99, "7", "1.5"], [1e300, 2.0, 0.1]])
+    rows = workbook.read_workbooks(spark, str(tmp_path), schema).orderBy(ORDER)
+    assert [tuple(r) for r in rows.drop(ORDER).collect()] == [("12", "12.5", "12.5"), ("-3", "7", "1.5"), ("1e+300", "2", "0.1")]
+    typed = recipe.apply_recipe(rows, recipe.sheet_recipe())
+    assert [tuple(r) for r in typed.drop(ORDER).collect()] == [(12, None, 12.5), (-3, 7, 1.5), (None, 2, 0.1)]
+
+
 def test_many_workbooks_keep_row_order_and_files_apart(spark, tmp_path):
     for book in range(5):
         write_book(tmp_path / f"b{book}.xlsx", [["A", "B", "C"], *[[f"b{book}", i, None] for i in range(40)]])
@@ -92,6 +102,13 @@ def test_jdbc_needs_bounds(spark):
         jdbc.read_table(spark, "jdbc:none:x", "t", partition_column="id")
 
 
+def test_jdbc_write_leaves_nothing_behind(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jdbc, "scratch", lambda _, name: str(tmp_path / name))
+    with pytest.raises(Exception, match="(?i)driver"):
+        jdbc.write_table(spark.range(5).toDF("n"), "jdbc:none:x", "t", connections=2)
+    assert not list(tmp_path.iterdir())
+
+
 def test_sheet_joins_only_what_is_asked():
     assert trade.needed_tables(["MODEL_CODE", "LINE_CODE", "PART_NUMBER"]) == []
     assert trade.needed_tables(["LOCALIZATION"]) == ["supplier", "nation", "region"]
