@@ -69,9 +69,15 @@ class Scratch:
             path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def bounded(rows: DataFrame) -> DataFrame:
-    """A written table of a few numbers a row, broadcast only if a count proves that it is small."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+def bounded(rows: DataFrame, more: Column | None = None) -> DataFrame:
+    """A written table of a few numbers a row, broadcast only if a count proves that it is small.
+
+    ``more``: size of a row's array or text; rows and sizes together count against the bound.
+    """
+    if more is None:
+        return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+    total = rows.agg(F.count(F.lit(1)) + F.coalesce(F.sum(more), F.lit(0))).first()[0]
+    return F.broadcast(rows) if total <= BROADCAST_ROWS else rows
 
 
 def unused(df: DataFrame, name: str) -> str:

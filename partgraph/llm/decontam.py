@@ -4,7 +4,7 @@ Both sides are brought to one form: a word of its own for each number (``<n>``),
 a sentence) and unit behind a number (``<u>``), all else lower-cased words without marks. A document is cut into consecutive blocks of
 ``BLOCK`` words, an item into all its windows of that size; they are joined by hash. Any shared run of
 2 * BLOCK - 1 words holds a whole block, so none of that length is missed although a document has a row per block
-only. Texts with neighbouring placeholders of a kind (New York) are cut a second time with these made one, so that a name of
+only. A block of nothing but placeholders must be equal in their values, too, so tables of numbers don't meet all others. Texts with neighbouring placeholders of a kind (New York) are cut a second time with these made one, so that a name of
 other length doesn't break a run. A joined pair gives the item's place in the document. Blocks of an item at places no more
 than ``NEAR`` words apart are chained in order, none overlapping, and words are compared one by one along the chain. The values in
 CONSISTENT of the slots must map one to one: the same value in the item is the same in the document and the other way round. So
@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from partgraph.llm.common import BROADCAST_ROWS, Scratch, bounded, let, text_or_empty
+from partgraph.llm.common import Scratch, bounded, let, text_or_empty
 
 BLOCK = 5
 LEAST = 2 * BLOCK - 1  # words of a run that holds a whole block wherever it begins
@@ -53,6 +53,11 @@ def canonical(text: Column, values: bool = False) -> Column:
     return F.trim(F.regexp_replace(lowered, r"[^\p{L}\p{N}<>:_]+", " "))
 
 
+def without_values(form: Column) -> Column:
+    """``canonical`` without values, from the one with values."""
+    return F.regexp_replace(form, r"<([npu]):[^ <>]*:\1>", "<$1>")
+
+
 def collapsed(form: Column, values: bool = False) -> Column:
     """``canonical`` with neighbouring placeholders of a kind as one."""
     return F.regexp_replace(form, r":([npu])> <\1:", "_") if values else F.regexp_replace(form, r"<([npu])>(?: <\1>)+", "<$1>")
@@ -77,6 +82,14 @@ def window_hash(items: Column) -> Column:
     return F.xxhash64(F.array_join(items, " "))
 
 
+def block_hash(valued: Column) -> Column:
+    """Hash of a block of words with values: of their form, or, if all of them are placeholders, of the values, too.
+
+    Tables of numbers are alike in form, whatever they hold: there only a copy is a match.
+    """
+    return F.when(valued.rlike(rf"^(<[npu]:[^ ]*( |$)){{{BLOCK}}}$"), F.xxhash64(F.lit("values"), bare(valued))).otherwise(F.xxhash64(without_values(valued)))
+
+
 def item_words(benchmark: DataFrame) -> DataFrame:
     """Words of each item as they are (joined 0) and with neighbouring placeholders as one (1)."""
     forms = [F.struct(F.lit(j).alias("joined"), words(text_or_empty(), True, j == 1).alias("item_words")) for j in (0, 1)]
@@ -86,20 +99,20 @@ def item_words(benchmark: DataFrame) -> DataFrame:
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """One row for each window of each item in both forms: hash, item and place."""
-    worded = item_words(benchmark).select("item_id", "joined", F.transform("item_words", kind_of).alias("words")).where(F.size("words") >= LEAST)
+    worded = item_words(benchmark).select("item_id", "joined", F.col("item_words").alias("words")).where(F.size("words") >= LEAST)
     starts = F.sequence(F.lit(0), F.size("words") - BLOCK)
-    placed = F.transform(starts, lambda i: F.struct(window_hash(F.slice("words", i + 1, F.lit(BLOCK))).alias("hash"), i.alias("place")))
+    placed = F.transform(starts, lambda i: F.struct(block_hash(F.array_join(F.slice("words", i + 1, F.lit(BLOCK)), " ")).alias("hash"), i.alias("place")))
     return worded.select("item_id", "joined", F.explode(placed).alias("w")).select("w.hash", "item_id", "joined", F.col("w.place").alias("item_place")).distinct()
 
 
 def document_blocks(docs: DataFrame) -> DataFrame:
     """One row for each block of each document: document, hash, place of its first word, and form (2: both are the same)."""
-    formed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), canonical(text_or_empty()).alias("form"))
+    formed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), canonical(text_or_empty(), True).alias("form"))
     blocks = lambda form: F.regexp_extract_all(F.concat(form, F.lit(" ")), F.lit(f"(?:[^ ]+ ){{{BLOCK}}}"), F.lit(0))
     numbered = lambda form, joined: F.transform(
-        blocks(form), lambda b, i: F.struct(joined.alias("of"), F.xxhash64(F.trim(b)).alias("hash"), (i * BLOCK).alias("doc_place"))
+        blocks(form), lambda b, i: F.struct(joined.alias("of"), block_hash(F.trim(b)).alias("hash"), (i * BLOCK).alias("doc_place"))
     )
-    one = F.struct("form", collapsed(F.col("form")).alias("joined"))
+    one = F.struct("form", collapsed(F.col("form"), True).alias("joined"))
     rows = let(one, lambda f: F.when(f["form"] == f["joined"], numbered(f["form"], F.lit(2))).otherwise(
         F.concat(numbered(f["form"], F.lit(0)), numbered(f["joined"], F.lit(1)))
     ))
@@ -202,19 +215,28 @@ def matched_words(item: Column, doc: Column, parts: Column) -> Column:
     return F.filter(pairs, lambda p: p["doc"].isNotNull() & ((kind_of(p["item"]) == kind_of(p["doc"])) | (bare(p["item"]) == bare(p["doc"]))))
 
 
+def same_document(doc_id: str, tie: str) -> Column:
+    return F.col(doc_id).eqNullSafe(F.col("doc_id")) & (F.col(tie) == F.col("tie"))
+
+
+def candidate_words(docs: DataFrame, found: DataFrame, scratch: Scratch) -> DataFrame:
+    """Words of each document with candidates, in the forms they ask for: worked out once, however many candidates it has."""
+    wanted = found.groupBy("doc_id", "tie").agg(F.collect_set("joined").alias("forms"))  # 0, 1
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_tie"), text_or_empty().alias("text"))
+    chosen = texts.join(bounded(scratch.save(wanted, "wanted")), same_document("_id", "_tie")).select("_id", "_tie", "text", F.explode("forms").alias("form"))
+    own = F.when(F.col("form") == 1, words(F.col("text"), True, True)).otherwise(words(F.col("text"), True))
+    return scratch.save(chosen.select("_id", "_tie", "form", own.alias("doc_words")), "words")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, scratch: Scratch, coverage: float = COVERAGE) -> DataFrame:
     """Documents that hold an item, with the best place of each: doc_id, tie, item_id, place, words matched and counted, slots.
 
     Places and words are those of the form with neighbouring placeholders as one where only that form matches.
     """
-    found = bounded(scratch.save(candidates(docs, benchmark), "candidates"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_tie"), text_or_empty().alias("text"))
-    cut = texts.join(found, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie")))
-    own = F.when(F.col("joined") == 1, words(F.col("text"), True, True)).otherwise(words(F.col("text"), True))
-    cut = cut.select("doc_id", "tie", "item_id", "joined", "place", "parts", own.alias("doc_words"))
-    known = item_words(benchmark)
-    few = benchmark.limit(BROADCAST_ROWS // 50 + 1).count() <= BROADCAST_ROWS // 50
-    joined = cut.join(F.broadcast(known) if few else known, ["item_id", "joined"])
+    found = scratch.save(candidates(docs, benchmark), "candidates")
+    cut = candidate_words(docs, found, scratch).join(bounded(found, F.size("parts")), same_document("_id", "_tie")).drop("_id", "_tie")
+    cut = cut.where(F.col("joined") == F.col("form")).drop("form")
+    joined = cut.join(bounded(scratch.save(item_words(benchmark), "items"), F.length(F.array_join("item_words", " "))), ["item_id", "joined"])
     slots = lambda matched: F.filter(matched, lambda p: p["item"].rlike("^<[npu]:"))
     matched = matched_words(F.col("item_words"), F.col("doc_words"), F.col("parts"))
     key = ["doc_id", "tie", "item_id", "joined", "place"]

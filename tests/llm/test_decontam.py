@@ -1,6 +1,7 @@
 """Leaks: planted verbatim, re-parameterised and look-alike passages."""
 
 import random
+import re
 
 from partgraph.llm import decontam
 from partgraph.llm.common import Scratch
@@ -92,6 +93,48 @@ def test_names_of_other_length_and_one_conflict(llm, documents):
     assert found(llm, documents, docs, [(1, item), (2, moved), (3, twelve)]) == {(1, 1), (2, 2), (3, 3)}
 
 
+def test_tables_of_numbers_meet_only_copies(llm, documents):
+    """Blocks of nothing but numbers and units: no row for each pair of a document's and an item's."""
+    rng = random.Random(5)
+    table = lambda n: " ".join(f"{rng.randrange(10**6)} km {rng.randrange(10**6)}" for _ in range(n))
+    bench = [(i, table(30)) for i in range(40)]
+    docs = [(1, table(4000)), (2, table(50) + " " + bench[7][1] + " " + table(50)), (3, "so " + QUESTION + " " + table(300))]
+    bench.append((99, QUESTION.replace("120", "240").replace("Alice", "Bob")))
+    found_rows = decontam.candidates(documents(docs), items(llm, bench)).collect()
+    assert len(found_rows) < 500
+    assert found(llm, documents, docs, bench) == {(2, 7), (3, 99)}
+
+
+def plain_leaks(docs, bench):
+    """(document, item) of items that stand word for word in a text, by reading all of it."""
+    plain = lambda t: " " + " ".join(re.findall(r"[a-z0-9]+", (t or "").lower())) + " "
+    return {(d, i) for d, t in docs for i, b in bench if plain(b).strip() and plain(b) in plain(t)}
+
+
+def test_against_brute_force(llm, documents):
+    """Copies: all of them, and nothing else. Edited copies with one word in ten changed: nine of ten at least."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    some = lambda n: [str(rng.randrange(900)) if rng.random() < 0.1 else rng.choice(vocabulary) for _ in range(n)]
+    bench = [(i, " ".join(some(rng.randrange(1, 45)))) for i in range(60)]
+    docs, edited = [], set()
+    for d in range(300):
+        body = some(rng.randrange(0, 200))
+        item, text = bench[rng.randrange(60)]
+        words = text.split()
+        if d % 3 == 1:
+            body[len(body) // 2 : 0] = words
+            body = some(9) + words + body
+        if d % 3 == 2 and len(words) >= 20:
+            changed = [rng.choice(vocabulary) if i % 12 == 11 else w for i, w in enumerate(words)]
+            body += changed
+            edited.add((d, item))
+        docs.append((d, " ".join(body)))
+    got, copies = found(llm, documents, docs, bench), plain_leaks(docs, bench)
+    assert copies <= got and got <= copies | edited
+    assert len(edited) > 30 and len(got & edited) >= 0.9 * len(edited)
+
+
 def test_nothing(llm, documents):
     assert found(llm, documents, []) == set()
     assert found(llm, documents, [(1, PLAIN)], []) == set()
