@@ -1,0 +1,119 @@
+"""The whole pipeline against a plain version of each stage."""
+
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pyarrow.parquet as pq
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from partgraph.llm import classifier
+from partgraph.llm.common import read
+
+_letters = random.Random(0)
+WORDS = ["".join(_letters.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(600)]
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+
+
+def prose(seed, n=120):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(WORDS) + ("." if i % 12 == 11 else "") for i in range(n))
+
+
+def junk(seed):
+    rng = random.Random(seed)
+    return " ".join(rng.choice(["buy", "now", "cheap", "click", "free!!!", "$$$"]) for _ in range(100))
+
+
+def changed(text, *places):
+    words = text.split(" ")
+    for at in places:
+        words[at] = "other"
+    return " ".join(words)
+
+
+ITEMS = [prose(1000 + j, 18) for j in range(6)]
+DOCS = {
+    **{i: prose(i) for i in range(80)},
+    **{i: junk(i) for i in range(100, 140)},
+    200: prose(3), 201: changed(prose(4), 60), 202: changed(prose(5), *range(0, 120, 8)), 203: changed(prose(4), 60, 100),
+    300: f"{prose(300)} {ITEMS[0]} {prose(301)}", 301: f"{ITEMS[1]} {prose(302)}", 302: f"{prose(303)} {ITEMS[2][:40]}",
+    310: f"{prose(310)} write to ann@example.org or bob.b@mail.example.com now", 400: None, 401: "", 402: prose(402, 9000),
+}
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
+
+
+def one_of_each(docs):
+    top = {i: i for i in docs}
+
+    def find(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    sets = {i: shingles(t) for i, t in docs.items()}
+    for a in docs:
+        for b in docs:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                top[y] = x
+    return {i: t for i, t in docs.items() if find(i) == i}
+
+
+def holds_item(text):
+    words = lambda t: f" {' '.join(re.findall('[a-z]+', (t or '').lower()))} "
+    return any(words(item) in words(text) for item in ITEMS)
+
+
+def test_run_against_plain_stages(llm, tmp_path):
+    def write(name, columns):
+        pq.write_table(pa.table(columns), tmp_path / f"{name}.parquet")
+
+    ids = list(DOCS)
+    write("documents", {
+        "doc_id": ids, "text": pa.array(DOCS.values(), pa.string()), "lang": ["en"] * len(ids), "source": ["s"] * len(ids),
+        "n_chars": pa.array([None if t is None else len(t) for t in DOCS.values()], pa.int64()),
+    })
+    known = [i for i in ids if i < 140]
+    write("labels", {"doc_id": known, "quality": [int(i < 100) for i in known], "toxic": [0] * len(known)})
+    write("benchmark", {"item_id": list(range(len(ITEMS))), "text": ITEMS})
+    folder = str(tmp_path)
+
+    model = classifier.fit(read(llm, folder, "documents"), read(llm, folder, "labels"))
+    good = {i: t for i, t in DOCS.items() if classifier.score((t or "").encode(), *model) >= 0.7}
+    assert set(range(80)) | {200, 201, 202, 203, 300, 301, 302, 310, 402} <= set(good) and not set(range(100, 140)) & set(good)
+    single = one_of_each(good)
+    assert set(good) - set(single) == {200, 201, 203}
+    clean = {i: t for i, t in single.items() if not holds_item(t)}
+    assert set(single) - set(clean) == {300, 301}
+    masked = {i: EMAIL.sub("<EMAIL>", t or "") for i, t in clean.items()}
+    assert masked[310].endswith("write to <EMAIL> or <EMAIL> now")
+
+    library = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    by_doc, by_sequence = {}, {}
+    for row in corpus_pipeline.run(llm, folder).collect():
+        by_doc.setdefault(row.doc_id, []).append(row)
+        by_sequence.setdefault(row.sequence_id, []).append(row)
+    assert set(by_doc) == set(masked)
+    for doc_id, pieces in by_doc.items():
+        ids = np.array([*library.encode(masked[doc_id], add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for piece in sorted(pieces, key=lambda p: p.start):
+            assert piece.start == at and piece.doc_tokens == len(ids)
+            at += piece.length
+            assert zlib.crc32(ids[piece.start : at].tobytes()) == piece.ids_crc32
+        assert at == len(ids)
+    for pieces in by_sequence.values():
+        end = 0
+        for piece in sorted(pieces, key=lambda p: p.offset):
+            assert piece.offset == end
+            end += piece.length
+        assert end <= 2048

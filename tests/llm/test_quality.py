@@ -70,6 +70,27 @@ def test_trees_hold_out(llm, scratch):
     assert ((held.tree_score >= 0.5) == (held.quality == 1)).mean() > 0.95
 
 
+def test_verdict_against_a_walk(llm, scratch):
+    """``kept`` from the plain counts and a walk through each tree, row by row."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = read(llm, folder, "documents"), read(llm, folder, "labels")
+    rows = rules.judge(docs, labels, scratch).toPandas()
+    trees = rules.fit_on(rules.document_stats(docs), labels)
+    x = rules.features({c: rows[c].to_numpy() for c in rules.COUNTS + rules.MORE})
+    texts_by_id = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    assert len(rows) == len(texts_by_id)
+    for doc_id, kept, values in zip(rows.doc_id, rows.kept, x):
+        total = trees.base
+        for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if values[feature[node]] > threshold[node] else 1)
+            total += leaf[node - len(feature)]
+        n_words, _, _, _, n_repeat = brute(texts_by_id[doc_id])
+        failed = n_words < 50 or 100 * n_repeat > 50 * n_words
+        assert kept == (not failed and 1 / (1 + np.exp(-total)) >= rules.KEEP_FROM), doc_id
+
+
 def test_trees_are_monotone():
     rng = np.random.default_rng(0)
     x = rng.uniform(0, 1, (2000, 3))
