@@ -87,10 +87,10 @@ def sentence_runs(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS,
 def repeated_runs(docs: DataFrame, scratch: Scratch, span: int = SPAN, min_words: int = MIN_WORDS, whole: bool = False) -> DataFrame:
     """Runs that stand in ``docs`` before, with the document of the first one."""
     order = F.struct("doc_id", "tie", "place")
-    first = sentence_runs(docs, span, min_words, whole).groupBy("hash").agg(F.min(order).alias("first"), F.max(order).alias("last"))
+    found = scratch.save(sentence_runs(docs, span, min_words, whole), "runs")  # texts are split once
+    first = found.groupBy("hash").agg(F.min(order).alias("first"), F.max(order).alias("last"))
     known = scratch.save(first.where("first <> last").select("hash", "first"), "first")
-    rows = sentence_runs(docs, span, min_words, whole).join(known, "hash")
-    return rows.where(F.struct("doc_id", "tie", "place") != F.col("first")).select(
+    return found.join(known, "hash").where(F.struct("doc_id", "tie", "place") != F.col("first")).select(
         "doc_id", "tie", "start", "end", F.col("first.doc_id").alias("first_doc_id")
     )
 

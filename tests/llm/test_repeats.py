@@ -8,18 +8,29 @@ from partgraph.llm import repeats
 SENTENCE = re.compile(r"\S[^\n]*?(?:[.!?]+(?=\s|$)|(?=\n|$))")
 
 
-def brute(rows, span, min_words):
+def runs_of(words, span, min_words, whole):
+    """(first sentence, sentences) of each run."""
+    for i in range(len(words)):
+        for size in range(span, len(words) - i + 1):
+            if sum(map(len, words[i : i + size])) >= min_words:
+                yield i, size
+                break
+            if not whole:
+                break
+        if whole and len(words[i]) >= 20:
+            yield i, 1
+
+
+def brute(rows, span, min_words, whole=False):
     """Removed spans of each (id, text), which the order by id stands in for."""
     seen, out = {}, {}
     for doc_id, text in sorted(rows):
         places = [m.span() for m in SENTENCE.finditer(text)]
-        for i in range(len(places) - span + 1):
-            words = [text[a:b].lower().split() for a, b in places[i : i + span]]
-            if sum(map(len, words)) < min_words:
-                continue
-            key = tuple(map(tuple, words))
+        words = [text[a:b].lower().split() for a, b in places]
+        for i, size in runs_of(words, span, min_words, whole):
+            key = tuple(map(tuple, words[i : i + size]))
             if key in seen:
-                out.setdefault(doc_id, []).append((places[i][0], places[i + span - 1][1], seen[key]))
+                out.setdefault(doc_id, []).append((places[i][0], places[i + size - 1][1], seen[key]))
             else:
                 seen[key] = doc_id
     merged = {}
@@ -46,7 +57,19 @@ def test_against_brute_force(documents, scratch):
         rows = corpus(span)
         found = {r.doc_id: (r.removed, r.first_doc_ids) for r in repeats.removed_spans(documents(rows), scratch, span, least).collect()}
         assert found == brute(rows, span, least)
-        scratch.drop("first")
+        scratch.drop("first", "runs")
+
+
+def test_query_against_brute_force(documents, scratch):
+    """The settings that the registered query has."""
+    rng = random.Random(11)
+    words = ["one", "Two", "three", "ä", "so", "it", "goes"]
+    line = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    pool = [line(rng.randrange(1, 5)) + "." for _ in range(30)] + [line(rng.randrange(18, 24)) + "!" for _ in range(12)]
+    passages = [" ".join(rng.choice(pool) for _ in range(rng.randrange(1, 8))) for _ in range(30)]
+    rows = [(i, "\n".join(rng.choice([*passages, *pool]) for _ in range(rng.randrange(6)))) for i in range(150)]
+    found = {r.doc_id: (r.removed, r.first_doc_ids) for r in repeats.removed_spans(documents(rows), scratch, whole=True).collect()}
+    assert found == brute(rows, repeats.SPAN, repeats.MIN_WORDS, True) and len(found) > 50
 
 
 def test_texts_without_the_spans(documents, scratch):
@@ -72,7 +95,7 @@ def test_short_lines_and_long_sentences(documents, scratch):
 
 def test_nothing_and_long_texts(documents, scratch):
     assert repeats.removed_spans(documents([]), scratch).count() == 0
-    scratch.drop("first")
+    scratch.drop("first", "runs")
     long = "word " * 50_000 + ". " + "Same old line here. Another old line there.\n" * 2000
     (row,) = repeats.removed_spans(documents([(1, long)]), scratch).collect()
     assert row.first_doc_ids == [1] and row.n_runs >= 3990
