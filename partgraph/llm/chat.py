@@ -5,11 +5,10 @@ place of turn k; where the shorter one is not a beginning of the longer, the tem
 which is reported with the place up to which both agree. Rendering the last turn with two other texts shows which part
 of its span is its text. The loss mask covers the text of each assistant turn.
 
-Rows are dealt by conversation, sorted and streamed: a task holds one conversation's prefix at a time, and of a template
-that names its look-back no more than ``WHOLE`` turns of it. That a template looks back no further than it says is tested: at 64, 128, ... turns,
-and at the end, all turns are rendered at once. Where that is not what stands so far, the rewrite is reported there, and the rest of the conversation
-is rendered from its whole prefix. The turns held for this take up to ``HELD`` characters; a longer conversation is tested once more when it reaches
-them, and trusted from there on, so one of any length takes bounded memory.
+Rows are dealt by conversation, sorted and streamed: a task holds one conversation's prefix at a time. Of a template that is ``joined``
+from turns it holds no more than the look-back, so a conversation of any length takes bounded memory. Of others it holds the whole conversation:
+that one looks back no further than it says is tested. At 64, 128, ... turns, and at the end, whatever the conversation's size, all turns are
+rendered at once. Where that is not what stands so far, the rewrite is reported there, and the rest of the conversation is rendered from its whole prefix.
 
 Turns go by turn, then role, then text. Null turn numbers come first; null role and text are empty; rows
 without a conversation id form one conversation; repeated rows are turns of their own. Other columns aren't read.
@@ -33,7 +32,7 @@ from partgraph.llm.common import map_batches, text_or_empty
 Turn = tuple[str, str]
 #: Prefixes of up to so many turns are rendered whole even if the template looks back less far.
 WHOLE = 32
-#: Characters of formatted text up to which a conversation's turns are held to test the template's look-back.
+#: Characters of pieces that a task holds before it hands them on.
 HELD = 1 << 22
 LEARNT_ROLE = "assistant"
 # The control strings of the template.
@@ -42,10 +41,14 @@ OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 @dataclass(frozen=True)
 class Template:
-    """``render`` makes text of turns. ``look_back``: a turn's text depends on no more turns before it; None: on any."""
+    """``render`` makes text of turns. ``look_back``: a turn's text depends on no more turns before it; None: on any.
+
+    ``joined``: ``render`` itself joins what it makes of each turn and the ``look_back`` before it, so there is nothing to test.
+    """
 
     render: Callable[[list[Turn]], str]
     look_back: int | None = None
+    joined: bool = False
 
 
 def escape(text: str) -> str:
@@ -70,7 +73,7 @@ def render_turns(turns: list[Turn]) -> str:
     return "".join(f"{OPEN}{escape_role(role)}\n{escape(text)}{CLOSE}\n" for role, text in turns)
 
 
-MARKED = Template(render_turns, look_back=0)
+MARKED = Template(render_turns, look_back=0, joined=True)
 PIECES = "conv_id long, turn_no long, start long, keep long, text_start long, text_end long, loss boolean, piece string"
 ARROW = pa.schema(
     [("conv_id", pa.int64()), ("turn_no", pa.int64()), ("start", pa.int64()), ("keep", pa.int64()), ("text_start", pa.int64())]
@@ -99,7 +102,7 @@ class Conversation:
         self.before, self.count = template.render([]), 0
         self.length = len(self.before)
         self.row: dict = {}  # of the last turn
-        self.held: list[Turn] | None = None if self.look_back is None else []
+        self.held: list[Turn] | None = None if self.look_back is None or template.joined else []
         self.pieces = [self.before]  # what the held turns became
 
     def add(self, role: str, text: str) -> None:
@@ -126,11 +129,8 @@ class Conversation:
             self.pieces.append(whole[lead:])
         self.turns.append((role, text))
         self.before, self.length, self.count = whole, base + len(whole), self.count + 1
-        full = self.length > HELD
-        if full or self.count & (self.count - 1) == 0:
+        if self.count & (self.count - 1) == 0:
             self.test()
-        if full:
-            self.held, self.pieces = None, []
         if self.look_back is not None and len(self.turns) > max(WHOLE, self.look_back):
             self.turns = self.turns[len(self.turns) - self.look_back :] if self.look_back else []
             self.before = self.template.render(self.turns)
@@ -167,7 +167,7 @@ def _format(template: Template):
                 if not same:
                     current = Conversation(template, conv_id)
                 current.add(role, text)
-                if len(rows) >= 1000 or size > 1 << 22:
+                if len(rows) >= 1000 or size > HELD:
                     yield pa.RecordBatch.from_pylist(rows, schema=ARROW)
                     rows, size = [], 0
         if current is not None:

@@ -99,3 +99,25 @@ def test_look_back_is_tested(llm, monkeypatch):
             out.append(one.row)
         out[-1] = one.last()
         assert one.held is None and assembled(out) == chat.render_turns(said[-1])
+
+
+def test_look_back_is_tested_at_any_size(llm):
+    """A template that breaks its claim late in a conversation of more than 4 M characters is found out there, too."""
+
+    def numbered(turns):
+        return ("" if len(turns) <= 150 else f"#{len(turns)} ") + "".join(f"[{r}:{t}]" for r, t in turns)
+
+    for text in ("t", "t" * (chat.HELD // 100)):
+        one, found = chat.Conversation(chat.Template(numbered, look_back=0), 1), ""
+        for turn in range(200):
+            one.add("user", text)
+            row = one.last() if turn == 199 else one.row
+            found = found[: row["keep"]] + row["piece"]
+        assert found == numbered([("user", text)] * 200) and row["keep"] == 0
+
+
+def test_joined_template_holds_its_look_back_only():
+    one = chat.Conversation(chat.MARKED, 1)
+    for turn in range(200):
+        one.add("user", f"t{turn}")
+        assert one.held is None and len(one.turns) <= chat.WHOLE + 1
