@@ -100,3 +100,13 @@ def test_title_case_shortcut_equals_the_rule(spark):
     rows = [("".join(random.choices("abXYаЖЁё5 ß-", k=random.randint(0, 12))),) for _ in range(3000)]
     found = spark.createDataFrame(rows, "v string").select("v", text.title_case(F.col("v")).alias("t")).collect()
     assert [(r["v"], r["t"]) for r in found if r["t"] != rule(r["v"])] == []
+
+
+def test_other_characters_are_found_without_a_search(spark):
+    """The shortcut's test agrees with the class it stands for, and the plan has no search for a negated class, which takes ten times as long."""
+    values = ["", "Az Zя ЁёАЯ 09", "a-b", "a\u0000", "ß", "中", "😀 a", "a\n", "\u0450", "A[", "a{", "a`", "a@", "9:", "/0", None]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    found = {r["v"]: r["other"] for r in df.select("v", text.has_other(F.col("v")).alias("other")).collect()}
+    assert found == {v: None if v is None else re.search("[^A-Za-zА-Яа-яЁё0-9 ]", v) is not None for v in values}
+    plan = df.select(text.clean_text(F.col("v")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.upper()
