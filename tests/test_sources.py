@@ -1,6 +1,7 @@
 """Workbooks, CSV/JSON/TSV and the JDBC options."""
 
 import os
+from pathlib import Path
 
 import pytest
 from books import write_book
@@ -150,3 +151,26 @@ def test_order_across_workbooks(spark, tmp_path):
         os.utime(tmp_path / name, (1_700_000_000 + second,) * 2)
     found = workbook.read_workbooks(spark, str(tmp_path), ABC).orderBy(ORDER).collect()
     assert [r["A"] for r in found] == ["first", "first next", "second", "second next", "late", "late next"]
+
+
+def _bytes(folder):
+    return sum(p.stat().st_size for p in Path(folder).iterdir() if p.name.startswith("part-"))
+
+
+def test_staged_text_is_packed(spark, tmp_path):
+    """A staged sheet takes less than half of its text, and comes back whole."""
+    rows = spark.range(5000).selectExpr("'P-' || cast(id as string) as PART_NUMBER", "cast(null as string) as BOX_NUMBER", "'a \"b\", c' as PART_NAME", "id as PART_PER_BOX")
+    lengths = rows.selectExpr("sum(length(PART_NUMBER) + length(PART_NAME) + length(PART_PER_BOX) + 5)").first()[0]
+    sheet.write_json(rows, f"{tmp_path}/json")
+    sheet.write_tsv(rows, f"{tmp_path}/tsv", packed=True)
+    sheet.write_csv(rows, f"{tmp_path}/csv")
+    for name in ("json", "tsv", "csv"):
+        assert _bytes(tmp_path / name) < lengths / 2
+    expected = sorted(map(tuple, rows.collect()))
+    assert sorted(map(tuple, sheet.read_json(spark, f"{tmp_path}/json", rows.schema).collect())) == expected
+    assert sorted(map(tuple, sheet.read_tsv(spark, f"{tmp_path}/tsv", rows.schema).collect())) == expected
+    text = [tuple(v if v is None else str(v) for v in r) for r in expected]
+    assert sorted(map(tuple, sheet.read_sheet(spark, f"{tmp_path}/csv").drop("_ORD").collect())) == text
+    plain = f"{tmp_path}/plain"
+    sheet.write_tsv(rows, plain)
+    assert spark.read.text(plain).count() == 5000 and any(Path(plain).glob("*.txt"))
