@@ -2,15 +2,18 @@
 
 import datetime as dt
 import os
+import random
+import re
 
 import pytest
 from books import write_book
 from pyspark.sql import functions as F
 
 from partgraph.model import ORDER, SHEET_COLUMNS, TABLES
-from partgraph.operators import quality
+from partgraph.operators import changes, dedup, normalize, quality
 from partgraph.plans import load
 from partgraph.plans.store import TableStore
+from partgraph.sources.trade import change_sheet
 from partgraph.streaming.ingest import file_drop
 
 BASE = {
@@ -461,3 +464,82 @@ def test_file_drop_takes_the_older_file_first(spark, store, tmp_path):
         os.utime(drop / name, (1_700_000_000 + second,) * 2)
     file_drop(store, str(drop), str(tmp_path / "checkpoint")).awaitTermination()
     assert store.read("part_data").where("PART_NUMBER = 'P1'").first()["PART_NAME"] == "First Name"
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_tables_of_placed_rows_are_the_same_and_shuffle_less(spark):
+    """Places repeat, rows of one place differ, cells are open and spelt in several ways."""
+    random.seed(3)
+    some = lambda *values: random.choice(values)
+    rows = [
+        row(
+            PART_NUMBER=some("P1", "P1", "P2", "P3", None), PART_NAME=some("engineMount", "b", None), PART_WEIGHT_KG=some("1", "x", None),
+            SUPPLIER_NAME=some("a b", "aB", None), MODEL_CODE=some("A01", "B16", None), MODEL_NAME=some("H3", None), CONFIGURATION=some("s", "t"),
+            BOX_LENGTH_MM=some("0200", "200", None), PART_PER_BOX=some("1", "2"), PART_PER_VEHICLE=some("1", "n/a", None), LINE_CODE=some("L1", None),
+        )
+        for _ in range(400)
+    ]
+    df = sheet(spark, *rows).withColumn(ORDER, F.col(ORDER) % 150).repartition(5)
+    fewer = set()
+    for table in EXPECTED:
+        slow, fast = (normalize.build_table(df, table, True, placed=placed) for placed in (False, True))
+        assert slow.schema == fast.schema and sorted(map(str, slow.collect())) == sorted(map(str, fast.collect()))
+        if exchanges(fast) < exchanges(slow):
+            fewer.add(table)
+    assert fewer == {"part_data"}  # its distinct rows are not shuffled
+    plan = normalize.build_table(df, "part_to_model", True, placed=True)._jdf.queryExecution().executedPlan().toString()
+    assert not any("CONFIGURATION" in keys for keys in re.findall(r"keys=\[([^\]]*)\]", plan))  # one row per link and task is shuffled
+
+
+def test_open_places_do_not_beat_equal_rows(spark, store):
+    """An open place counts only for rows that have no other; the load looks for open places itself."""
+    rows = sheet(spark, row(PART_NAME="a", PART_NUMBER="P1"), row(PART_NAME="b", PART_NUMBER="P1"), row(PART_NAME="a", PART_NUMBER="P1"))
+    opened = rows.withColumn(ORDER, F.when(F.col(ORDER) < 2, 5 - F.col(ORDER)))
+    load.load_sheet(store, opened)
+    assert store.read("part_data").first()["PART_NAME"] == "B"
+    assert dedup.all_placed(rows) and not dedup.all_placed(opened) and not dedup.all_placed(rows.drop(ORDER))
+
+
+def test_written_changes_read_the_same(spark, tmp_path):
+    given = changes_of(spark, ("B1", "2026-02-01 10:11:12.123456", "P2", "P1", None), ("B2", "1700-01-01", "P2", None, "x"), (None, "no", "P3", "P3", None))
+    typed = changes.type_changes(given.withColumn("LOCALIZATION_BEFORE_CHANGE", F.lit(None)))
+    kept = changes.write_changes(typed, str(tmp_path / "changes"))
+    assert sorted(map(str, kept.collect())) == sorted(map(str, typed.collect()))
+    assert exchanges(kept) == 0 and kept.columns == typed.columns
+
+
+def test_changes_are_worked_out_once(spark, store, monkeypatch):
+    read = []
+    monkeypatch.setattr(load, "breakpoint_tables", lambda rows, *a: read.append(rows.inputFiles()) or changes.breakpoint_tables(rows, *a))
+    given = changes_of(spark, ("BP1", "2026-02-01", "P2", "P1", None))
+    report = load.load_sheet(store, sheet(spark, *ROWS), given).where("stage = 'change'").collect()
+    assert {(r["table_name"], r["rows"]) for r in report} == {("breakpoint_data", 1), ("part_to_breakpoint", 2)}
+    assert len(read) == 1 and all("/changes-" in f for f in read[0]) and read[0]
+    assert not os.path.exists(read[0][0].removeprefix("file://"))  # gone after the load
+    broken = given.withColumn("BREAKPOINT_NUMBER", F.raise_error(F.concat(F.lit("bad "), "PART_NUMBER")).cast("string"))
+    failed = load.load_sheet(store, sheet(spark, *ROWS), broken).where("stage = 'change'").collect()
+    assert {r["status"] for r in failed} == {"failed"} and len(failed) == 2 and counts(store)["breakpoint_data"] == 1
+
+
+def test_change_sheet_of_odd_orders(spark, tmp_path):
+    """Lines that repeat, have no number or no part: first and last part by line, then part."""
+    random.seed(5)
+    lines = [(random.randint(0, 40), random.choice([1, 1, 2, 3, None]), random.choice([*range(6), None])) for _ in range(300)]
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    orders = [(i, dt.datetime(2026, 1, 1)) for i in range(40)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_orderdate timestamp").write.parquet(str(tmp_path / "orders.parquet"))
+    expected = set()
+    for key in range(40):
+        own = [(n, p) for k, n, p in lines if k == key and n is not None]
+        if own:
+            old = [p for n, p in own if n == min(x for x, _ in own) and p is not None]
+            new = [p for n, p in own if n == max(x for x, _ in own) and p is not None]
+            if old and new and min(old) != max(new):
+                expected.add((f"BP{key}", f"P-{min(old)}", f"P-{max(new)}"))
+    found = change_sheet(spark, str(tmp_path))
+    assert {(r["BREAKPOINT_NUMBER"], r["PART_NUMBER_BEFORE_CHANGE"], r["PART_NUMBER"]) for r in found.collect()} == expected and expected
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate ") == 1  # lines are shuffled once
