@@ -13,6 +13,7 @@ from partgraph.model import ORDER, SHEET_COLUMNS, TABLES
 from partgraph.operators import changes, dedup, normalize, quality
 from partgraph.plans import load
 from partgraph.plans.store import TableStore
+from partgraph.session import BOUNDS, tune
 from partgraph.sources.trade import change_sheet
 from partgraph.streaming.ingest import file_drop
 
@@ -543,3 +544,28 @@ def test_change_sheet_of_odd_orders(spark, tmp_path):
     assert {(r["BREAKPOINT_NUMBER"], r["PART_NUMBER_BEFORE_CHANGE"], r["PART_NUMBER"]) for r in found.collect()} == expected and expected
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate ") == 1  # lines are shuffled once
+
+
+def test_staged_rows_are_read_in_small_splits(spark, tmp_path):
+    names = list(BOUNDS)
+    kept = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "128m")
+        tune(spark)
+        assert [spark.conf.get(n) for n in names] == [f"{most}b" for most in BOUNDS.values()]
+        for n in names:
+            spark.conf.set(n, "1m")  # less than the bound stays
+        tune(spark)
+        assert [spark.conf.get(n) for n in names] == ["1m", "1m"]
+    finally:
+        for n, value in kept.items():
+            spark.conf.set(n, value)
+    text = F.concat(*[F.sha2(F.concat(F.lit(i), F.col("id")), 256) for i in range(4)])
+    wide = spark.range(200_000).coalesce(1).select(F.col("id").alias(ORDER), text.alias("PART_NUMBER"))
+    staged, _ = load.prepare_sheet(wide, str(tmp_path / "sheet"))
+    sizes = [len(rows) for rows in staged.select(ORDER).rdd.glom().collect()]
+    assert max(sizes) < 150_000 and sum(sizes) == 200_000  # 50 MB of text in one file
+    assert staged.agg(F.sum(F.xxhash64(F.col(ORDER), F.col("PART_NUMBER")) % 1000)).first() == wide.agg(
+        F.sum(F.xxhash64(F.col(ORDER), F.col("PART_NUMBER")) % 1000)
+    ).first()
