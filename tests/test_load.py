@@ -9,6 +9,7 @@ import pytest
 from books import write_book
 from pyspark.sql import functions as F
 
+from catalog import queries
 from partgraph.model import ORDER, SHEET_COLUMNS, TABLES
 from partgraph.operators import changes, dedup, normalize, quality
 from partgraph.plans import load
@@ -569,3 +570,37 @@ def test_staged_rows_are_read_in_small_splits(spark, tmp_path):
     assert staged.agg(F.sum(F.xxhash64(F.col(ORDER), F.col("PART_NUMBER")) % 1000)).first() == wide.agg(
         F.sum(F.xxhash64(F.col(ORDER), F.col("PART_NUMBER")) % 1000)
     ).first()
+
+
+def broken_file(spark, path, rows):
+    """A written table whose file can't be read any more."""
+    rows.coalesce(1).write.parquet(str(path))
+    kept = spark.read.parquet(str(path))
+    next(path.glob("*.parquet")).write_bytes(b"lost")
+    return kept
+
+
+def test_changes_that_fail_to_run_are_no_report(spark, store, tmp_path):
+    given = changes_of(spark, ("BP1", "2026-02-01", "P2", "P1", None))
+    lost = broken_file(spark, tmp_path / "given", given)
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        load.load_sheet(store, sheet(spark, *ROWS), lost)
+    assert store.current() == {} and folders(store) == set()
+    load.load_sheet(store, sheet(spark, *ROWS))
+    kept = folders(store)
+    with pytest.raises(Exception, match="FAILED_READ_FILE"):
+        load.load_changes(store, lost)
+    assert folders(store) == kept
+
+
+@pytest.fixture
+def refused(spark, monkeypatch, tmp_path):
+    """A folder whose sheet a load refuses."""
+    monkeypatch.setattr(queries, "part_sheet", lambda *_: sheet(spark, *ROWS, row(PART_NUMBER="P9", PART_WEIGHT_KG="-1")))
+    monkeypatch.setattr(queries, "change_sheet", lambda *_: change_rows(spark, ("B1", "2026-01-01", "P2", "P1")))
+    return str(tmp_path)
+
+
+def test_duplicate_keys_of_a_refused_load(spark, refused):
+    with pytest.raises(load.LoadError, match="not loaded: .*part_data: 1 rows break"):
+        queries.QUERIES["check_pk_unique"](spark, refused)
