@@ -604,3 +604,23 @@ def refused(spark, monkeypatch, tmp_path):
 def test_duplicate_keys_of_a_refused_load(spark, refused):
     with pytest.raises(load.LoadError, match="not loaded: .*part_data: 1 rows break"):
         queries.QUERIES["check_pk_unique"](spark, refused)
+
+
+def test_a_table_that_fails_to_run_is_no_report(spark, store, monkeypatch):
+    write = store.write
+
+    def full_disk(df, table, *rest):
+        if table == "part_to_box":
+            raise OSError("No space left on device")
+        return write(df, table, *rest)
+
+    monkeypatch.setattr(store, "write", full_disk)
+    with pytest.raises(OSError, match="No space left"):
+        load.load_sheet(store, sheet(spark, *ROWS))
+    assert store.current() == {} and folders(store) == set()
+
+
+@pytest.mark.parametrize("name", ["find_by_city"])
+def test_lookups_of_a_refused_load(spark, refused, name):
+    with pytest.raises(load.LoadError, match="not loaded: .*part_data: 1 rows break"):
+        queries.QUERIES[name](spark, refused)
