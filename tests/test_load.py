@@ -620,7 +620,7 @@ def test_a_table_that_fails_to_run_is_no_report(spark, store, monkeypatch):
     assert store.current() == {} and folders(store) == set()
 
 
-@pytest.mark.parametrize("name", ["find_by_city", "find_by_line_code", "find_by_line_name", "find_by_location"])
+@pytest.mark.parametrize("name", ["find_by_city", "find_by_line_code", "find_by_line_name", "find_by_location", "part_history"])
 def test_lookups_of_a_refused_load(spark, refused, name):
     with pytest.raises(load.LoadError, match="not loaded: .*part_data: 1 rows break"):
         queries.QUERIES[name](spark, refused)
