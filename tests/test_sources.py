@@ -1,6 +1,7 @@
 """Workbooks, CSV/JSON/TSV and the JDBC options."""
 
 import os
+import random
 from pathlib import Path
 
 import pytest
@@ -8,7 +9,8 @@ from books import write_book
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from partgraph.model import ORDER
+from catalog import queries
+from partgraph.model import ORDER, SHEET_SCHEMA
 from partgraph.operators import recipe
 from partgraph.session import stage
 from partgraph.sources import jdbc, sheet, trade, workbook
@@ -174,3 +176,49 @@ def test_staged_text_is_packed(spark, tmp_path):
     plain = f"{tmp_path}/plain"
     sheet.write_tsv(rows, plain)
     assert spark.read.text(plain).count() == 5000 and any(Path(plain).glob("*.txt"))
+
+
+def order_tables(spark, folder, lines=400):
+    """Small order tables; some lines have no order, part, supplier or number, some come twice."""
+    pick = random.Random(3)
+    some = lambda n: pick.choice([None, *range(1, n)])
+    rows = [(pick.randrange(1, 90), some(40), some(9), some(8), float(pick.randrange(1, 50)), pick.choice("RNA"), pick.choice("FO")) for _ in range(lines)]
+    given = {
+        "lineitem": ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_returnflag string, l_linestatus string", rows + rows[:20]),
+        "orders": ("o_orderkey long, o_orderpriority string", [(i, f"{i % 5}-P") for i in range(1, 80)]),
+        "part": ("p_partkey long, p_name string, p_brand string, p_size int", [(i, f"green part {i}", f"Brand#{i % 5}", i % 50) for i in range(1, 38)]),
+        "supplier": ("s_suppkey long, s_name string, s_nationkey int", [(i, f"Supplier {i}", i % 4) for i in range(1, 8)]),
+        "nation": ("n_nationkey int, n_name string, n_regionkey int", [(i, f"NATION_{i}", i % 2) for i in range(4)]),
+        "region": ("r_regionkey int, r_name string", [(0, "EUROPE"), (1, "ASIA")]),
+    }
+    for name, (schema, values) in given.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_ordered_sheet_sorts_narrow_rows(spark, tmp_path):
+    folder = order_tables(spark, tmp_path)
+    ordered = trade.part_sheet(spark, folder, ordered=True)
+    found = [r[ORDER] for r in ordered.collect()]
+    assert found == sorted(found, key=lambda o: (o is not None, o)) and len(set(found)) > 100
+    assert sorted(map(repr, ordered.collect())) == sorted(map(repr, trade.part_sheet(spark, folder).collect()))
+    plan = ordered._jdf.queryExecution().optimizedPlan()
+    while not plan.nodeName().startswith("Sort"):
+        plan = plan.children().head()
+    assert plan.output().size() <= 16  # the sheet's text has 38
+
+
+def test_dropped_files_are_packed(spark, tmp_path, monkeypatch):
+    drops = []
+
+    class Ended:
+        def awaitTermination(self):
+            pass
+
+    monkeypatch.setattr(queries, "file_drop", lambda store, drop, *_, glob: drops.append((drop, glob)) or Ended())
+    queries.QUERIES["stream_ingest"](spark, order_tables(spark, tmp_path))
+    drop, glob = drops[0]
+    names = sorted(n for n in os.listdir(drop.removeprefix("file:")) if n.startswith("part-"))
+    assert names and glob == "*.csv.gz" and all(n.endswith(".csv.gz") for n in names)
+    read = sheet.read_sheet(spark, drop, schema=SHEET_SCHEMA, pathGlobFilter=glob).orderBy(ORDER).drop(ORDER).collect()
+    assert sorted(map(repr, read)) == sorted(map(repr, trade.part_sheet(spark, str(tmp_path)).drop(ORDER).collect()))
