@@ -16,6 +16,9 @@ next round's components, so rounds grow with the logarithm of the turns even if
 are finished by the same rule inside tasks, many in one. Which side of a centroid a node lies on is looked up where its own
 smallest member stands at the centroid's depth; lookups are made once per member and ``BLOCK`` depths.
 
+Tables of ids and depths pack to a twentieth of what they take in memory. So no join broadcasts a side by the size of its files, which the
+driver would have to hold unpacked: sides count by their bytes as shuffled.
+
 The member lists at the ends are hashed in order: ranges of them are joined to texts of ``CHUNK`` bytes in parallel, and
 only those are brought together for each node.
 
@@ -27,10 +30,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,6 +47,23 @@ LIMIT, BLOCK, CHUNK = 20_000, 4096, 1 << 20
 LARGE, SHARE = 256, 50_000
 
 
+@contextmanager
+def broadcasts_by_shuffled_size(spark: SparkSession) -> Iterator[None]:
+    """Joins planned within choose a broadcast only once a side is shuffled and its bytes are known; ``F.broadcast`` stays."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    files, shuffled = spark.conf.get(names[0]), spark.conf.get(names[1], None)
+    spark.conf.set(names[1], shuffled or files)
+    spark.conf.set(names[0], "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(names[0], files)
+        if shuffled is None:
+            spark.conf.unset(names[1])
+        else:
+            spark.conf.set(names[1], shuffled)
+
+
 def borrowed(conv: Column) -> Column:
     """How many turns a conversation takes over."""
     return F.crc32(conv.cast("string").cast("binary")) % (MOST + 1)
@@ -331,9 +352,11 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def prefix_trie(turns: DataFrame, scratch: Scratch, limit: int = LIMIT) -> DataFrame:
     """One row per node, with its counts, its subtree's totals and the hash of the conversations that end there."""
-    trie = Trie(turns, scratch, limit)
-    totals = scratch.save(trie.totals(), "totals")
-    found = trie.nodes.join(totals, ["rep", "depth"]).join(trie.ends(), ["rep", "depth"], "left")
+    with broadcasts_by_shuffled_size(turns.sparkSession):
+        trie = Trie(turns, scratch, limit)
+        totals = scratch.save(trie.totals(), "totals")
+        ends = trie.ends()
+    found = trie.nodes.join(totals.hint("merge"), ["rep", "depth"]).join(ends.hint("merge"), ["rep", "depth"], "left")
     none = F.lit(hashlib.sha256(b"").hexdigest())
     return found.select(
         F.col("rep").alias("conv_id"), "depth", F.when(F.col("depth") > 0, F.col("parent")).alias("parent_conv_id"),

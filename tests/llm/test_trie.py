@@ -106,3 +106,24 @@ def test_roll_up_of_trees():
             sums = [[0, 0] for _ in parents]
             trie.roll_up(parents, weights, own, sums)
             assert sums == want
+
+
+def test_file_sizes_choose_no_broadcast(llm, monkeypatch):
+    """Sides that Parquet packs well are joined by shuffles: as broadcasts the driver would hold them unpacked."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before, save, plans = [llm.conf.get(n, None) for n in names], Scratch.save, []
+
+    def saved(self, df, name):
+        plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))  # as chosen by the sizes of files
+        return save(self, df, name)
+
+    monkeypatch.setattr(Scratch, "save", saved)
+    rows = some_rows(60)
+    table = llm.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+    result = trie.prefix_trie(table, Scratch(llm, "test"), limit=150)
+    plans.append(("result", result._jdf.queryExecution().sparkPlan().toString()))
+    explicit = ("placed", "deep", "keyed", "path")  # one row per range; large nodes, few by their least size
+    assert [name for name, plan in plans if "BroadcastHashJoin" in plan and name not in explicit] == []
+    assert sum("SortMergeJoin" in plan for _, plan in plans) > 5
+    assert sorted(map(tuple, result.collect()), key=lambda r: (r[1], r[0])) == expected(rows)
+    assert [llm.conf.get(n, None) for n in names] == [before[0] or "10485760b", before[1]]
