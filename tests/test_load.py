@@ -624,3 +624,17 @@ def test_a_table_that_fails_to_run_is_no_report(spark, store, monkeypatch):
 def test_lookups_of_a_refused_load(spark, refused, name):
     with pytest.raises(load.LoadError, match="not loaded: .*part_data: 1 rows break"):
         queries.QUERIES[name](spark, refused)
+
+
+def test_reloads_write_the_sheet_once(spark, monkeypatch, tmp_path):
+    written, loads = [], []
+    write, run = load.write_staged, load.load_sheet
+    monkeypatch.setattr(load, "write_staged", lambda df, path: written.append(path) or write(df, path))
+    monkeypatch.setattr(load, "load_sheet", lambda store, sheet, *a, **o: loads.append(sheet.count()) or run(store, sheet, *a, **o))
+    rows = [row(PART_NUMBER=f"P-{i}", PART_NAME=f"part {i % 4}") for i in range(1, 7)]
+    monkeypatch.setattr(queries, "part_sheet", lambda *_: sheet(spark, *rows))
+    monkeypatch.setattr(queries, "change_sheet", lambda *_: change_rows(spark, ("B1", "2026-01-01", "P-2", "P-1"), ("B2", "2026-01-02", "P-4", "P-2")))
+    found = {(r["table_name"], r["error"]): r["rows"] for r in queries.QUERIES["reload_keeps_history"](spark, str(tmp_path)).collect()}
+    assert loads == [6, 6, 3] and len(written) == 1 and not os.path.exists(written[0].removeprefix("file:"))
+    assert found["part_to_breakpoint", "1 kept rows refer to parts that are gone"] == 0
+    assert (found["part_data", None], found["part_to_line", None], found["part_to_breakpoint", None], len(found)) == (6, 6, 4, 14)
